@@ -1,0 +1,81 @@
+"""The whole path from raw messages to tables, as lazy DataFrames."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidebook.feeds import FEEDS, Feed
+from tidebook.operators import enrich, parse, tables
+
+
+@dataclass(frozen=True)
+class Records:
+    """Enriched, time-checked records by kind, and everything that was not stored, with its reason."""
+
+    ticks: DataFrame
+    depths: DataFrame
+    tickers: DataFrame
+    rejects: DataFrame
+
+    def trades(self) -> DataFrame:
+        return tables.to_trades(self.ticks)
+
+    def orderbook(self, keep_update_id: bool = False) -> DataFrame:
+        return tables.to_orderbook(self.depths, keep_update_id)
+
+    def bookticker(self) -> DataFrame:
+        return tables.to_bookticker(self.tickers)
+
+    def persisted(self) -> Records:
+        return Records(
+            enrich.persisted(self.ticks),
+            enrich.persisted(self.depths),
+            enrich.persisted(self.tickers),
+            self.rejects,
+        )
+
+
+REJECT_COLUMNS = ("channel_id", "seq", "recv_us", "kind", "reject_reason")
+
+
+def records_from_parsed(parsed: DataFrame, channels: DataFrame, as_of_year: int) -> Records:
+    """Join, filter and check each kind. Persist ``parsed`` first when several kinds are written."""
+    refused = [parse.rejects(parsed).select(*REJECT_COLUMNS)]
+    kept = []
+    makers = (
+        ("TICK", parse.tick_records),
+        ("DEPTH", parse.depth_records),
+        ("BOOK_TICKER", parse.ticker_records),
+    )
+    for kind, make in makers:
+        found = make(parsed)
+        known = enrich.registered(found, channels)
+        unknown = enrich.unregistered(found, channels).withColumn("reject_reason", F.lit(parse.UNREGISTERED))
+        if kind == "TICK":
+            known = enrich.recordable(known)
+        good, bad_time = tables.split_by_time(known, as_of_year)
+        kept.append(good)
+        for bad in (unknown, bad_time):
+            refused.append(bad.withColumn("kind", F.lit(kind)).select(*REJECT_COLUMNS))
+    rejects = refused[0]
+    for more in refused[1:]:
+        rejects = rejects.unionByName(more)
+    return Records(*kept, rejects)
+
+
+def records_from_raw(
+    raw: DataFrame, channels: DataFrame, as_of_year: int, feeds: Sequence[Feed] = FEEDS
+) -> Records:
+    return records_from_parsed(parse.parse_messages(raw, feeds), channels, as_of_year)
+
+
+def union_records(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """All feeds of one kind on one path."""
+    out = first
+    for other in others:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out
