@@ -11,59 +11,70 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidebook.functions.jsonfields import complete
-
 TICK, DEPTH, TICKER, UNKNOWN = "TICK", "DEPTH", "BOOK_TICKER", "UNKNOWN"
 
-LEVELS_TYPE = "array<struct<price:double,quantity:double>>"
-TICK_TYPE = (
-    "struct<exchange_timestamp:bigint,trade_id:bigint,price:double,quantity:double,is_buyer_maker:boolean>"
-)
-DEPTH_TYPE = f"struct<exchange_timestamp:bigint,last_update_id:bigint,bids:{LEVELS_TYPE},asks:{LEVELS_TYPE}>"
-TICKER_TYPE = (
-    "struct<exchange_timestamp:bigint,best_bid_price:double,best_bid_qty:double,"
-    "best_ask_price:double,best_ask_qty:double>"
-)
+# Fields of each record kind as a feed delivers them. Depth sides are still variants here.
+FIELDS: dict[str, dict[str, str]] = {
+    TICK: {
+        "exchange_timestamp": "bigint",
+        "trade_id": "bigint",
+        "price": "double",
+        "quantity": "double",
+        "is_buyer_maker": "boolean",
+    },
+    DEPTH: {"exchange_timestamp": "bigint", "last_update_id": "bigint", "bids": "variant", "asks": "variant"},
+    TICKER: {
+        "exchange_timestamp": "bigint",
+        "best_bid_price": "double",
+        "best_bid_qty": "double",
+        "best_ask_price": "double",
+        "best_ask_qty": "double",
+    },
+}
+Fields = dict[str, Column]
+
+
+def _whole_message(doc: Column) -> Column | None:
+    return None
 
 
 @dataclass(frozen=True)
 class Feed:
-    """``classify(doc)`` names the kind; the others give a complete struct, or NULL for a failed parse.
+    """Column makers of one (exchange, market type).
 
-    ``ticks`` gives an array, as one message may carry several trades. ``recv_us`` is the captured receive
-    time; it stands in where the exchange sends none, so reruns agree.
+    ``classify(doc)`` names the kind. ``tick(doc, item)``, ``depth(doc, recv_us)`` and ``ticker(doc, recv_us)``
+    give the fields of ``FIELDS``; a field that does not read is NULL, and then the message is a failed parse.
+    ``trades(doc)`` gives the array of trade documents where a message may carry several; ``item`` is then one
+    of them. ``recv_us`` is the captured receive time; it stands in where the exchange sends none, so reruns
+    agree. ``levels`` turns a depth side from a variant into levels.
     """
 
     exchange: str
     market_type: str
     classify: Callable[[Column], Column]
-    ticks: Callable[[Column, Column], Column]
-    depth: Callable[[Column, Column], Column]
-    ticker: Callable[[Column, Column], Column]
+    tick: Callable[[Column, Column], Fields]
+    depth: Callable[[Column, Column], Fields]
+    ticker: Callable[[Column, Column], Fields]
+    levels: Callable[[Column], Column]
+    trades: Callable[[Column], Column | None] = _whole_message
 
     def owns(self, exchange: Column, market_type: Column) -> Column:
         return (exchange == self.exchange) & (market_type == self.market_type)
 
 
-def tick(ts: Column, trade_id: Column, price: Column, quantity: Column, maker: Column) -> Column:
-    return complete(
-        exchange_timestamp=ts, trade_id=trade_id, price=price, quantity=quantity, is_buyer_maker=maker
-    ).cast(TICK_TYPE)
+def tick(ts: Column, trade_id: Column, price: Column, quantity: Column, maker: Column) -> Fields:
+    return dict(zip(FIELDS[TICK], (ts, trade_id, price, quantity, maker)))
 
 
-def depth(ts: Column, update_id: Column, bids: Column, asks: Column) -> Column:
-    return complete(exchange_timestamp=ts, last_update_id=update_id, bids=bids, asks=asks).cast(DEPTH_TYPE)
+def depth(ts: Column, update_id: Column, bids: Column, asks: Column) -> Fields:
+    return dict(zip(FIELDS[DEPTH], (ts, update_id, bids, asks)))
 
 
-def ticker(ts: Column, bid: Column, bid_qty: Column, ask: Column, ask_qty: Column) -> Column:
-    return complete(
-        exchange_timestamp=ts,
-        best_bid_price=bid,
-        best_bid_qty=bid_qty,
-        best_ask_price=ask,
-        best_ask_qty=ask_qty,
-    ).cast(TICKER_TYPE)
+def ticker(ts: Column, bid: Column, bid_qty: Column, ask: Column, ask_qty: Column) -> Fields:
+    return dict(zip(FIELDS[TICKER], (ts, bid, bid_qty, ask, ask_qty)))
 
 
-def one(struct: Column) -> Column:
-    return F.array_compact(F.array(struct))
+def by_name(name: Column, kinds: dict[str, str]) -> Column:
+    """The kind a name stands for, by one lookup in a constant map."""
+    table = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, name), F.lit(UNKNOWN))

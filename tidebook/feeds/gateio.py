@@ -6,14 +6,14 @@ The ``time``/``time_ms`` envelope needs no handling, as paths do not depend on t
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidebook.feeds.base import DEPTH, TICK, TICKER, UNKNOWN, Feed, depth, one, tick, ticker
-from tidebook.functions.jsonfields import list_at, text_at, unsigned_at
-from tidebook.functions.levels import keyed_levels_at, positional_levels_at
+from tidebook.feeds.base import DEPTH, TICK, TICKER, UNKNOWN, Feed, Fields, by_name, depth, tick, ticker
+from tidebook.functions.jsonfields import list_at, text_at, unsigned_at, value_at
+from tidebook.functions.levels import keyed_levels, positional_levels
 from tidebook.functions.numbers import decimal_prefix, price_at, quantity_at
 from tidebook.functions.timeparts import ms_to_us
 
@@ -24,11 +24,8 @@ CHANNEL_KINDS = {"trades": TICK, "order_book": DEPTH, "book_ticker": TICKER}
 def _classify(prefix: str) -> Callable[[Column], Column]:
     def classify(doc: Column) -> Column:
         channel = text_at(doc, "$.channel")
-        suffix = F.substr(channel, F.lit(len(prefix) + 2))
-        kind = F.lit(UNKNOWN)
-        for name, value in CHANNEL_KINDS.items():
-            kind = F.when(channel.startswith(prefix) & (suffix == name), value).otherwise(kind)
-        return kind
+        kind = by_name(F.substr(channel, F.lit(len(prefix) + 2)), CHANNEL_KINDS)
+        return F.when(channel.startswith(prefix), kind).otherwise(UNKNOWN)
 
     return classify
 
@@ -41,23 +38,23 @@ def _carries_book(doc: Column) -> Column:
     return text_at(doc, "$.event").isin("update", "all")
 
 
-def spot_ticks(doc: Column, recv_us: Column) -> Column:
+def spot_tick(doc: Column, item: Column) -> Fields:
     # the milliseconds come as decimal text and keep their fraction
     ts = (decimal_prefix(text_at(doc, "$.result.create_time_ms")) * 1000.0).try_cast("bigint")
-    trade = tick(
-        ts,
+    return tick(
+        F.when(_carries_trades(doc), ts),
         unsigned_at(doc, "$.result.id"),
         price_at(doc, "$.result.price"),
         F.abs(price_at(doc, "$.result.amount")),
         text_at(doc, "$.result.side") == "sell",
     )
-    return F.when(_carries_trades(doc), one(trade))
 
 
-def _perpetual_trade(item: Column) -> Column:
+def perpetual_tick(doc: Column, item: Column) -> Fields:
     size = quantity_at(item, "$.size")
+    ts = ms_to_us(unsigned_at(item, "$.create_time_ms"))
     return tick(
-        ms_to_us(unsigned_at(item, "$.create_time_ms")),
+        F.when(_carries_trades(doc), ts),
         unsigned_at(item, "$.id"),
         price_at(item, "$.price"),
         F.abs(size),
@@ -65,52 +62,39 @@ def _perpetual_trade(item: Column) -> Column:
     )
 
 
-def perpetual_ticks(doc: Column, recv_us: Column, all_trades: bool = False) -> Column:
-    """The first trade of the list; with ``all_trades`` every one that reads."""
-    items = list_at(doc, "$.result")
-    if not all_trades:
-        items = F.slice(items, 1, 1)
-    return F.when(_carries_trades(doc), F.array_compact(F.transform(items, _perpetual_trade)))
-
-
-def spot_depth(doc: Column, recv_us: Column) -> Column:
-    book = depth(
-        ms_to_us(unsigned_at(doc, "$.result.t")),
-        unsigned_at(doc, "$.result.lastUpdateId"),
-        positional_levels_at(doc, "$.result.bids"),
-        positional_levels_at(doc, "$.result.asks"),
-    )
-    return F.when(_carries_book(doc), book)
+def spot_depth(doc: Column, recv_us: Column) -> Fields:
+    ts = F.when(_carries_book(doc), ms_to_us(unsigned_at(doc, "$.result.t")))
+    update_id = unsigned_at(doc, "$.result.lastUpdateId")
+    return depth(ts, update_id, value_at(doc, "$.result.bids"), value_at(doc, "$.result.asks"))
 
 
-def perpetual_depth(doc: Column, recv_us: Column) -> Column:
-    book = depth(
-        ms_to_us(unsigned_at(doc, "$.result.t")),
-        unsigned_at(doc, "$.result.id"),
-        keyed_levels_at(doc, "$.result.bids"),
-        keyed_levels_at(doc, "$.result.asks"),
-    )
-    return F.when(_carries_book(doc), book)
+def perpetual_depth(doc: Column, recv_us: Column) -> Fields:
+    ts = F.when(_carries_book(doc), ms_to_us(unsigned_at(doc, "$.result.t")))
+    update_id = unsigned_at(doc, "$.result.id")
+    return depth(ts, update_id, value_at(doc, "$.result.bids"), value_at(doc, "$.result.asks"))
 
 
-def book_ticker(doc: Column, recv_us: Column) -> Column:
-    quote = ticker(
-        ms_to_us(unsigned_at(doc, "$.result.t")),
+def book_ticker(doc: Column, recv_us: Column) -> Fields:
+    ts = F.when(text_at(doc, "$.event") == "update", ms_to_us(unsigned_at(doc, "$.result.t")))
+    return ticker(
+        ts,
         price_at(doc, "$.result.b"),
         quantity_at(doc, "$.result.B"),
         price_at(doc, "$.result.a"),
         quantity_at(doc, "$.result.A"),
     )
-    return F.when(text_at(doc, "$.event") == "update", quote)
 
 
-SPOT = Feed("gateio", "spot", _classify("spot"), spot_ticks, spot_depth, book_ticker)
-PERPETUAL = Feed("gateio", "perpetual", _classify("futures"), perpetual_ticks, perpetual_depth, book_ticker)
-PERPETUAL_ALL_TRADES = Feed(
+SPOT = Feed("gateio", "spot", _classify("spot"), spot_tick, spot_depth, book_ticker, positional_levels)
+# a perpetual message may carry several trades; only the first one counts
+PERPETUAL = Feed(
     "gateio",
     "perpetual",
     _classify("futures"),
-    partial(perpetual_ticks, all_trades=True),
+    perpetual_tick,
     perpetual_depth,
     book_ticker,
+    keyed_levels,
+    trades=lambda doc: F.slice(list_at(doc, "$.result"), 1, 1),
 )
+PERPETUAL_ALL_TRADES = replace(PERPETUAL, trades=lambda doc: list_at(doc, "$.result"))

@@ -30,7 +30,8 @@ def integer_at(doc: Column, path: str) -> Column:
 
 
 def unsigned_at(doc: Column, path: str) -> Column:
-    return bound(integer_at(doc, path), lambda number: F.when(number >= 0, number))
+    number = F.try_variant_get(doc, path, "bigint")
+    return F.when((kind_at(doc, path) == "BIGINT") & (number >= 0), number)
 
 
 def flag_at(doc: Column, path: str) -> Column:
@@ -42,18 +43,5 @@ def list_at(doc: Column, path: str) -> Column:
 
 
 def bound(column: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(column)`` with the column evaluated once, however often ``use`` mentions it."""
+    """``use(column)`` with the column evaluated once. Higher-order, so not for scalar hot paths."""
     return F.get(F.transform(F.array(column), use), F.lit(0))
-
-
-def complete(**fields: Column) -> Column:
-    """A struct of the fields, or NULL as soon as one of them is missing."""
-    record = F.struct(*[column.alias(name) for name, column in fields.items()])
-
-    def whole(s: Column) -> Column:
-        present = F.lit(True)
-        for name in fields:
-            present = present & s[name].isNotNull()
-        return F.when(present, s)
-
-    return bound(record, whole)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidebook.functions.jsonfields import bound, kind_at, list_at
-from tidebook.functions.numbers import price_at, quantity_at
+from tidebook.functions.numbers import PLAIN_NUMBER, price_at, quantity_at
 from tidebook.schemas import MAX_LEVELS
 
 
@@ -28,8 +28,23 @@ def _readable(marked: Column) -> Column:
     )
 
 
-def positional_levels_at(doc: Column, path: str) -> Column:
-    """``[["price","qty",...],...]``. Short or non-numeric levels are skipped, further elements ignored."""
+# Canonical JSON of a list whose levels are all plain decimals, so that each one reads and none is broken.
+_NUMBER = f'"{PLAIN_NUMBER}"'
+_PLAIN_POSITIONAL = rf"^\[(?:\[{_NUMBER},{_NUMBER}(?:,\[\])?\][,\]])*\]?$"
+_PLAIN_KEYED = rf'^\[(?:\{{"p":{_NUMBER},"s":(?:{_NUMBER}|-?[0-9]{{1,15}})\}}[,\]])*\]?$'
+
+
+def positional_levels(found: Column) -> Column:
+    """``[["price","qty",...],...]`` (a variant). Short or non-numeric levels are skipped, further elements
+    ignored; a price or quantity that is no text breaks the list."""
+    cells = F.slice(F.try_variant_get(found, "$", "array<array<string>>"), 1, MAX_LEVELS)
+    plain = F.transform(
+        cells,
+        lambda x: F.struct(
+            F.get(x, F.lit(0)).try_cast("double").alias("price"),
+            F.get(x, F.lit(1)).try_cast("double").alias("quantity"),
+        ),
+    )
 
     def mark(level: Column) -> Column:
         is_list = F.schema_of_variant(level).startswith("ARRAY")
@@ -46,11 +61,15 @@ def positional_levels_at(doc: Column, path: str) -> Column:
 
         return bound(price_at(level, "$[0]"), with_price)
 
-    return _readable(F.transform(list_at(doc, path), mark))
+    return F.when(F.regexp_like(F.to_json(found), F.lit(_PLAIN_POSITIONAL)), plain).otherwise(
+        _readable(F.transform(list_at(found, "$"), mark))
+    )
 
 
-def keyed_levels_at(doc: Column, path: str) -> Column:
-    """``[{"p":"price","s":size},...]``. A non-numeric price is skipped; a missing or odd field breaks the list."""
+def keyed_levels(found: Column) -> Column:
+    """``[{"p":"price","s":size},...]`` (a variant). A non-numeric price is skipped; a missing or odd field
+    breaks the list."""
+    plain = F.slice(F.try_variant_get(found, "$", "array<struct<p:double,s:double>>"), 1, MAX_LEVELS)
 
     def mark(level: Column) -> Column:
         text_price = F.coalesce(kind_at(level, "$.p") == "STRING", F.lit(False))
@@ -64,7 +83,10 @@ def keyed_levels_at(doc: Column, path: str) -> Column:
             ),
         )
 
-    return _readable(F.transform(list_at(doc, path), mark))
+    return F.when(
+        F.regexp_like(F.to_json(found), F.lit(_PLAIN_KEYED)),
+        plain.cast("array<struct<price:double,quantity:double>>"),
+    ).otherwise(_readable(F.transform(list_at(found, "$"), mark)))
 
 
 def delivered_levels(levels: Column) -> Column:

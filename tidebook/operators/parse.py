@@ -1,8 +1,9 @@
 """Raw messages to parsed records in one pass.
 
-Every message is parsed to a variant once. ``explode_outer`` over a one-element array marks the two places
-where Catalyst must not push an expression back below: without it a filter on a parsed field would be copied
-under the projection and each message parsed again for it.
+Every message is parsed to a variant once. ``explode_outer`` over a one-element array marks the places where
+Catalyst must not push an expression back below: without it a filter on a parsed field would be copied under
+the projection and each message parsed again for it. Scalar fields stay in generated code; only depth sides
+need higher-order functions and have a stage of their own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.feeds import FEEDS, Feed
-from tidebook.feeds.base import DEPTH, DEPTH_TYPE, TICK, TICK_TYPE, TICKER, TICKER_TYPE, UNKNOWN
+from tidebook.feeds.base import DEPTH, FIELDS, TICK, TICKER, UNKNOWN
 
 # Reasons a message or record is not stored.
 EMPTY, MALFORMED, NO_FEED = "empty", "malformed", "no_feed"
@@ -21,6 +22,8 @@ UNKNOWN_EVENT, PARSE = "unknown_event", "parse"
 UNREGISTERED, INVALID_TIME = "unregistered", "invalid_time"
 
 ENVELOPE = ("channel_id", "exchange", "market_type", "symbol", "seq", "recv_us", "recv_ns", "dispatch_ns")
+RECORD_COLUMNS = {TICK: "tick", DEPTH: "depth", TICKER: "ticker"}
+_LEVELS = "array<struct<price:double,quantity:double>>"
 
 
 def evaluated_once(column: Column) -> Column:
@@ -30,17 +33,18 @@ def evaluated_once(column: Column) -> Column:
 def parse_messages(
     raw: DataFrame, feeds: Sequence[Feed] = FEEDS, kinds: Sequence[str] = (TICK, DEPTH, TICKER)
 ) -> DataFrame:
-    """``raw_feed`` rows plus ``kind``, ``ticks``, ``depth``, ``ticker`` and ``reject_reason``.
+    """``raw_feed`` rows plus ``kind``, ``tick``, ``depth``, ``ticker`` and ``reject_reason``.
 
-    Only the record kinds asked for are read; others stay NULL and are not counted as rejects.
+    Only the record kinds asked for are read; others stay NULL and are not counted as rejects. Passing just
+    the feeds a table holds keeps the plan small.
     """
-    owner = (F.col("exchange"), F.col("market_type"))
-    doc, recv_us = F.col("doc"), F.col("recv_us")
+    doc, kind, recv_us = F.col("doc"), F.col("kind"), F.col("recv_us")
+    owned = [feed.owns(F.col("exchange"), F.col("market_type")) for feed in feeds]
 
-    def by_feed(make, default: Column) -> Column:
-        out = default
-        for feed in feeds:
-            out = F.when(feed.owns(*owner), make(feed)).otherwise(out)
+    def by_feed(columns: Sequence[Column], type_: str) -> Column:
+        out = F.lit(None).cast(type_)
+        for mine, column in zip(owned, columns):
+            out = F.when(mine, column).otherwise(out)
         return out
 
     text = F.coalesce(F.col("payload"), F.lit(""))
@@ -50,47 +54,78 @@ def parse_messages(
         evaluated_once(F.when(text != "", F.try_parse_json(text))).alias("doc"),
     )
     classified = documents.withColumn(
-        "kind",
-        evaluated_once(F.when(doc.isNotNull(), by_feed(lambda f: f.classify(doc), F.lit(None).cast("string")))),
+        "kind", evaluated_once(F.when(doc.isNotNull(), by_feed([f.classify(doc) for f in feeds], "string")))
     )
 
-    def when_kind(kind: str, make, type_: str) -> Column:
-        nothing = F.lit(None).cast(type_)
-        if kind not in kinds:
-            return nothing
-        return F.when(F.col("kind") == kind, by_feed(make, nothing))
-
-    record = F.struct(
-        when_kind(TICK, lambda f: f.ticks(doc, recv_us), f"array<{TICK_TYPE}>").alias("ticks"),
-        when_kind(DEPTH, lambda f: f.depth(doc, recv_us), DEPTH_TYPE).alias("depth"),
-        when_kind(TICKER, lambda f: f.ticker(doc, recv_us), TICKER_TYPE).alias("ticker"),
-    )
-    parsed = classified.select(
-        *ENVELOPE, "payload", "kind", doc.isNotNull().alias("_is_json"), evaluated_once(record).alias("_record")
-    )
-    read = (
-        (F.coalesce(F.size("_record.ticks"), F.lit(0)) > 0)
-        | F.col("_record.depth").isNotNull()
-        | F.col("_record.ticker").isNotNull()
+    trades = [feed.trades(doc) for feed in feeds]
+    item = doc
+    if TICK in kinds and any(t is not None for t in trades):
+        own = [F.array(doc) if t is None else t for t in trades]
+        lists = F.when(kind == TICK, by_feed(own, "array<variant>"))
+        classified = classified.withColumn("item", F.explode_outer(lists))
+        item = F.col("item")
+
+    makers = {
+        TICK: [f.tick(doc, item) for f in feeds],
+        DEPTH: [f.depth(doc, recv_us) for f in feeds],
+        TICKER: [f.ticker(doc, recv_us) for f in feeds],
+    }
+    wanted = [k for k in FIELDS if k in kinds]
+    scalars = F.struct(
+        F.lit(True).alias("_"),
+        *[
+            F.when(kind == k, by_feed([m[name] for m in makers[k]], type_)).alias(f"{k}_{name}")
+            for k in wanted
+            for name, type_ in FIELDS[k].items()
+        ],
     )
+    # Computed in a projection of its own, whose code Spark splits into methods small enough to be compiled;
+    # the barrier then stands on the finished column.
+    keep = (*ENVELOPE, "payload", "kind", "is_json")
+    computed = classified.select(*keep[:-1], doc.isNotNull().alias("is_json"), scalars.alias("r"))
+    read = computed.select(*keep, evaluated_once(F.col("r")).alias("r"))
+    if DEPTH in wanted:
+
+        def side(name: str) -> Column:
+            return by_feed([f.levels(F.col(f"r.{DEPTH}_{name}")) for f in feeds], _LEVELS)
+
+        both = F.when(kind == DEPTH, F.struct(side("bids").alias("bids"), side("asks").alias("asks")))
+        shaped = read.withColumn("sides", both)
+        read = shaped.select(*keep, "r", evaluated_once(F.col("sides")).alias("sides"))
+
+    def record(k: str) -> Column:
+        fields = {
+            n: F.col(f"sides.{n}") if (k, n) in ((DEPTH, "bids"), (DEPTH, "asks")) else F.col(f"r.{k}_{n}")
+            for n in FIELDS[k]
+        }
+        whole = kind == k
+        for column in fields.values():
+            whole = whole & column.isNotNull()
+        return F.when(whole, F.struct(*[c.alias(n) for n, c in fields.items()]))
+
     known = F.lit(False)
-    for feed in feeds:
-        known = known | feed.owns(*owner)
-    reason = (
-        F.when(F.coalesce(F.col("payload"), F.lit("")) == "", EMPTY)
-        .when(~F.coalesce(known, F.lit(False)), NO_FEED)
-        .when(~F.col("_is_json"), MALFORMED)
-        .when(F.col("kind") == UNKNOWN, UNKNOWN_EVENT)
-        .when(F.col("kind").isin(*kinds) & ~F.coalesce(read, F.lit(False)), PARSE)
-    )
-    return parsed.select(
+    for mine in owned:
+        known = known | F.coalesce(mine, F.lit(False))
+    records = read.select(
         *ENVELOPE,
         "payload",
         "kind",
-        F.col("_record.ticks").alias("ticks"),
-        F.col("_record.depth").alias("depth"),
-        F.col("_record.ticker").alias("ticker"),
-        reason.alias("reject_reason"),
+        "is_json",
+        known.alias("known"),
+        *[(record(k) if k in wanted else F.lit(None)).alias(c) for k, c in RECORD_COLUMNS.items()],
+    )
+    whole = F.lit(False)
+    for column in RECORD_COLUMNS.values():
+        whole = whole | F.col(column).isNotNull()
+    reason = (
+        F.when(text == "", EMPTY)
+        .when(~F.col("known"), NO_FEED)
+        .when(~F.col("is_json"), MALFORMED)
+        .when(kind == UNKNOWN, UNKNOWN_EVENT)
+        .when(kind.isin(*wanted) & ~whole, PARSE)
+    )
+    return records.select(
+        *ENVELOPE, "payload", "kind", *RECORD_COLUMNS.values(), reason.alias("reject_reason")
     )
 
 
@@ -103,9 +138,8 @@ _KEYS = ("channel_id", "exchange", "market_type", "symbol", "seq", "recv_us")
 
 
 def tick_records(parsed: DataFrame) -> DataFrame:
-    return parsed.select(*_KEYS, latency().alias("local_diff"), F.explode("ticks").alias("_t")).select(
-        *_KEYS, "local_diff", "_t.*"
-    )
+    found = parsed.where(F.col("tick").isNotNull())
+    return found.select(*_KEYS, latency().alias("local_diff"), "tick.*")
 
 
 def depth_records(parsed: DataFrame) -> DataFrame:

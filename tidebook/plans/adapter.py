@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook.session import tune
 from tidebook.sources.registry import with_identity
 
 
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, us, user_id, event_type, value, k, cents, symbol)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    tune(spark)
     return table(spark, sf_dir, "events").select(
         "event_id",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),

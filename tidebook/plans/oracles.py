@@ -36,7 +36,7 @@ _SPOT_TS = "CAST(trunc(CAST((us // 1000) || '.' || lpad(CAST(us % 1000 AS VARCHA
 def _depth(ts: str) -> str:
     return _with(f"""
 SELECT event_id AS seq, {ts} AS exchange_timestamp, event_id AS last_update_id, side,
-       row_number() OVER (PARTITION BY event_id, side ORDER BY i) AS level, price, quantity
+       CAST(row_number() OVER (PARTITION BY event_id, side ORDER BY i) AS INTEGER) AS level, price, quantity
 FROM (
   SELECT event_id, us, event_type, 'bid' AS side, i, CAST(cents - i AS DOUBLE) + sign_fix AS price,
          CAST(k + i AS DOUBLE) AS quantity
@@ -209,7 +209,7 @@ FROM e JOIN c ON e.symbol = c.symbol WHERE {keep} GROUP BY ALL""",
     )
 
 
-_QUOTES = "value AS best_bid_price, {bq} AS best_bid_qty, cents + 0.75 AS best_ask_price, {aq} AS best_ask_qty"
+_QUOTES = "value AS best_bid_price, {bq} AS best_bid_qty, CAST(cents + 0.75 AS DOUBLE) AS best_ask_price, {aq} AS best_ask_qty"
 
 ORACLES: dict[str, str] = {
     "trade_daily": _daily("record_tick"),
@@ -410,7 +410,7 @@ SELECT upper(event_type) AS symbol, count(*) AS rows FROM e GROUP BY 1 UNION ALL
     "topics_sent": _with("""
 SELECT * FROM (
   SELECT CASE WHEN event_type = 'error' THEN repeat('x', 46) ELSE 'binance' END || ':spot:' || symbol || ':tick'
-         AS topic, 1 AS msg_type, count(*) AS messages FROM e GROUP BY 1, 2
+         AS topic, CAST(1 AS TINYINT) AS msg_type, count(*) AS messages FROM e GROUP BY 1, 2
 ) WHERE length(topic) < 64"""),
     "degraded_replay": _with("""
 SELECT event_id, us, value, event_type, CAST(event_type = 'error' AS INTEGER) AS storage_target,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook import schemas
-from tidebook.feeds import FEEDS_ALL_TRADES, futures
+from tidebook.feeds import Feed, binance, futures, gateio
 from tidebook.functions import identity, numbers, timeparts
 from tidebook.operators import book, enrich, parse, tables, telemetry
 from tidebook.plans import adapter
@@ -26,6 +26,7 @@ QUERIES: dict[str, Query] = {}
 
 # The year against which times are checked: the given events lie in 2024.
 AS_OF_YEAR = 2024
+SPOT_FEED = (binance.SPOT,)
 
 
 def query(make: Query) -> Query:
@@ -39,25 +40,32 @@ def _named_query(name: str, make: Query) -> None:
 
 # --- feeds --------------------------------------------------------------------------------------------
 
-TRADE_PAYLOADS: dict[str, tuple[str, str, Callable[[], Column]]] = {
-    "binance_spot_trades": ("binance", "spot", lambda: adapter.binance_trade(F.col("us"))),
-    "binance_perp_trades": ("binance", "perpetual", lambda: adapter.binance_trade(adapter.ms())),
-    "gateio_spot_trades": ("gateio", "spot", adapter.gateio_spot_trade),
-    "gateio_perp_trades": ("gateio", "perpetual", lambda: adapter.gateio_perpetual_trades(F.lit(2))),
-    "gateio_perp_all_trades": ("gateio", "perpetual", lambda: adapter.gateio_perpetual_trades(F.lit(2))),
+TRADE_PAYLOADS: dict[str, tuple[Feed, Callable[[], Column]]] = {
+    "binance_spot_trades": (binance.SPOT, lambda: adapter.binance_trade(F.col("us"))),
+    "binance_perp_trades": (binance.PERPETUAL, lambda: adapter.binance_trade(adapter.ms())),
+    "gateio_spot_trades": (gateio.SPOT, adapter.gateio_spot_trade),
+    "gateio_perp_trades": (gateio.PERPETUAL, lambda: adapter.gateio_perpetual_trades(F.lit(2))),
+    "gateio_perp_all_trades": (
+        gateio.PERPETUAL_ALL_TRADES,
+        lambda: adapter.gateio_perpetual_trades(F.lit(2)),
+    ),
 }
-DEPTH_PAYLOADS: dict[str, tuple[str, str, Callable[[], Column]]] = {
-    "binance_spot_depth_levels": ("binance", "spot", adapter.binance_spot_depth),
-    "binance_perp_depth_levels": ("binance", "perpetual", adapter.binance_perpetual_depth),
-    "gateio_spot_depth_levels": ("gateio", "spot", adapter.gateio_spot_depth),
-    "gateio_perp_depth_levels": ("gateio", "perpetual", adapter.gateio_perpetual_depth),
+DEPTH_PAYLOADS: dict[str, tuple[Feed, Callable[[], Column]]] = {
+    "binance_spot_depth_levels": (binance.SPOT, adapter.binance_spot_depth),
+    "binance_perp_depth_levels": (binance.PERPETUAL, adapter.binance_perpetual_depth),
+    "gateio_spot_depth_levels": (gateio.SPOT, adapter.gateio_spot_depth),
+    "gateio_perp_depth_levels": (gateio.PERPETUAL, adapter.gateio_perpetual_depth),
 }
 
 
-def _trades(exchange: str, market: str, payload: Callable[[], Column], **options) -> Query:
+def _of_feed(spark: SparkSession, sf_dir: str, feed: Feed, payload: Column) -> DataFrame:
+    return adapter.raw_feed(adapter.ticks(spark, sf_dir), feed.exchange, feed.market_type, payload)
+
+
+def _trades(feed: Feed, payload: Callable[[], Column]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        raw = adapter.raw_feed(adapter.ticks(spark, sf_dir), exchange, market, payload())
-        parsed = parse.parse_messages(raw, kinds=("TICK",), **options)
+        raw = _of_feed(spark, sf_dir, feed, payload())
+        parsed = parse.parse_messages(raw, [feed], kinds=("TICK",))
         return parse.tick_records(parsed).select(
             "seq",
             "symbol",
@@ -72,36 +80,29 @@ def _trades(exchange: str, market: str, payload: Callable[[], Column], **options
     return run
 
 
-def _depth(exchange: str, market: str, payload: Callable[[], Column]) -> Query:
+def _depth(feed: Feed, payload: Callable[[], Column]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        raw = adapter.raw_feed(adapter.ticks(spark, sf_dir), exchange, market, payload())
-        records = parse.depth_records(parse.parse_messages(raw, kinds=("DEPTH",)))
-        out = None
-        for side, column in (("bid", "bids"), ("ask", "asks")):
-            long = records.select(
-                "seq",
-                "exchange_timestamp",
-                "last_update_id",
-                F.lit(side).alias("side"),
-                F.posexplode(column).alias("pos", "l"),
-            ).select(
-                "seq",
-                "exchange_timestamp",
-                "last_update_id",
+        raw = _of_feed(spark, sf_dir, feed, payload())
+        records = parse.depth_records(parse.parse_messages(raw, [feed], kinds=("DEPTH",)))
+        sides = F.create_map(F.lit("bid"), F.col("bids"), F.lit("ask"), F.col("asks"))
+        keys = ("seq", "exchange_timestamp", "last_update_id")
+        return (
+            records.select(*keys, F.explode(sides).alias("side", "levels"))
+            .select(*keys, "side", F.posexplode("levels").alias("pos", "l"))
+            .select(
+                *keys,
                 "side",
                 (F.col("pos") + 1).alias("level"),
                 F.col("l.price").alias("price"),
                 F.col("l.quantity").alias("quantity"),
             )
-            out = long if out is None else out.unionByName(long)
-        return out
+        )
 
     return run
 
 
 for _name, _spec in TRADE_PAYLOADS.items():
-    _options = {"feeds": FEEDS_ALL_TRADES} if _name == "gateio_perp_all_trades" else {}
-    _named_query(_name, _trades(*_spec, **_options))
+    _named_query(_name, _trades(*_spec))
 for _name, _spec in DEPTH_PAYLOADS.items():
     _named_query(_name, _depth(*_spec))
 
@@ -145,7 +146,7 @@ def futures_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def classify_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse.parse_messages(adapter.mixed_feed(adapter.ticks(spark, sf_dir)))
+    parsed = parse.parse_messages(adapter.mixed_feed(adapter.ticks(spark, sf_dir)), kinds=())
     named = parsed.withColumn("kind", F.coalesce("kind", F.lit("NONE")))
     return named.groupBy("exchange", "market_type", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -231,7 +232,7 @@ def _spot_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def trade_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw JSON to trades, rolled up per symbol and day."""
     raw, channels = _spot_records(spark, sf_dir)
-    trades = records_from_raw(raw, channels, AS_OF_YEAR).trades()
+    trades = records_from_raw(raw, channels, AS_OF_YEAR, SPOT_FEED).trades()
     return daily(trades)
 
 
@@ -248,7 +249,7 @@ def daily(trades: DataFrame) -> DataFrame:
 @query
 def enrich_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, channels = _spot_records(spark, sf_dir)
-    ticks = parse.tick_records(parse.parse_messages(raw, kinds=("TICK",)))
+    ticks = parse.tick_records(parse.parse_messages(raw, SPOT_FEED, kinds=("TICK",)))
     return enrich.registered(ticks, channels).select(
         "seq", "exchange", "market_type", "symbol", "depth_level", "record_tick", "persist_to_disk", "price"
     )
@@ -257,7 +258,7 @@ def enrich_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def enrich_left_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, channels = _spot_records(spark, sf_dir)
-    ticks = parse.tick_records(parse.parse_messages(raw, kinds=("TICK",)))
+    ticks = parse.tick_records(parse.parse_messages(raw, SPOT_FEED, kinds=("TICK",)))
     return enrich.with_defaults(ticks, channels).select(
         "seq", "exchange", "market_type", "symbol", "depth_level", "quantity"
     )
@@ -266,7 +267,7 @@ def enrich_left_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def unknown_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, channels = _spot_records(spark, sf_dir)
-    ticks = parse.tick_records(parse.parse_messages(raw, kinds=("TICK",)))
+    ticks = parse.tick_records(parse.parse_messages(raw, SPOT_FEED, kinds=("TICK",)))
     lost = enrich.unregistered(ticks, channels)
     return lost.groupBy("symbol").agg(F.count(F.lit(1)).alias("dropped"))
 
@@ -274,7 +275,7 @@ def unknown_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def persisted_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, channels = _spot_records(spark, sf_dir)
-    trades = records_from_raw(raw, channels, AS_OF_YEAR).trades()
+    trades = records_from_raw(raw, channels, AS_OF_YEAR, SPOT_FEED).trades()
     kept = enrich.of_persisted_channels(trades, channels)
     return kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"))
 
@@ -306,7 +307,7 @@ def _orderbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     channels = adapter.channels(spark, sf_dir, "binance", "perpetual")
     events = adapter.ticks(spark, sf_dir)
     raw = adapter.raw_feed(events, "binance", "perpetual", adapter.binance_perpetual_depth())
-    depths = parse.depth_records(parse.parse_messages(adapter.stamped(raw, channels), kinds=("DEPTH",)))
+    depths = parse.depth_records(parse.parse_messages(adapter.stamped(raw, channels), [binance.PERPETUAL], kinds=("DEPTH",)))
     return tables.to_orderbook(enrich.registered(depths, channels), keep_update_id=True)
 
 
@@ -378,8 +379,8 @@ def book_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         "channel_id",
         "seq",
         "exchange_timestamp",
-        F.size("bid_prices").alias("bids"),
-        F.size("ask_prices").alias("asks"),
+        F.size("bid_prices").cast("bigint").alias("bids"),
+        F.size("ask_prices").cast("bigint").alias("asks"),
         F.get("bid_prices", F.lit(0)).alias("best_bid"),
         F.get("ask_prices", F.lit(0)).alias("best_ask"),
         F.aggregate("bid_sizes", F.lit(0.0), lambda a, x: a + x).alias("bid_quantity"),
@@ -414,7 +415,7 @@ def _trades_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trade rows with one symbol per event type: few channels, many rows each."""
     events = adapter.ticks(spark, sf_dir).withColumn("symbol", F.upper("event_type"))
     raw = adapter.raw_feed(events, "binance", "spot", adapter.binance_trade(F.col("us")))
-    ticks = parse.tick_records(parse.parse_messages(raw, kinds=("TICK",)))
+    ticks = parse.tick_records(parse.parse_messages(raw, SPOT_FEED, kinds=("TICK",)))
     return tables.to_trades(ticks)
 
 
@@ -457,7 +458,7 @@ def csv_bookticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "csv")
     events = adapter.ticks(spark, sf_dir).withColumn("symbol", F.upper("event_type"))
     raw = adapter.raw_feed(events, "gateio", "spot", adapter.gateio_ticker("spot", quoted=True))
-    quotes = parse.ticker_records(parse.parse_messages(raw, kinds=("BOOK_TICKER",)))
+    quotes = parse.ticker_records(parse.parse_messages(raw, [gateio.SPOT], kinds=("BOOK_TICKER",)))
     table_sinks.write_csv(tables.to_bookticker(quotes), path, "bookticker")
     return csv_tree.read_bookticker(spark, path, layout="nested")
 
@@ -467,7 +468,7 @@ def csv_orderbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "csv")
     events = adapter.ticks(spark, sf_dir).withColumn("symbol", F.upper("event_type"))
     raw = adapter.raw_feed(events, "binance", "perpetual", adapter.binance_perpetual_depth())
-    depths = parse.depth_records(parse.parse_messages(raw, kinds=("DEPTH",)))
+    depths = parse.depth_records(parse.parse_messages(raw, [binance.PERPETUAL], kinds=("DEPTH",)))
     shaped = tables.to_orderbook(depths.withColumn("depth_level", F.lit(3)))
     table_sinks.write_csv(shaped, path, "orderbook", depth=3)
     return tables.to_long(csv_tree.read_orderbook(spark, path, layout="nested"))
@@ -488,7 +489,7 @@ def topics_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages per topic; for events of type error the topic is too long to be sent."""
     events = adapter.ticks(spark, sf_dir)
     raw = adapter.raw_feed(events, "binance", "spot", adapter.binance_trade(F.col("us")))
-    ticks = parse.tick_records(parse.parse_messages(raw, kinds=("TICK",)))
+    ticks = parse.tick_records(parse.parse_messages(raw, SPOT_FEED, kinds=("TICK",)))
     types = events.select(F.col("event_id").alias("seq"), "event_type")
     prefix = identity.channel_key(
         F.when(F.col("event_type") == "error", F.repeat(F.lit("x"), 46)).otherwise(F.col("exchange")),
@@ -527,7 +528,7 @@ def degraded_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latency_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = adapter.ticks(spark, sf_dir)
     raw = adapter.raw_feed(events, "binance", "spot", adapter.binance_trade(F.col("us")))
-    return telemetry.last_latency(parse.tick_records(parse.parse_messages(raw, kinds=("TICK",))))
+    return telemetry.last_latency(parse.tick_records(parse.parse_messages(raw, SPOT_FEED, kinds=("TICK",))))
 
 
 @query
@@ -544,7 +545,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> stream_feed.Outputs:
     raw.select(*[f.split()[0] for f in schemas.RAW_FEED.split(", ")]).write.parquet(source)
     outputs = stream_feed.Outputs(scratch(spark, "stream"))
     feed = stream_table(spark, "raw_feed", source)
-    stream_feed.start(feed, channels, outputs, AS_OF_YEAR, interval=None).awaitTermination()
+    stream_feed.start(feed, channels, outputs, AS_OF_YEAR, SPOT_FEED, interval=None).awaitTermination()
     return outputs
 
 
