@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.session import tune
+from tidebook.sources.messages import spread
 from tidebook.sources.registry import with_identity
 
 
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, us, user_id, event_type, value, k, cents, symbol)."""
     tune(spark)
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
         "event_id",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         "user_id",

@@ -29,13 +29,8 @@ def local_session(app: str = "tidebook", cores: str = "*", shuffle: int = 8, **c
 
 
 def tune(spark: SparkSession) -> None:
-    """Runtime settings the jobs rely on.
-
-    Times are shown in UTC. Generated methods over 8000 bytes are never compiled by HotSpot, so wide parsing
-    projections leave whole-stage code and are split into small methods instead.
-    """
+    """Runtime settings the jobs rely on: dates and times are in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def shared_dir(spark: SparkSession) -> str:
