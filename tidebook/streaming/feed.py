@@ -20,6 +20,7 @@ from tidebook.operators import telemetry
 from tidebook.operators.parse import parse_messages
 from tidebook.plans.records import Records, records_from_parsed
 from tidebook.sinks import deadletter, tables, topics
+from tidebook.sources.registry import broadcast_if_small
 
 # Fixed value: default time between two batches.
 DEFAULT_INTERVAL = "1 second"
@@ -92,12 +93,14 @@ def start(
     ``maxOffsetsPerTrigger``). ``primary(batch_id)`` may supply another table writer.
     """
 
+    known = broadcast_if_small(channels)
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         parsed = parse_messages(batch, feeds).persist()
         try:
-            records = records_from_parsed(parsed, channels, as_of_year)
+            records = records_from_parsed(parsed, known, as_of_year)
             write_records(records, batch_id, outputs, primary(batch_id) if primary else None)
         finally:
             parsed.unpersist()
@@ -111,7 +114,9 @@ def start(
     return writer.trigger(**trigger).start()
 
 
-def append_stream(rows: DataFrame, kind: str, outputs: Outputs, interval: str | None = DEFAULT_INTERVAL) -> StreamingQuery:
+def append_stream(
+    rows: DataFrame, kind: str, outputs: Outputs, interval: str | None = DEFAULT_INTERVAL
+) -> StreamingQuery:
     """A stream that already has a table's schema, appended to that table batch by batch."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
