@@ -25,8 +25,11 @@ class Side:
         self.sizes = [float(x["size"]) for x in kept]
 
     def put(self, price: float, size: float) -> None:
-        if price in self.prices:
+        try:
             at = self.prices.index(price)
+        except ValueError:
+            at = -1
+        if at >= 0:
             if size > 0:
                 self.sizes[at] = size
             else:

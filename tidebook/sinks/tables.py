@@ -75,9 +75,15 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_bucketed(rows: DataFrame, name: str, buckets: int = SYMBOL_BUCKETS, mode: str = "append") -> None:
-    """A catalog table bucketed by symbol, so later joins and aggregates on symbol need no shuffle."""
+    """A catalog table bucketed by symbol, so later joins and aggregates on symbol need no shuffle.
+
+    Rows are first ranged by (date, bucket, symbol, time), so few tasks write to one bucket of one day, and a
+    busy one still gets several.
+    """
+    order = [F.col("trade_date"), identity.bucket(F.col("symbol"), buckets), "symbol", "exchange_timestamp"]
     (
-        rows.write.mode(mode)
+        rows.repartitionByRange(*order)
+        .write.mode(mode)
         .partitionBy("trade_date")
         .bucketBy(buckets, "symbol")
         .sortBy("symbol", "exchange_timestamp")
