@@ -91,7 +91,8 @@ def _stages(app_id: str, feeds: tuple[Feed, ...], kinds: tuple[str, ...]) -> _St
 
     def record(k: str) -> Column:
         if k not in wanted:
-            return F.lit(None)
+            parts = [f"{n}:{_LEVELS if t == 'variant' else t}" for n, t in FIELDS[k].items()]
+            return F.lit(None).cast(f"struct<{','.join(parts)}>")
         fields = {
             n: F.col(f"sides.{n}") if type_ == "variant" else F.col(f"r.{k}_{n}") for n, type_ in FIELDS[k].items()
         }

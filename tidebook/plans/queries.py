@@ -232,7 +232,7 @@ def _spot_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def trade_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw JSON to trades, rolled up per symbol and day."""
     raw, channels = _spot_records(spark, sf_dir)
-    trades = records_from_raw(raw, channels, AS_OF_YEAR, SPOT_FEED).trades()
+    trades = records_from_raw(raw, channels, AS_OF_YEAR, SPOT_FEED, ("TICK",)).trades()
     return daily(trades)
 
 
@@ -275,7 +275,7 @@ def unknown_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def persisted_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, channels = _spot_records(spark, sf_dir)
-    trades = records_from_raw(raw, channels, AS_OF_YEAR, SPOT_FEED).trades()
+    trades = records_from_raw(raw, channels, AS_OF_YEAR, SPOT_FEED, ("TICK",)).trades()
     kept = enrich.of_persisted_channels(trades, channels)
     return kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"))
 

@@ -68,9 +68,14 @@ def records_from_parsed(parsed: DataFrame, channels: DataFrame, as_of_year: int)
 
 
 def records_from_raw(
-    raw: DataFrame, channels: DataFrame, as_of_year: int, feeds: Sequence[Feed] = FEEDS
+    raw: DataFrame,
+    channels: DataFrame,
+    as_of_year: int,
+    feeds: Sequence[Feed] = FEEDS,
+    kinds: Sequence[str] = ("TICK", "DEPTH", "BOOK_TICKER"),
 ) -> Records:
-    return records_from_parsed(parse.parse_messages(raw, feeds), channels, as_of_year)
+    """``kinds`` narrows what is read; the tables of other kinds are then empty."""
+    return records_from_parsed(parse.parse_messages(raw, feeds, kinds), channels, as_of_year)
 
 
 def union_records(first: DataFrame, *others: DataFrame) -> DataFrame:
