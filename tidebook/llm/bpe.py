@@ -184,7 +184,7 @@ def encode(frame: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                 found = list_array(*own.encode(texts[begin:end]))
                 yield replaced(batch.slice(begin, end - begin), ids, found)
 
-    return frame.mapInArrow(run, with_field(frame, ids, T.ArrayType(T.IntegerType())))
+    return frame.mapInArrow(run, with_field(frame.schema, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(frame: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -203,4 +203,4 @@ def decode(frame: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "
                 begin += n or 0
             yield replaced(batch, decoded, pa.array(out, pa.binary()))
 
-    return frame.mapInArrow(run, with_field(frame, decoded, T.BinaryType()))
+    return frame.mapInArrow(run, with_field(frame.schema, decoded, T.BinaryType()))

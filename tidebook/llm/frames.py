@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
@@ -12,5 +11,7 @@ def replaced(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBat
     kept = [(n, batch.column(k)) for k, n in enumerate(batch.schema.names) if n != name]
     return pa.RecordBatch.from_arrays([*(c for _, c in kept), column], names=[*(n for n, _ in kept), name])
 
-def with_field(frame: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in frame.schema.fields if f.name != name), T.StructField(name, kind)])
+
+def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    """The schema with the field last, in place of any other of that name."""
+    return T.StructType([*(f for f in schema.fields if f.name != name), T.StructField(name, kind)])
