@@ -2,4 +2,37 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+LINE_DEDUP = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS k, doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), windows AS (
+    SELECT k, doc_id, line - 1 AS line,
+        trim(lines[line], ' ') || chr(10) || trim(lines[line + 1], ' ') || chr(10) || trim(lines[line + 2], ' ') AS body
+    FROM (SELECT k, doc_id, lines, unnest(range(1, len(lines) - 1)) AS line FROM docs WHERE text IS NOT NULL)
+), firsts AS (
+    SELECT body, min((doc_id, line)) AS first FROM windows WHERE body <> chr(10) || chr(10)
+    GROUP BY body HAVING count(*) > 1
+), gone AS (
+    SELECT DISTINCT k, unnest(range(line, line + 3)) AS line
+    FROM windows JOIN firsts USING (body) WHERE (doc_id, line) <> first
+), islands AS (
+    SELECT k, min(line) AS start, max(line) + 1 AS stop
+    FROM (SELECT k, line, line - row_number() OVER (PARTITION BY k ORDER BY line) AS island FROM gone)
+    GROUP BY k, island
+), cut AS (
+    SELECT k, sum(stop - start) AS n_removed, string_agg(start || '-' || stop, ',' ORDER BY start) AS removed
+    FROM islands GROUP BY k
+), kept AS (
+    SELECT k, string_agg(body, chr(10) ORDER BY line) AS text
+    FROM (SELECT k, unnest(lines) AS body, unnest(range(len(lines))) AS line FROM docs) ANTI JOIN gone USING (k, line)
+    GROUP BY k
+)
+SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+    coalesce(removed, '') AS removed,
+    CASE WHEN docs.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS text_sha256
+FROM docs LEFT JOIN cut USING (k) LEFT JOIN kept USING (k)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": LINE_DEDUP,
+}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, decontaminate, jaccard_join, lang_id, token_files
+from tidebook.llm import bpe, decontaminate, jaccard_join, lang_id, line_dedup, token_files
 from tidebook.session import scratch
 
 
@@ -24,6 +24,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    ranges = F.transform("removed", lambda r: F.concat_ws("-", r["start"], r["end"]))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        n_removed.alias("n_removed"),
+        F.array_join(ranges, ",").alias("removed"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -62,6 +75,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_token_files": op9_token_files,
