@@ -30,7 +30,9 @@ from tidebook.llm.words import Encoder, in_parts, list_array, splitter
 #: Bytes of new words in one replay.
 REPLAY_BYTES = 1 << 21
 #: Pairs of tokens whose merge is remembered.
-PAIRS = 1_000_000
+PAIRS = 300_000
+#: Ids that are decoded together.
+DECODED_IDS = 500_000
 
 
 @lru_cache(maxsize=4)
@@ -170,6 +172,30 @@ def encoder(content: bytes, pattern: str) -> Encoder:
     return Encoder(splitter(pattern), lambda new: replay.encode([w.encode() for w in new]))
 
 
+class TokenBytes:
+    """The bytes of all tokens in one row, from which those of many ids are gathered at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        known = {rank: token for token, rank in ranks.items()}
+        tokens = [known.get(k, b"") for k in range(max(known, default=-1) + 1)]
+        self.row = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        ids = lists.flatten().to_numpy()
+        sizes = self.sizes[ids]
+        if len(sizes) and not sizes.all():
+            raise ValueError("an id that the vocabulary lacks")
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])
+        row = self.row[at].tobytes()
+        lengths = lists.value_lengths()
+        upto = ends[np.concatenate([[0], np.cumsum(lengths.fill_null(0).to_numpy())])].tolist()
+        null = lengths.is_null().to_pylist()
+        return pa.array([None if n else row[a:b] for n, (a, b) in zip(null, pairwise(upto), strict=True)], pa.binary())
+
+
 def encode(frame: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``frame`` with the ids of each text, an array of int. The rank file is read once, by the driver; its size is
     that of a vocabulary, whatever the tables hold."""
@@ -193,14 +219,13 @@ def decode(frame: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "
         content = frame.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: token for token, rank in ranks_of(content.value).items()}
+        table = TokenBytes(ranks_of(content.value))
         for batch in batches:
-            lists = batch.column(ids)
-            flat = list(map(token.__getitem__, lists.flatten().to_pylist()))
-            out, begin = [], 0
-            for n in lists.value_lengths().to_pylist():
-                out.append(None if n is None else b"".join(flat[begin : begin + n]))
-                begin += n or 0
-            yield replaced(batch, decoded, pa.array(out, pa.binary()))
+            sizes = batch.column(ids).value_lengths().fill_null(0).to_numpy()
+            ends = np.cumsum(sizes)
+            cuts = np.searchsorted(ends, np.arange(DECODED_IDS, ends[-1] if len(ends) else 0, DECODED_IDS), "right")
+            for begin, end in pairwise(sorted({0, *cuts.tolist(), batch.num_rows})):
+                rows = batch.slice(begin, end - begin)
+                yield replaced(rows, decoded, table.decode(rows.column(ids)))
 
     return frame.mapInArrow(run, with_field(frame.schema, decoded, T.BinaryType()))

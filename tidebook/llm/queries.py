@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, decontaminate, jaccard_join, lang_id, line_dedup, token_files
+from tidebook.llm import bpe, decontaminate, jaccard_join, lang_id, line_dedup, secret_scan, token_files
 from tidebook.session import scratch
 
 
@@ -37,6 +37,27 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def joined_spans(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, scratch(spark, "blob-ledger")).select("doc_id", "spans")
+    base = [r.name for r in secret_scan.BASE]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    of_base = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *map(count, base),
+        F.sha2(joined_spans(of_base), 256).alias("base_sha256"),
+        joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -76,6 +97,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_token_files": op9_token_files,

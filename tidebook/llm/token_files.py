@@ -15,6 +15,7 @@ the order of a hash of their texts; an empty table gives an empty manifest. Othe
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,8 +41,10 @@ def encoder(vocabulary: str) -> Encoder:
     """The tokenizers library behind a memory of words; one for each worker process.
 
     A byte-level tokenizer without added prefix encodes the words of its pattern each by itself, so encoding every
-    new word once gives the ids of encoding whole texts.
+    new word once gives the ids of encoding whole texts. Tasks share the cores already: the library's own threads
+    would only get in each other's way.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_str(vocabulary)
     tokenizer.encode_special_tokens = True
 
