@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, decontaminate, jaccard_join, lang_id, line_dedup, secret_scan, token_files
+from tidebook.llm import bpe, decontaminate, jaccard_join, lang_id, line_dedup, secret_scan, token_files, warc
 from tidebook.session import scratch
 
 
@@ -76,6 +76,18 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.clusters(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    fields = F.col("metadata.fields")
+    return warc.assemble(warc.read(manifest)).select(
+        F.expr("try_cast(metadata.fields['pageId'] AS bigint)").alias("page_id"),
+        F.coalesce("payload_bytes", fields["payloadBytes"].cast("long")).alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        F.expr("try_cast(split_part(refers_to, ':', 3) AS bigint)").alias("refers_to"),
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
@@ -100,6 +112,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_warc": op8_warc,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
 }
