@@ -33,6 +33,45 @@ SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(n_removed, 0
 FROM docs LEFT JOIN cut USING (k) LEFT JOIN kept USING (k)
 """
 
+PREFERENCE = r"""
+WITH clean AS (
+    SELECT conv_id, turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, role, text FROM clean
+), replies AS (
+    SELECT conv_id, max(k) AS k, max_by(text, k) AS text FROM turns WHERE role = 'assistant' GROUP BY conv_id
+), pairs AS (
+    SELECT c.conv_id, c.n, coalesce(own.k, c.n + 1) AS reply_at, own.k IS NOT NULL AS has, other.text AS other
+    FROM (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id) c
+    LEFT JOIN replies own USING (conv_id) LEFT JOIN replies other ON other.conv_id = xor(c.conv_id, 1)
+), rejected AS (
+    SELECT t.conv_id, CASE WHEN has AND other IS NULL AND t.k > reply_at THEN t.k - 1 ELSE t.k END AS k, role,
+        CASE WHEN has AND t.k = reply_at THEN other ELSE t.text END AS text
+    FROM turns t JOIN pairs USING (conv_id) WHERE NOT (has AND t.k = reply_at AND other IS NULL)
+), same AS (
+    SELECT t.conv_id, t.k, bool_and(coalesce(t.role = r.role AND t.text = r.text, false))
+        OVER (PARTITION BY t.conv_id ORDER BY t.k) AS same
+    FROM turns t LEFT JOIN rejected r USING (conv_id, k)
+), shared AS (
+    SELECT conv_id, count(*) FILTER (same) AS n_shared FROM same GROUP BY conv_id
+), drawn AS (
+    SELECT 'c' AS side, * FROM turns UNION ALL SELECT 'r', * FROM rejected
+), texts AS (
+    SELECT conv_id, n_shared,
+        string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY k) FILTER (side = 'c' AND k <= n_shared) AS prompt,
+        string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY k) FILTER (side = 'c' AND k > n_shared) AS chosen,
+        string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY k) FILTER (side = 'r' AND k > n_shared) AS rejected,
+        string_agg((13 + length(role)) || ':0,' || (11 + length(text)) || ':' || (role = 'assistant')::INT, ',' ORDER BY k) FILTER (side = 'c' AND k > n_shared) AS chosen_mask,
+        string_agg((13 + length(role)) || ':0,' || (11 + length(text)) || ':' || (role = 'assistant')::INT, ',' ORDER BY k) FILTER (side = 'r' AND k > n_shared) AS rejected_mask
+    FROM drawn JOIN shared USING (conv_id) GROUP BY conv_id, n_shared
+)
+SELECT conv_id, n_shared, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen,
+    coalesce(chosen_mask, '') AS chosen_mask, coalesce(rejected, '') AS rejected, coalesce(rejected_mask, '') AS rejected_mask
+FROM texts
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_preference": PREFERENCE,
     "op2_line_dedup": LINE_DEDUP,
 }

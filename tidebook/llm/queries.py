@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, decontaminate, jaccard_join, lang_id, line_dedup, multi_index, secret_scan, token_files, warc
+from tidebook.llm import bpe, decontaminate, jaccard_join, lang_id, line_dedup, multi_index, preference, secret_scan, token_files, warc
 from tidebook.session import scratch
 
 
@@ -58,6 +58,28 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preference.conversations(table(spark, sf_dir, "conversations"))
+    found = preference.format_pairs(preference.mismatched(turns))
+
+    def text(side: str) -> Column:
+        return F.array_join(F.transform(f"{side}_completion", lambda s: s["text"]), "").alias(side)
+
+    def mask(side: str) -> Column:
+        runs = F.transform(f"{side}_completion", lambda s: F.concat_ws(":", F.length(s["text"]), s["trained"].cast("int")))
+        return F.array_join(runs, ",").alias(f"{side}_mask")
+
+    return found.select(
+        "conv_id",
+        F.col("n_shared").cast("long").alias("n_shared"),
+        "prompt",
+        text("chosen"),
+        mask("chosen"),
+        text("rejected"),
+        mask("rejected"),
+    )
+
+
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -114,6 +136,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_preference": op4_preference,
     "op5_multi_index": op5_multi_index,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
