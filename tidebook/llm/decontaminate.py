@@ -239,8 +239,9 @@ def _joined(docs: DataFrame, text: str, index, more: bool) -> DataFrame:
                 earlier = (rows.column("hits").to_pylist(), rows.column("items").to_pylist()) if more else None
                 order = np.argsort(which, kind="stable")
                 which, start, windows = which[order], start[order], windows[order]
-                texts_hit, first = np.unique(which, return_index=True)
-                for t, s, w in zip(texts_hit.tolist(), np.split(start, first[1:]), np.split(windows, first[1:]), strict=True):
+                texts_hit, first, n = np.unique(which, return_index=True, return_counts=True)
+                for t, at, m in zip(texts_hit.tolist(), first.tolist(), n.tolist(), strict=True):
+                    s, w = start[at : at + m], windows[at : at + m]
                     hits[t] = merged(s, s + own.sizes[w])
                     items[t] = sorted({own.items[i] for x in set(w.tolist()) for i in own.window_items[x]})
                 if earlier:

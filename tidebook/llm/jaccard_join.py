@@ -1,16 +1,18 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
-Documents are sets of word shingles. Two sets with similarity of at least ``threshold`` percent share at least
-``least(n)`` shingles, n the size of either. With one global order of shingles, rare ones first, their prefixes of
-``n - least(n) + l`` shingles then share at least l, for every l up to ``least(n)``. A prefix longer by one costs more
-index entries to read but asks for one more match before a pair is verified; each document takes the l whose estimated
-cost is least (``levels``). A pair goes by the l of its larger set. Verification compares whole sets.
+Documents are sets of word shingles, in one global order, rare ones first. A set of n shares at least ``least(n)`` of
+them with any partner, and more with one that isn't smaller. So the prefixes of ``n - shared + l`` shingles, of the
+larger and of the smaller set, have at least l in common, for every l. A prefix longer by one costs more index entries
+to read but asks for one more match before a pair is verified; each document takes the l whose estimated cost is least
+(``levels``), and a pair goes by the l of its larger set. What the sizes of a pair add to the matches that it needs
+(``overlap`` less what may lie ``outside`` the prefixes) is asked for too. Verification compares whole sets.
 
 * The order comes from a table of counts of hashed shingles over all documents, of fixed width. Any order is right.
 * Equal sets are one vertex, so copies are never paired with each other.
-* Groups of near copies would share nearly all their entries. A first round pairs each document only with the smallest
-  document at each of its first ``PILOT`` prefix entries, verifies these pairs and finds their components. The full
-  round leaves out pairs inside one component, which another link could not change; it loses no link between classes.
+* Groups of near copies would share nearly all their entries. A first round takes up to ``PILOT`` prefix entries of
+  each document, frequent ones if it has any, pairs it only with the document of each entry that has the fewest rare
+  shingles, verifies these pairs and finds their components. The full round leaves out pairs inside one component,
+  which another link could not change; it loses no link between classes.
 
 Rows: a document without words has an empty set, size 0, and stays alone; rows with a null id get a size but no
 component; rows that share an id are one vertex (linked as soon as any of them is); an empty table gives an empty
@@ -31,7 +33,7 @@ from tidebook.llm.components import components, kept
 
 SHINGLE = 5
 THRESHOLD = 75
-LEVELS = 4
+LEVELS = 6
 PILOT = 8
 #: Slots of the table of counts, and those that one row of it holds.
 WIDTH = 1 << 20
@@ -74,8 +76,8 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     n = max(1, len(h) - size + 1)
     whole = np.full(n, np.uint64(min(size, len(h))), np.uint64)
     for k in range(min(size, len(h))):
-        whole = mixed(whole * ODD + h[k : k + n])
-    return np.unique(whole)
+        whole = whole * ODD + h[k : k + n]
+    return np.unique(mixed(whole))
 
 
 def least(n, threshold: int = THRESHOLD):
@@ -110,33 +112,28 @@ def slots(hashes: np.ndarray, width: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
 
 
-def counts(docs: DataFrame, size: int, width: int = WIDTH) -> np.ndarray:
-    """How many documents have a shingle in each slot: an upper bound for each shingle, of fixed size."""
+def survey(docs: DataFrame, size: int, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]:
+    """One reading of all documents: (doc_id, n, mark), mark a 128-bit fingerprint of the set; and how many documents
+    have a shingle in each slot, an upper bound for each shingle, of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(total, slots(shingles(text or "", size), width), 1)
-        for slot, own in enumerate(total.reshape(-1, ROW)):
-            if own.any():
-                yield table_row(slot, own)
-
-    rows = docs.select("text").mapInArrow(run, "slot int, held array<long>")
-    return np.minimum(_added_up(rows, width, np.add, "int64"), 2**31 - 1).astype(np.int32)
-
-
-def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n and a 128-bit fingerprint of the set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t or "", size) for t in batch.column(1).to_pylist()]
-            marks = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            total += np.bincount(slots(np.concatenate([*sets, np.zeros(0, np.uint64)]), width), minlength=width)
             n = pa.array(list(map(len, sets)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(marks, pa.binary())], names=["doc_id", "n", "mark"])
+            marks = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            none = [pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, marks, *none], names=names)
+        for slot, own in enumerate(total.reshape(-1, ROW)):
+            if own.any():
+                none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, *table_row(slot, own).columns], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, mark binary")
+    names = ["doc_id", "n", "mark", "slot", "held"]
+    both = kept(docs.mapInArrow(run, "doc_id long, n long, mark binary, slot int, held array<long>"), "survey")
+    table = _added_up(both.where("slot is not null").select("slot", "held"), width, np.add, "int64")
+    return both.where("slot is null").select("doc_id", "n", "mark"), np.minimum(table, 2**31 - 1).astype(np.int32)
 
 
 def levels(freq: np.ndarray, first: int, most: int, n: int) -> int:
@@ -148,32 +145,42 @@ def levels(freq: np.ndarray, first: int, most: int, n: int) -> int:
 
 
 def prefixes(docs: DataFrame, table, size: int, threshold: int, most: int) -> DataFrame:
-    """doc_id, n, level, and the prefix of level ``most``, for every document with words."""
+    """doc_id, n, level, the prefix of level ``most``, some entries of it for the first round (``pilot``), and how many
+    entries nobody else seems to have (``rare``), for every document with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot_counts = table.value
         usual = int(np.median(slot_counts))
+        often = usual + 4 * int(np.sqrt(usual)) + 1
         for batch in batches:
-            ids, n, level, prefix = [], [], [], []
+            ids, n, level, rare, prefix, pilot = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = shingles(text or "", size)
                 if not len(own):
                     continue
                 freq = slot_counts[slots(own, len(slot_counts))]
                 order = np.argsort(freq, kind="stable")
+                own, freq = own[order], freq[order]
                 shared = int(least(len(own), threshold))
                 first, top = len(own) - shared + 1, min(most, shared)
                 ids.append(doc_id)
                 n.append(len(own))
-                level.append(levels(np.maximum(freq[order] - usual, 1), first, top, len(own)))
-                prefix.append(own[order[: first + top - 1]])
-            ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-            flat = np.concatenate([*prefix, np.zeros(0, np.uint64)]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(level, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "level", "prefix"])
+                level.append(levels(np.maximum(freq - usual, 1), first, top, len(own)))
+                prefix.append(own[: first + top - 1])
+                rare.append(int((freq[: len(prefix[-1])] <= often).sum()))
+                common = prefix[-1][rare[-1] :]
+                pilot.append(np.sort(common if len(common) else prefix[-1])[:PILOT])
+            columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(level, pa.int32()), pa.array(rare, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, lists_of(prefix), lists_of(pilot)], names=names)
+
+    names = ["doc_id", "n", "level", "rare", "prefix", "pilot"]
+    return docs.mapInArrow(run, "doc_id long, n long, level int, rare int, prefix array<long>, pilot array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, level int, prefix array<long>")
+def lists_of(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
 def _members(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -223,40 +230,55 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _least(n, threshold: int):
+    """Shingles that a set of n shares at least with a partner that isn't smaller."""
+    return F.ceil(n * (2 * threshold) / (100 + threshold))
+
+
 def _entries(sets: DataFrame, threshold: int) -> DataFrame:
-    """A row for each prefix entry; ``at``: the lowest level whose prefix has it."""
-    first = F.col("n") - F.ceil(F.col("n") * threshold / 100)
+    """A row for each prefix entry: the lowest level whose prefix has it, if the document is the larger one of a pair
+    (``probe``) and if it is the smaller (``index``)."""
+    n, pos = F.col("n"), F.col("pos")
+
+    def lowest(shared):
+        return F.greatest(F.lit(1), pos - (n - shared) + 1).cast("int")
+
     rows = sets.select("doc_id", "class", "n", "level", F.posexplode("prefix").alias("pos", "token"))
-    return rows.select("token", "doc_id", "class", "n", "level", F.greatest(F.lit(1), F.col("pos") - first + 1).cast("int").alias("at"))
+    probe, index = lowest(F.ceil(n * threshold / 100)), lowest(_least(n, threshold))
+    return rows.select("token", "doc_id", "class", "n", "level", probe.alias("probe"), index.alias("index"))
 
 
 def links(
-    docs: DataFrame, members: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, most: int = LEVELS
+    docs: DataFrame, members: DataFrame, counts: np.ndarray, size: int = SHINGLE, threshold: int = THRESHOLD, most: int = LEVELS
 ) -> DataFrame:
     """Verified links (a, b) that connect all documents which similarity connects, one document for each set."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(counts(docs, size))
+    table = docs.sparkSession.sparkContext.broadcast(counts)
     copies = members.where("doc_id <> rep").select("doc_id").distinct()
     sets = prefixes(docs.where("doc_id is not null"), table, size, threshold, most).join(copies, "doc_id", "left_anti")
     sets = kept(sets, "prefixes")
 
-    pilot = sets.select("doc_id", F.explode(F.slice("prefix", 1, PILOT)).alias("token"))
-    hubs = kept(pilot.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("f")).where("f > 1"), "hubs")
-    near = pilot.join(hubs, "token").where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct()
+    pilot = sets.select("doc_id", "rare", F.explode("pilot").alias("token"))
+    hub = F.min(F.struct("rare", "doc_id"))["doc_id"].alias("b")
+    hubs = kept(pilot.groupBy("token").agg(hub, F.count("*").alias("f")).where("f > 1").drop("f"), "hubs")
+    near = pilot.join(hubs, "token").where("doc_id <> b")
+    near = near.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
     found = kept(verified(kept(near, "pilot-pairs"), docs, size, threshold), "pilot-links")
     classes = components(found)
 
     sets = sets.join(classes.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
-    sets = sets.withColumn("class", F.coalesce("component", "doc_id")).drop("component")
+    sets = sets.withColumn("class", F.coalesce("component", "doc_id")).select("doc_id", "n", "level", "class", "prefix")
     r, s = _entries(sets, threshold).alias("r"), _entries(sets, threshold).alias("s")
     larger = F.struct("r.n", "r.doc_id") > F.struct("s.n", "s.doc_id")
+    n_r, n_s = F.max("r.n"), F.max("s.n")
+    overlap = F.ceil((n_r + n_s) * threshold / (100 + threshold))
+    outside = F.greatest(F.ceil(n_r * threshold / 100), _least(n_s, threshold)) - F.max("r.level")
     pairs = (
         r.join(s, F.col("r.token") == F.col("s.token"))
         .where(larger & (F.col("r.class") != F.col("s.class")) & (F.col("s.n") * 100 >= F.col("r.n") * threshold))
-        .where((F.col("r.at") <= F.col("r.level")) & (F.col("s.at") <= F.col("r.level")))
+        .where((F.col("r.probe") <= F.col("r.level")) & (F.col("s.index") <= F.col("r.level")))
         .groupBy(F.col("r.doc_id").alias("a"), F.col("s.doc_id").alias("b"))
-        .agg(F.count("*").alias("shared"), F.max("r.level").alias("level"))
-        .where("shared >= level")
+        .agg(F.count("*").alias("shared"), (overlap - outside).alias("needed"))
+        .where("shared >= needed")
         .select("a", "b")
     )
     more = verified(kept(pairs, "pairs"), docs, size, threshold)
@@ -268,10 +290,10 @@ def clusters(
 ) -> DataFrame:
     """doc_id, n_shingles, and component_id, the smallest doc_id reachable by links, for every row of ``docs``."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = kept(signatures(docs, size), "signatures")
+    marked, counts = survey(docs, size)
     reps = marked.where("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep"))
     members = kept(marked.join(kept(reps, "classes"), "mark", "left"), "members")
-    found = components(links(docs, members, size, threshold, most))
+    found = components(links(docs, members, counts, size, threshold, most))
     joined = members.join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
     own = F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")), "doc_id")
     return joined.select(

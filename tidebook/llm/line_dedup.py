@@ -33,7 +33,7 @@ def _hashes(lines: Column, window: int) -> Column:
 
     def one(start: Column) -> Column:
         # Lengths keep the boundaries between lines.
-        own = F.transform(F.slice(lines, start, window), F.trim)
+        own = F.transform(F.slice(lines, start, window), lambda x: F.trim(x))
         both = F.concat(F.array_join(F.transform(own, F.length), ","), F.lit("\n"), F.array_join(own, "\n"))
         filled = F.exists(own, lambda x: x != "")
         return F.when(filled, F.struct(F.xxhash64(both).alias("h"), F.xxhash64(F.lit(1), both).alias("g")))
