@@ -1,11 +1,11 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
-Documents are sets of word shingles, in one global order, rare ones first. A set of n shares at least ``least(n)`` of
-them with any partner, and more with one that isn't smaller. So the prefixes of ``n - shared + l`` shingles, of the
-larger and of the smaller set, have at least l in common, for every l. A prefix longer by one costs more index entries
-to read but asks for one more match before a pair is verified; each document takes the l whose estimated cost is least
-(``levels``), and a pair goes by the l of its larger set. What the sizes of a pair add to the matches that it needs
-(``overlap`` less what may lie ``outside`` the prefixes) is asked for too. Verification compares whole sets.
+Documents are sets of word shingles, in one global order, rare ones first. Two sets that are similar enough share at
+least ``overlap`` shingles, by their sizes. So their prefixes of ``n - overlap + l`` shingles have at least l in common,
+for every l. A prefix longer by one costs more index entries to read but asks for one more match before a pair is
+verified; each document takes the l whose estimated cost is least (``levels``), and a pair goes by the l of its larger
+set. Prefixes are stored for the smallest partner that a set can have; what is too long for a pair's own sizes the join
+leaves out. Verification compares whole sets.
 
 * The order comes from a table of counts of hashed shingles over all documents, of fixed width. Any order is right.
 * Equal sets are one vertex, so copies are never paired with each other.
@@ -51,7 +51,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -108,6 +108,12 @@ def table_row(slot: int, values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), held], names=["slot", "held"])
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def slots(hashes: np.ndarray, width: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
 
@@ -118,7 +124,7 @@ def survey(docs: DataFrame, size: int, width: int = WIDTH) -> tuple[DataFrame, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [shingles(t or "", size) for t in batch.column(1).to_pylist()]
             total += np.bincount(slots(np.concatenate([*sets, np.zeros(0, np.uint64)]), width), minlength=width)
             n = pa.array(list(map(len, sets)), pa.int64())
@@ -144,20 +150,23 @@ def levels(freq: np.ndarray, first: int, most: int, n: int) -> int:
     return 1 + int(np.argmin(cost))
 
 
-def prefixes(docs: DataFrame, table, size: int, threshold: int, most: int) -> DataFrame:
-    """doc_id, n, level, the prefix of level ``most``, some entries of it for the first round (``pilot``), and how many
-    entries nobody else seems to have (``rare``), for every document with words."""
+def prefixes(docs: DataFrame, table, marked, size: int, threshold: int, most: int) -> DataFrame:
+    """doc_id, n, level, the prefix of level ``most``, some entries of it for the first round (``pilot``), how many
+    entries nobody else seems to have (``rare``), and whether ``marked`` may hold the document (``maybe``), for every
+    document with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot_counts = table.value
         usual = int(np.median(slot_counts))
         often = usual + 4 * int(np.sqrt(usual)) + 1
-        for batch in batches:
-            ids, n, level, rare, prefix, pilot = [], [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in in_slices(batches):
+            ids, n, level, rare, prefix, pilot, maybe = [], [], [], [], [], [], []
+            held = in_table(marked.value, batch.column(2)).tolist()
+            for doc_id, text, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), held, strict=True):
                 own = shingles(text or "", size)
                 if not len(own):
                     continue
+                maybe.append(known)
                 freq = slot_counts[slots(own, len(slot_counts))]
                 order = np.argsort(freq, kind="stable")
                 own, freq = own[order], freq[order]
@@ -171,10 +180,12 @@ def prefixes(docs: DataFrame, table, size: int, threshold: int, most: int) -> Da
                 common = prefix[-1][rare[-1] :]
                 pilot.append(np.sort(common if len(common) else prefix[-1])[:PILOT])
             columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(level, pa.int32()), pa.array(rare, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, lists_of(prefix), lists_of(pilot)], names=names)
+            columns += [lists_of(prefix), lists_of(pilot), pa.array(maybe, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["doc_id", "n", "level", "rare", "prefix", "pilot"]
-    return docs.mapInArrow(run, "doc_id long, n long, level int, rare int, prefix array<long>, pilot array<long>")
+    names = ["doc_id", "n", "level", "rare", "prefix", "pilot", "maybe"]
+    schema = "doc_id long, n long, level int, rare int, prefix array<long>, pilot array<long>, maybe boolean"
+    return docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, schema)
 
 
 def lists_of(parts: list[np.ndarray]) -> pa.ListArray:
@@ -183,9 +194,8 @@ def lists_of(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _members(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The documents that may be in a pair: a filter of fixed size, which lets some others through."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id").alias("h"))
+def marked_ids(ids: DataFrame) -> np.ndarray:
+    """A table of bits, of fixed size, that has all the ids (one column), and by chance some others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(MEMBERS, bool)
@@ -195,17 +205,26 @@ def _members(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             if own.any():
                 yield table_row(slot, own)
 
-    words = _added_up(ids.mapInArrow(run, "slot int, held array<long>"), MEMBERS // 64, np.bitwise_or, "int64")
-    held = docs.sparkSession.sparkContext.broadcast(words)
+    rows = ids.select(F.xxhash64(*ids.columns)).mapInArrow(run, "slot int, held array<long>")
+    return _added_up(rows, MEMBERS // 64, np.bitwise_or, "int64")
+
+
+def in_table(table: np.ndarray, hashes: pa.Array) -> np.ndarray:
+    at = hashes.to_numpy().view(np.uint64) % np.uint64(MEMBERS)
+    return table.view(np.uint8)[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1 == 1
+
+
+def _members(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents that may be in a pair, and by chance some others."""
+    table = marked_ids(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    held = docs.sparkSession.sparkContext.broadcast(table)
 
     def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(held.value.view(np.uint8)).astype(bool)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)], names=["doc_id", "text"]
-            ).filter(pa.array(bits[batch.column(2).to_numpy().view(np.uint64) % np.uint64(MEMBERS)]))
+            known = pa.array(in_table(held.value, batch.column(2)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["doc_id", "text"]).filter(known)
 
-    known = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    known = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id"))
     return known.mapInArrow(among, "doc_id long, text string")
 
 
@@ -230,22 +249,9 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _least(n, threshold: int):
-    """Shingles that a set of n shares at least with a partner that isn't smaller."""
-    return F.ceil(n * (2 * threshold) / (100 + threshold))
-
-
-def _entries(sets: DataFrame, threshold: int) -> DataFrame:
-    """A row for each prefix entry: the lowest level whose prefix has it, if the document is the larger one of a pair
-    (``probe``) and if it is the smaller (``index``)."""
-    n, pos = F.col("n"), F.col("pos")
-
-    def lowest(shared):
-        return F.greatest(F.lit(1), pos - (n - shared) + 1).cast("int")
-
-    rows = sets.select("doc_id", "class", "n", "level", F.posexplode("prefix").alias("pos", "token"))
-    probe, index = lowest(F.ceil(n * threshold / 100)), lowest(_least(n, threshold))
-    return rows.select("token", "doc_id", "class", "n", "level", probe.alias("probe"), index.alias("index"))
+def _entries(sets: DataFrame) -> DataFrame:
+    """A row for each prefix entry, with its place in the order."""
+    return sets.select("doc_id", "class", "n", "level", F.posexplode("prefix").alias("pos", "token"))
 
 
 def links(
@@ -253,9 +259,11 @@ def links(
 ) -> DataFrame:
     """Verified links (a, b) that connect all documents which similarity connects, one document for each set."""
     table = docs.sparkSession.sparkContext.broadcast(counts)
-    copies = members.where("doc_id <> rep").select("doc_id").distinct()
-    sets = prefixes(docs.where("doc_id is not null"), table, size, threshold, most).join(copies, "doc_id", "left_anti")
-    sets = kept(sets, "prefixes")
+    copies = kept(members.where("doc_id <> rep").select("doc_id").distinct(), "copies")
+    marked = docs.sparkSession.sparkContext.broadcast(marked_ids(copies))
+    sets = kept(prefixes(docs.where("doc_id is not null"), table, marked, size, threshold, most), "prefixes")
+    some = sets.where("maybe").join(copies, "doc_id", "left_anti")
+    sets = sets.where("not maybe").unionByName(some).drop("maybe")
 
     pilot = sets.select("doc_id", "rare", F.explode("pilot").alias("token"))
     hub = F.min(F.struct("rare", "doc_id"))["doc_id"].alias("b")
@@ -267,18 +275,20 @@ def links(
 
     sets = sets.join(classes.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
     sets = sets.withColumn("class", F.coalesce("component", "doc_id")).select("doc_id", "n", "level", "class", "prefix")
-    r, s = _entries(sets, threshold).alias("r"), _entries(sets, threshold).alias("s")
+    r, s = _entries(sets).alias("r"), _entries(sets).alias("s")
     larger = F.struct("r.n", "r.doc_id") > F.struct("s.n", "s.doc_id")
-    n_r, n_s = F.max("r.n"), F.max("s.n")
-    overlap = F.ceil((n_r + n_s) * threshold / (100 + threshold))
-    outside = F.greatest(F.ceil(n_r * threshold / 100), _least(n_s, threshold)) - F.max("r.level")
+    # Of two sets that share so much, either prefix of n - overlap + level has at least level shingles of the other's.
+    overlap = F.ceil((F.col("r.n") + F.col("s.n")) * threshold / (100 + threshold))
+    inside = (F.col("r.n") - F.col("r.pos") > overlap - F.col("r.level")) & (
+        F.col("s.n") - F.col("s.pos") > overlap - F.col("r.level")
+    )
     pairs = (
         r.join(s, F.col("r.token") == F.col("s.token"))
         .where(larger & (F.col("r.class") != F.col("s.class")) & (F.col("s.n") * 100 >= F.col("r.n") * threshold))
-        .where((F.col("r.probe") <= F.col("r.level")) & (F.col("s.index") <= F.col("r.level")))
+        .where(inside)
         .groupBy(F.col("r.doc_id").alias("a"), F.col("s.doc_id").alias("b"))
-        .agg(F.count("*").alias("shared"), (overlap - outside).alias("needed"))
-        .where("shared >= needed")
+        .agg(F.count("*").alias("shared"), F.max("r.level").alias("level"))
+        .where("shared >= level")
         .select("a", "b")
     )
     more = verified(kept(pairs, "pairs"), docs, size, threshold)
@@ -293,7 +303,9 @@ def clusters(
     marked, counts = survey(docs, size)
     reps = marked.where("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep"))
     members = kept(marked.join(kept(reps, "classes"), "mark", "left"), "members")
-    found = components(links(docs, members, counts, size, threshold, most))
+    span = members.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top"))
+    several = members.join(span.where("b <> top"), "doc_id").select(F.col("rep").alias("a"), "b")
+    found = components(links(docs, members, counts, size, threshold, most).unionByName(several))
     joined = members.join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
     own = F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")), "doc_id")
     return joined.select(
