@@ -1,66 +1,33 @@
-"""A plain and slow model of one order book, written apart from the engine's own fold, for comparison."""
+"""What order books should show, from the definition: sizes by price, sorted when looked at."""
 
-CAP = 100
 
-
-def snapshots(events, cap=CAP, update_limit=CAP):
+def snapshots(events):
     """``events``: dicts of one channel in seq order. Yields (seq, ts, bids, asks) as lists of pairs."""
-    book = {"bid": [], "ask": []}
-    buffered, active = [], False
-
-    def put(side, price, qty):
-        levels = book[side]
-        for i, (p, _) in enumerate(levels):
-            if p == price:
-                if qty > 0:
-                    levels[i] = (p, qty)
-                else:
-                    levels.pop(i)
-                return
-        if qty <= 0 or len(levels) >= cap:
-            return
-        i = 0
-        while i < len(levels) and (levels[i][0] > price if side == "bid" else levels[i][0] < price):
-            i += 1
-        levels.insert(i, (price, qty))
-
+    sizes, batch = {}, None  # (side, price) -> size; the changes of an open batch
     for e in events:
-        due = False
-        kind, mark = e["kind"], e["update_type"]
-        qty = float(e["size"]) if e["size_flag"] else 0.0
-        if kind == "IMAGE":
-            for side, column in (("ask", "ask_levels"), ("bid", "bid_levels")):
-                book[side] = [(x["price"], float(x["size"])) for x in e[column] or [] if x["size"] > 0][:cap]
-            due = True
-        elif kind == "UPDATE":
-            for side, column in (("ask", "ask_levels"), ("bid", "bid_levels")):
-                for x in (e[column] or [])[:update_limit]:
-                    put(side, x["price"], float(x["size"]))
-            due = True
-        elif kind == "END_QUOTE" or (kind == "QUOTE" and mark == "END"):
-            if kind == "QUOTE" and e["price_flag"]:
-                buffered.append((e["side"], e["price"], qty))
-            due = active or kind == "QUOTE"
-            if due:
-                for side in ("bid", "ask"):
-                    for s, p, q in [b for b in buffered if b[0] == side][:cap]:
-                        put(s, p, q)
-                buffered, active = [], False
-        elif kind == "QUOTE" and mark == "SOLO":
-            if e["price_flag"]:
-                put(e["side"], e["price"], qty)
-            due = True
-        elif kind == "QUOTE" and mark in ("BEGIN", "MIDDLE"):
-            if mark == "BEGIN" or not active:
-                buffered, active = [], True
-            if e["price_flag"]:
-                buffered.append((e["side"], e["price"], qty))
-        elif kind == "QUOTE" and mark == "CLEAR":
-            book = {"bid": [], "ask": []}
-            buffered, active = [], False
-            due = True
-        if not due:
+        mark = e["update_type"] if e["kind"] == "QUOTE" else e["kind"]
+        quoted = [((e["side"], e["price"]), e["size"] if e["size_flag"] else 0)] if e["price_flag"] else []
+        listed = [((s, x["price"]), x["size"]) for s in ("bid", "ask") for x in e[f"{s}_levels"] or []]
+        apply = []
+        if mark in ("IMAGE", "CLEAR"):
+            sizes = {}
+        if mark == "CLEAR" or mark == "BEGIN":
+            batch = None
+        if mark in ("BEGIN", "MIDDLE", "END"):
+            batch = (batch or []) + quoted
+        if mark in ("IMAGE", "UPDATE", "HISTORY"):
+            apply = [c for c in listed if mark != "IMAGE" or c[1]]
+        elif mark == "SOLO":
+            apply = quoted
+        elif mark in ("END", "END_QUOTE"):
+            if batch is None:
+                continue
+            apply, batch = batch, None
+        elif mark != "CLEAR":
             continue
-        ts = e["exchange_ts"] or (e["recv_us"] if book["bid"] or book["ask"] else None)
-        if ts is not None:
-            yield e["seq"], ts, list(book["bid"]), list(book["ask"])
+        sizes |= dict(apply)
+        sizes = {k: v for k, v in sizes.items() if v}
+        if e["exchange_ts"] or sizes:
+            bids = sorted(((p, float(q)) for (s, p), q in sizes.items() if s == "bid"), reverse=True)
+            asks = sorted((p, float(q)) for (s, p), q in sizes.items() if s == "ask")
+            yield e["seq"], e["exchange_ts"] or e["recv_us"], bids, asks

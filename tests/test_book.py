@@ -6,7 +6,7 @@ import pytest
 from tidebook import schemas
 from tidebook.operators import book
 from tidebook.operators.fold import EVENT_COLUMNS, Book
-from tidebook.operators.ordered import previous_in_order, running_total
+from tidebook.operators.ordered import _blocked, previous_in_order, running_total
 
 
 def event(seq, kind="QUOTE", mark="SOLO", side="bid", price=None, size=None, bids=None, asks=None, channel=1, **more):
@@ -32,8 +32,8 @@ def quote(seq, mark, price, size, side="bid"):
 def folded(*events):
     state = Book()
     due = [state.step(*[e[c] for c in EVENT_COLUMNS[4:]]) for e in events]
-    bids, asks = zip(state.bids.prices, state.bids.sizes), zip(state.asks.prices, state.asks.sizes)
-    return list(bids), list(asks), due, state
+    bid_prices, bid_sizes, ask_prices, ask_sizes = state.shown()
+    return list(zip(bid_prices, bid_sizes)), list(zip(ask_prices, ask_sizes)), due, state
 
 
 def test_image_skips_empty_sizes_and_replaces():
@@ -61,10 +61,11 @@ def test_begin_cancels_and_clear_empties():
     assert not state.active
 
 
-def test_full_side_refuses_even_a_better_price():
-    asks = [quote(i, "SOLO", 100 + i * 0.25, 1, "ask") for i in range(110)]
-    _, out, _, _ = folded(*asks, quote(200, "SOLO", 1, 1, "ask"))
-    assert len(out) == 100 and out[0][0] == 100.0
+def test_sides_have_no_limit():
+    asks = [quote(i, "SOLO", 100 + i * 0.25, 1, "ask") for i in range(300)]
+    _, out, _, state = folded(*asks, quote(400, "SOLO", 1, 1, "ask"))
+    assert len(out) == 301 and out[0][0] == 1.0
+    assert [len(x) for x in state.shown(5)] == [0, 0, 5, 5]
 
 
 def test_sorted_sides_and_last_size_wins():
@@ -79,7 +80,7 @@ def test_zero_time():
     state = Book()
     assert state.snapshot_time(1234567890123456, 9) == 1234567890123456
     assert state.snapshot_time(0, 9) is None
-    state.bids.put(100.0, 5.0)
+    state.put([("bid", 100.0, 5.0)])
     assert state.snapshot_time(0, 9) == 9
 
 
@@ -137,17 +138,30 @@ def collected(snapshots):
 
 
 @pytest.mark.parametrize(
-    "prices, images, clears", [(30, 0.02, 0.01), (400, 0.0, 0.0)], ids=["within the cap", "over the cap"]
+    "prices, images, clears", [(30, 0.02, 0.01), (400, 0.0, 0.0)], ids=["with resets", "deep sides"]
 )
-def test_exact_equals_model_on_a_spread_channel(spark, prices, images, clears):
+def test_snapshots_equal_model(spark, prices, images, clears):
     events = random_events(7, 300, (0, 1, 2), prices, images, clears)
     want = modelled(events)
-    assert (max(len(v[1]) for v in want.values()) == 100) == (prices > 100)
-    got = book.exact_snapshots(frame(spark, events), partitions=7, width=64)
-    assert collected(got) == want
-    last = collected(book.exact_snapshots(frame(spark, events), partitions=7, width=64, last_only=True))
+    assert (max(len(v[1]) for v in want.values()) > 100) == (prices > 100)
+    assert collected(book.snapshots(frame(spark, events), rows=64)) == want
+    events = [{**e, "exchange_ts": 1 + e["seq"]} for e in events]  # a clear without a time shows no snapshot
+    want = modelled(events)
+    last = collected(book.snapshots(frame(spark, events), rows=64, last_only=True))
     newest = {c: max(s for k, s in want if k == c) for c in (0, 1, 2)}
     assert last == {(c, s): want[(c, s)] for c, s in newest.items()}
+    cut = collected(book.snapshots(frame(spark, events), depth=2, rows=64))
+    assert cut == {k: (ts, bids[:2], asks[:2]) for k, (ts, bids, asks) in want.items()}
+
+
+def test_zero_times_and_null_sizes(spark):
+    events = [
+        image(1, bids=[(10, 1), (9, None)], asks=[(11, 2)]), event(2, mark="CLEAR", exchange_ts=0),
+        quote(3, "SOLO", 10, 3), {**quote(4, "SOLO", 10, 0), "exchange_ts": 0}, {**quote(5, "SOLO", 10, 4), "exchange_ts": 0},
+    ]
+    got = collected(book.snapshots(frame(spark, events)))
+    assert got == modelled(events)
+    assert {seq: ts for (_, seq), (ts, _, _) in got.items()} == {1: 1001, 3: 1003, 5: 5005}
 
 
 def test_asof_equals_model_at_any_moment(spark):
@@ -163,7 +177,7 @@ def test_asof_equals_model_at_any_moment(spark):
             for side, pairs in zip(("bid", "ask"), want[(c, s)][1:])
             for p, q in pairs
         }
-        live = book.book_asof(frame(spark, events).where(f"seq <= {moment}"), width=32)
+        live = book.book_asof(frame(spark, events).where(f"seq <= {moment}"), rows=32)
         assert {tuple(r) for r in live.collect()} == levels
     arrays = {r.channel_id: r for r in book.as_arrays(live, 3).collect()}
     for c, s in newest.items():
@@ -171,9 +185,10 @@ def test_asof_equals_model_at_any_moment(spark):
         assert list(zip(arrays[c].ask_prices, arrays[c].ask_sizes)) == want[(c, s)][2][:3]
 
 
-def test_ordered_columns_over_blocks(spark):
+@pytest.mark.parametrize("scale", [1, 10**9])
+def test_ordered_columns_over_blocks(spark, scale):
     r = random.Random(5)
-    rows = [(k, s, r.randrange(10)) for k in (1, 2) for s in r.sample(range(1000), 60)]
+    rows = [(k, s * scale, r.randrange(10)) for k in (1, 2) for s in r.sample(range(1000), 60)]
     df = spark.createDataFrame(rows, "k INT, s BIGINT, v INT")
     want_lag, want_sum = {}, {}
     for k in (1, 2):
@@ -182,7 +197,12 @@ def test_ordered_columns_over_blocks(spark):
             total += v
             want_lag[(k, s)], want_sum[(k, s)] = before, total
             before = v
-    lagged = previous_in_order(df, "k", "s", "v", "p", width=16).collect()
+    lagged = previous_in_order(df, "k", "s", "v", "p", rows=16).collect()
     assert {(x.k, x.s): x.p for x in lagged} == want_lag
-    summed = running_total(df, "k", "s", df.v, "t", width=16).collect()
+    summed = running_total(df, "k", "s", df.v, "t", rows=16).collect()
     assert {(x.k, x.s): x.t for x in summed} == want_sum
+
+
+def test_sparse_orders_make_no_more_blocks_than_rows_ask_for(spark):
+    df = spark.range(1000).selectExpr("1 AS k", "id * 1000000007 AS s")
+    assert _blocked(df, "k", "s", 100).select("_block").distinct().count() == 10

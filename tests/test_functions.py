@@ -62,10 +62,7 @@ def test_channel_id(spark, parts, number):
 
 
 def test_text_keys(spark):
-    assert one(spark, identity.short_symbol(F.lit("ABCDEFGHIJKLMN"))) == "ABCDEFGHIJK"
     assert one(spark, identity.trimmed(F.lit("GC   "))) == "GC"
-    assert one(spark, identity.is_sendable(F.lit("x" * 63))) is True
-    assert one(spark, identity.is_sendable(F.lit("x" * 64))) is False
     assert one(spark, identity.is_market_type(F.lit("options"))) is False
 
 
@@ -91,11 +88,9 @@ def test_positional_levels(spark, text, pairs):
     assert positional(spark, text) == pairs
 
 
-def test_levels_after_a_full_side_do_no_harm(spark):
+def test_a_wrong_type_breaks_a_list_wherever_it_stands(spark):
     good = ",".join(f'["{i}","1"]' for i in range(100))
-    assert len(positional(spark, f'[{good},["7",5]]')) == 100
-    assert len(positional(spark, f'[{good},["500","1"]]')) == 100
-    assert positional(spark, f'[["7",5],{good}]') is None
+    assert positional(spark, f'[{good},["7",5]]') is None
 
 
 @pytest.mark.parametrize(
@@ -114,12 +109,25 @@ def test_keyed_levels(spark, text, pairs):
     assert (None if found is None else [tuple(x) for x in found]) == pairs
 
 
+@pytest.mark.parametrize("n", [101, 5000])
+def test_long_sides_are_read_whole(spark, n):
+    pairs = [(i + 0.5, float(i % 7)) for i in range(n)]
+    listed = ",".join(f'["{p}","{q}"]' for p, q in pairs)
+    assert positional(spark, f"[{listed}]") == pairs
+    assert positional(spark, f'[{listed},["x","1"]]') == pairs  # one that doesn't read: level by level
+    for quote in ("", '"'):
+        keyed = ",".join(f'{{"p":"{p}","s":{quote}{int(q)}{quote}}}' for p, q in pairs)
+        found = one(spark, levels.keyed_levels(F.parse_json(F.lit(f"[{keyed}]"))))
+        assert [tuple(x) for x in found] == pairs
+
+
 def test_padding_and_depth(spark):
     values = F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))
     assert one(spark, levels.padded(values, F.lit(2))) == [1.0, 2.0]
     assert one(spark, levels.padded(values, F.lit(5))) == [1.0, 2.0, 3.0, 0.0, 0.0]
-    depths = [one(spark, levels.effective_depth(F.lit(d).cast("int"))) for d in (None, 0, 7, 100, 500)]
-    assert depths == [100, 100, 7, 100, 100]
+    shorter = F.slice(values, 1, 2)
+    depths = [one(spark, levels.effective_depth(F.lit(d).cast("int"), shorter, values)) for d in (None, 0, 7, 500)]
+    assert depths == [3, 3, 7, 500]
     assert levels.wide_depth(["exchange_timestamp", "ask_price3", "bid_size12", "bid_note"]) == 12
 
 

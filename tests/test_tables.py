@@ -50,8 +50,8 @@ def named(spark, *rows):
 @pytest.mark.parametrize(
     "row, problem",
     [
-        (("x", "spot", "ABCDEFGHIJKL", 5), "symbol_too_long"),
-        (("x", "spot", "A", 101), "depth_out_of_range"),
+        (("x", "spot", "", 5), "symbol_missing"),
+        (("x", "spot", "A", -1), "depth_out_of_range"),
         (("x", "options", "A", 5), "market_type"),
         (("x", "spot", "Ä", 5), "not_ascii"),
     ],
@@ -290,7 +290,7 @@ def test_stream_books_over_split_batches(spark, tmp_path):
 
 def test_snapshots_reach_the_table(spark, channels):
     events = random_events(5, 20, (2260885141,), 10, 0.1, 0.0)
-    snapshots = book.exact_snapshots(frame(spark, events), partitions=3)
+    snapshots = book.snapshots(frame(spark, events))
     rows = tables.to_orderbook(enrich.registered(book.depth_records(snapshots), channels))
     assert ddl(rows) == expected(spark, "orderbook")
     assert rows.count() == snapshots.count() > 0

@@ -4,9 +4,3 @@ from tidebook.feeds import binance, gateio
 from tidebook.feeds.base import Feed
 
 FEEDS: tuple[Feed, ...] = (binance.SPOT, binance.PERPETUAL, gateio.SPOT, gateio.PERPETUAL)
-FEEDS_ALL_TRADES: tuple[Feed, ...] = (
-    binance.SPOT,
-    binance.PERPETUAL,
-    gateio.SPOT,
-    gateio.PERPETUAL_ALL_TRADES,
-)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.identity import short_symbol, trimmed
+from tidebook.functions.identity import trimmed
 from tidebook.functions.timeparts import seconds_to_us
 
 MARKET = "futures"
@@ -35,7 +35,7 @@ def normalise_trades(df: DataFrame, channels: DataFrame) -> DataFrame:
         "channel_id",
         F.col("_x").alias("exchange"),
         F.lit(MARKET).alias("market_type"),
-        short_symbol(F.col("_t")).alias("symbol"),
+        F.col("_t").alias("symbol"),
         "recv_us",
         seconds_to_us(F.col("ssboe"), F.col("usecs")).alias("exchange_timestamp"),
         F.lit(0).cast("bigint").alias("trade_id"),
@@ -55,7 +55,7 @@ def normalise_bbo(df: DataFrame, channels: DataFrame) -> DataFrame:
         "channel_id",
         F.col("_x").alias("exchange"),
         F.lit(MARKET).alias("market_type"),
-        short_symbol(F.col("_t")).alias("symbol"),
+        F.col("_t").alias("symbol"),
         "recv_us",
         seconds_to_us(F.col("ssboe"), F.col("usecs")).alias("exchange_timestamp"),
         flagged("bid_price", "bid_price_flag", "best_bid_price"),

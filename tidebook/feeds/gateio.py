@@ -86,7 +86,6 @@ def book_ticker(doc: Column, recv_us: Column) -> Fields:
 
 
 SPOT = Feed("gateio", "spot", _classify("spot"), spot_tick, spot_depth, book_ticker, positional_levels)
-# a perpetual message may carry several trades; only the first one counts
 PERPETUAL = Feed(
     "gateio",
     "perpetual",
@@ -95,6 +94,7 @@ PERPETUAL = Feed(
     perpetual_depth,
     book_ticker,
     keyed_levels,
-    trades=lambda doc: F.slice(list_at(doc, "$.result"), 1, 1),
+    trades=lambda doc: list_at(doc, "$.result"),
 )
-PERPETUAL_ALL_TRADES = replace(PERPETUAL, trades=lambda doc: list_at(doc, "$.result"))
+# For those who want only the first trade of a message, as some collectors keep it.
+PERPETUAL_FIRST_TRADE = replace(PERPETUAL, trades=lambda doc: F.slice(list_at(doc, "$.result"), 1, 1))

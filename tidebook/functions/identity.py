@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidebook.schemas import MARKET_TYPES, MAX_SYMBOL_CHARS, TOPIC_LIMIT
+from tidebook.schemas import MARKET_TYPES
 
 # Fixed values of 64-bit FNV-1a: offset basis 14695981039346656037 and prime 2^40 + 435.
 FNV_BASIS_HIGH = 3421674724
@@ -47,10 +47,6 @@ def is_market_type(name: Column) -> Column:
     return F.coalesce(name.isin(*MARKET_TYPES), F.lit(False))
 
 
-def short_symbol(symbol: Column) -> Column:
-    return F.substring(symbol, 1, MAX_SYMBOL_CHARS)
-
-
 def trimmed(text: Column) -> Column:
     return F.rtrim(F.coalesce(text, F.lit("")))
 
@@ -59,10 +55,6 @@ def topic(prefix: Column, suffix: str) -> Column:
     return F.concat_ws(":", prefix, F.lit(suffix))
 
 
-def is_sendable(topic_name: Column) -> Column:
-    return F.octet_length(topic_name) < TOPIC_LIMIT
-
-
 def bucket(symbol: Column, buckets: int = 20) -> Column:
     return F.pmod(F.hash(symbol), F.lit(buckets))
 

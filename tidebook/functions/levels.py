@@ -6,38 +6,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidebook.functions.jsonfields import bound, kind_at, list_at
-from tidebook.functions.numbers import PLAIN_NUMBER, price_at, quantity_at
-from tidebook.schemas import MAX_LEVELS
+from tidebook.functions.numbers import PLAIN_DECIMAL, price_at, quantity_at
 
 
 def _readable(marked: Column) -> Column:
-    """Keep the first levels that read; NULL when one among them has the wrong JSON type.
+    """The levels that read; NULL when one has the wrong JSON type.
 
-    ``marked`` holds structs (price, quantity, broken). Levels that merely do not read are left out first, so
-    a wrong type after a full side does no harm.
+    ``marked`` holds structs (price, quantity, broken).
     """
-    relevant = F.slice(
-        F.filter(marked, lambda m: m.broken | (m.price.isNotNull() & m.quantity.isNotNull())), 1, MAX_LEVELS
-    )
     return bound(
-        relevant,
-        lambda kept: F.when(
-            ~F.exists(kept, lambda m: m.broken),
-            F.transform(kept, lambda m: F.struct(m.price.alias("price"), m.quantity.alias("quantity"))),
+        marked,
+        lambda found: F.when(
+            ~F.exists(found, lambda m: m.broken),
+            F.transform(
+                F.filter(found, lambda m: m.price.isNotNull() & m.quantity.isNotNull()),
+                lambda m: F.struct(m.price.alias("price"), m.quantity.alias("quantity")),
+            ),
         ),
     )
 
 
-# Canonical JSON of a list whose levels are all plain decimals, so that each one reads and none is broken.
-_NUMBER = f'"{PLAIN_NUMBER}"'
-_PLAIN_POSITIONAL = rf"^\[(?:\[{_NUMBER},{_NUMBER}(?:,\[\])?\][,\]])*\]?$"
-_PLAIN_KEYED = rf'^\[(?:\{{"p":{_NUMBER},"s":(?:{_NUMBER}|-?[0-9]{{1,15}})\}}[,\]])*\]?$'
+def _plain(text: Column) -> Column:
+    return F.coalesce(F.regexp_like(text, F.lit(PLAIN_DECIMAL)), F.lit(False))
 
 
 def positional_levels(found: Column) -> Column:
     """``[["price","qty",...],...]`` (a variant). Short or non-numeric levels are skipped, further elements
-    ignored; a price or quantity that is no text breaks the list."""
-    cells = F.slice(F.try_variant_get(found, "$", "array<array<string>>"), 1, MAX_LEVELS)
+    ignored; a price or quantity that is no text breaks the list.
+
+    Lists of texts only, which nearly all are, are read as typed cells; each cell is tested by itself, so the
+    length of a list doesn't matter."""
+    cells = F.try_variant_get(found, "$", "array<array<string>>")
     plain = F.transform(
         cells,
         lambda x: F.struct(
@@ -45,6 +44,8 @@ def positional_levels(found: Column) -> Column:
             F.get(x, F.lit(1)).try_cast("double").alias("quantity"),
         ),
     )
+    texts = F.schema_of_variant(found) == "ARRAY<ARRAY<STRING>>"
+    simple = texts & F.forall(cells, lambda x: _plain(F.get(x, F.lit(0))) & _plain(F.get(x, F.lit(1))))
 
     def mark(level: Column) -> Column:
         is_list = F.schema_of_variant(level).startswith("ARRAY")
@@ -61,15 +62,18 @@ def positional_levels(found: Column) -> Column:
 
         return bound(price_at(level, "$[0]"), with_price)
 
-    return F.when(F.regexp_like(F.to_json(found), F.lit(_PLAIN_POSITIONAL)), plain).otherwise(
-        _readable(F.transform(list_at(found, "$"), mark))
-    )
+    return F.when(simple, plain).otherwise(_readable(F.transform(list_at(found, "$"), mark)))
 
 
 def keyed_levels(found: Column) -> Column:
     """``[{"p":"price","s":size},...]`` (a variant). A non-numeric price is skipped; a missing or odd field
-    breaks the list."""
-    plain = F.slice(F.try_variant_get(found, "$", "array<struct<p:double,s:double>>"), 1, MAX_LEVELS)
+    breaks the list. Lists of one shape are read as typed cells, as above."""
+    cells = F.try_variant_get(found, "$", "array<struct<p:string,s:string>>")
+    shape = F.schema_of_variant(found).isin("ARRAY<OBJECT<p: STRING, s: BIGINT>>", "ARRAY<OBJECT<p: STRING, s: STRING>>")
+    simple = shape & F.forall(cells, lambda x: _plain(x.p) & _plain(x.s))
+    plain = F.transform(
+        cells, lambda x: F.struct(x.p.try_cast("double").alias("price"), x.s.try_cast("double").alias("quantity"))
+    )
 
     def mark(level: Column) -> Column:
         text_price = F.coalesce(kind_at(level, "$.p") == "STRING", F.lit(False))
@@ -83,22 +87,19 @@ def keyed_levels(found: Column) -> Column:
             ),
         )
 
-    return F.when(
-        F.regexp_like(F.to_json(found), F.lit(_PLAIN_KEYED)),
-        plain.cast("array<struct<price:double,quantity:double>>"),
-    ).otherwise(_readable(F.transform(list_at(found, "$"), mark)))
+    return F.when(simple, plain).otherwise(_readable(F.transform(list_at(found, "$"), mark)))
 
 
 def delivered_levels(levels: Column) -> Column:
-    """Levels of an image: order kept, empty sizes dropped, cut to a full side."""
-    kept = F.slice(F.filter(levels, lambda x: x["size"] > 0), 1, MAX_LEVELS)
+    """Levels of an image: order kept, empty sizes dropped."""
+    kept = F.filter(levels, lambda x: x["size"] > 0)
     return F.transform(kept, lambda x: F.struct(x.price.alias("price"), x["size"].cast("double").alias("quantity")))
 
 
-def effective_depth(depth_level: Column) -> Column:
-    """Stored depth: missing or zero means a full side, larger values are cut."""
-    return F.least(
-        F.when(depth_level > 0, depth_level).otherwise(F.lit(MAX_LEVELS)), F.lit(MAX_LEVELS)
+def effective_depth(depth_level: Column, bids: Column, asks: Column) -> Column:
+    """Stored depth: missing or zero means all that the record has."""
+    return F.when(depth_level > 0, depth_level).otherwise(
+        F.greatest(F.size(bids), F.size(asks), F.lit(0))
     ).cast("int")
 
 

@@ -1,46 +1,38 @@
 """Order books from event tables.
 
-Two forms:
-
-* :func:`book_asof` is pure DataFrame: the last operation per (channel, side, price) after the last image or
-  clear. It equals the exact form while no side or pending batch exceeds 100 levels and images come sorted
-  with distinct prices.
-* :func:`exact_snapshots` is exact, with the 100-level rule under which a full side refuses new prices. Events
-  are range-partitioned on (channel, seq), so a hot channel is spread over many tasks. Each task folds its
-  range from a start book. The start books come from the relational form; they are then checked: a task's end
-  book must equal the next task's start book, and ranges whose start book was wrong are folded again until all
-  agree. The end result does not depend on how good the first guess was.
+Books are relations: every effect on a price level is one operation, and what a level shows at some moment is its last
+operation since the channel's last image or clear. Sides have as many levels as the events give them; ``depth``
+arguments cut only what is shown.
+
+* :func:`book_asof`: the live levels after all given events.
+* :func:`snapshots`: the whole book after every completed change. Each operation holds from its own change to the next
+  operation on its price or the next reset, whichever comes first; rows are as many as levels shown. No task sees more
+  of a channel than one price level's operations or one snapshot.
+
+An image with one price twice counts its last size; sides are shown best level first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook import schemas
-from tidebook.functions import levels
-from tidebook.operators.fold import EVENT_COLUMNS, Book
-from tidebook.operators.ordered import WIDTH, running_total
-from tidebook.schemas import MAX_LEVELS
-from tidebook.session import shared_dir
+from tidebook.operators.ordered import ROWS, running_total
+from tidebook.session import scratch
 
 RESETS = "kind = 'IMAGE' OR (kind = 'QUOTE' AND update_type = 'CLEAR')"
-_OP = ("channel_id", "chunk", "side", "price", "qty", "eff_seq", "op_idx")
+_OP = ("channel_id", "side", "price", "qty", "eff_seq", "op_idx")
+# Two running numbers in one sum: changes count from the lowest bit, resets from this one.
+_RESET_UNIT = 1 << 40
 
 
-def _with_chunk(events: DataFrame) -> DataFrame:
-    return events if "chunk" in events.columns else events.withColumn("chunk", F.lit(0))
+def _quote_size() -> Column:
+    return F.when(F.col("size_flag"), F.coalesce(F.col("size"), F.lit(0)).cast("double")).otherwise(F.lit(0.0))
 
 
-def _quote_size():
-    return F.when(F.col("size_flag"), F.col("size").cast("double")).otherwise(F.lit(0.0))
-
-
-def batch_markers(events: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Batch events with the ``island`` (batch) each belongs to.
+def batch_markers(events: DataFrame, rows: int = ROWS) -> DataFrame:
+    """Batch events with the ``island`` (batch) each belongs to, the ``eff_seq`` of its commit (NULL without one), and
+    whether it has ``begun`` before this event. Windows hold one batch.
 
     A batch starts at a BEGIN, and at any batch event after an END, END_QUOTE or CLEAR. So its number is the
     count of BEGINs so far plus the count of closing events strictly before.
@@ -53,80 +45,63 @@ def batch_markers(events: DataFrame, width: int = WIDTH) -> DataFrame:
     closes = (commits | (F.col("update_type") == "CLEAR")).cast("int")
     begins = (quote & (F.col("update_type") == "BEGIN")).cast("int")
     found = events.where(marker).withColumn("commits", commits).withColumn("closes", closes)
-    counted = running_total(found, "channel_id", "seq", begins + F.col("closes"), "_n", width)
-    return counted.withColumn("island", F.col("_n") - F.col("closes")).drop("_n")
-
-
-def buffered_levels(markers: DataFrame) -> DataFrame:
-    """The levels a batch keeps: the first 100 per side. The row_number limit is applied map-side first."""
-    order = Window.partitionBy("channel_id", "island", "side").orderBy("seq")
-    held = markers.where(
-        (F.col("kind") == "QUOTE") & F.col("update_type").isin("BEGIN", "MIDDLE", "END") & F.col("price_flag")
-    )
+    counted = running_total(found, "channel_id", "seq", begins + F.col("closes"), "_n", rows)
+    batch = Window.partitionBy("channel_id", "island")
+    opened = F.max(quote & F.col("update_type").isin("BEGIN", "MIDDLE"))
     return (
-        held.withColumn("qty", _quote_size())
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= MAX_LEVELS)
-        .drop("_rank")
+        counted.withColumn("island", F.col("_n") - F.col("closes"))
+        .withColumn("eff_seq", F.max(F.when(F.col("commits"), F.col("seq"))).over(batch))
+        .withColumn("begun", opened.over(batch))
+        .drop("_n")
     )
 
 
-def batch_commits(markers: DataFrame) -> DataFrame:
-    """Committed batches: (channel_id, island, eff_seq, eff_chunk)."""
-    return (
-        markers.where("commits")
-        .groupBy("channel_id", "island")
-        .agg(F.max("seq").alias("eff_seq"), F.max_by("chunk", "seq").alias("eff_chunk"))
+def batched_levels(markers: DataFrame) -> DataFrame:
+    """The levels of committed batches, with ``qty`` and ``eff_seq``."""
+    held = markers.where(
+        (F.col("kind") == "QUOTE") & F.col("update_type").isin("BEGIN", "MIDDLE", "END") & F.col("price_flag")
     )
+    return held.where("eff_seq IS NOT NULL").withColumn("qty", _quote_size())
 
 
-def level_ops(events: DataFrame, update_limit: int = MAX_LEVELS, width: int = WIDTH) -> DataFrame:
+def level_ops(events: DataFrame, rows: int = ROWS) -> DataFrame:
     """Every effect on a price level as (channel, side, price, qty) with its effective order."""
-    events = _with_chunk(events)
-    solo = events.where("kind = 'QUOTE' AND update_type = 'SOLO' AND price_flag").select(
-        "channel_id", "chunk", "side", "price", _quote_size().alias("qty"),
-        F.col("seq").alias("eff_seq"), F.lit(0).cast("bigint").alias("op_idx"),
-    )
     images = F.col("kind") == "IMAGE"
     updates = F.col("kind").isin("UPDATE", "HISTORY")
-
-    def side_ops(column: str):
-        delivered = levels.delivered_levels(F.col(column))
-        applied = F.transform(
-            F.slice(F.col(column), 1, min(update_limit, MAX_LEVELS)),
-            lambda x: F.struct(x.price.alias("price"), x["size"].cast("double").alias("quantity")),
+    solo = (F.col("kind") == "QUOTE") & (F.col("update_type") == "SOLO") & F.col("price_flag")
+
+    def side_ops(side: str, column: str) -> Column:
+        each = F.transform(
+            F.coalesce(F.col(column), F.array().cast("array<struct<price:double,size:bigint>>")),
+            lambda x: F.struct(
+                F.lit(side).alias("side"),
+                x.price.alias("price"),
+                F.coalesce(x["size"], F.lit(0)).cast("double").alias("qty"),
+            ),
         )
-        return F.when(images, delivered).otherwise(applied)
-
-    multi = None
-    for side, column in (("bid", "bid_levels"), ("ask", "ask_levels")):
-        part = (
-            events.where(images | updates)
-            .select("channel_id", "chunk", "seq", F.posexplode(side_ops(column)).alias("pos", "l"))
-            .select(
-                "channel_id", "chunk", F.lit(side).alias("side"), F.col("l.price").alias("price"),
-                F.col("l.quantity").alias("qty"), F.col("seq").alias("eff_seq"),
-                F.col("pos").cast("bigint").alias("op_idx"),
-            )
-        )
-        multi = part if multi is None else multi.unionByName(part)
-    markers = batch_markers(events, width)
-    batched = buffered_levels(markers).join(batch_commits(markers), ["channel_id", "island"])
-    batched = batched.select(
-        "channel_id", F.col("eff_chunk").alias("chunk"), "side", "price", "qty", "eff_seq",
-        F.col("seq").alias("op_idx"),
-    )
-    return solo.unionByName(multi).unionByName(batched).select(*_OP)
+        return F.when(images, F.filter(each, lambda x: x.qty > 0)).otherwise(each)
+
+    own = F.array(F.struct(F.col("side").alias("side"), F.col("price").alias("price"), _quote_size().alias("qty")))
+    several = F.concat(side_ops("bid", "bid_levels"), side_ops("ask", "ask_levels"))
+    direct = events.where(images | updates | solo).select(
+        "channel_id",
+        F.col("seq").alias("eff_seq"),
+        F.posexplode(F.when(solo, own).otherwise(several)).alias("pos", "l"),
+    )
+    direct = direct.select("channel_id", "l.side", "l.price", "l.qty", "eff_seq", F.col("pos").cast("bigint").alias("op_idx"))
+    batched = batched_levels(batch_markers(events, rows))
+    batched = batched.select("channel_id", "side", "price", "qty", "eff_seq", F.col("seq").alias("op_idx"))
+    return direct.unionByName(batched).select(*_OP)
 
 
-def book_asof(events: DataFrame, update_limit: int = MAX_LEVELS, width: int = WIDTH) -> DataFrame:
+def book_asof(events: DataFrame, rows: int = ROWS) -> DataFrame:
     """Live levels after all given events: (channel_id, side, price, qty).
 
     For the book at some moment pass ``events.where("recv_us <= ...")``; all channels come at once.
     The last operation per price is found by a map-side combined aggregate, so one hot channel or price
     shuffles one row per task. Only then is the last reset of the channel joined.
     """
-    ops = level_ops(events, update_limit, width)
+    ops = level_ops(events, rows)
     last = ops.groupBy("channel_id", "side", "price").agg(
         F.max_by(F.struct("qty", "eff_seq"), F.struct("eff_seq", "op_idx")).alias("last")
     )
@@ -139,15 +114,16 @@ def book_asof(events: DataFrame, update_limit: int = MAX_LEVELS, width: int = WI
     )
 
 
-def ranked(live: DataFrame, depth: int = MAX_LEVELS) -> DataFrame:
-    """The best ``depth`` levels per channel and side, ``level`` from 1 (a top-k, limited map-side)."""
+def ranked(live: DataFrame, depth: int | None = None) -> DataFrame:
+    """Levels per channel and side, ``level`` from 1, best first; with ``depth`` a top-k, limited map-side."""
     best_first = F.when(F.col("side") == "ask", F.col("price")).otherwise(-F.col("price"))
     order = Window.partitionBy("channel_id", "side").orderBy(best_first)
-    return live.withColumn("level", F.row_number().over(order)).where(F.col("level") <= depth)
+    numbered = live.withColumn("level", F.row_number().over(order))
+    return numbered if depth is None else numbered.where(F.col("level") <= depth)
 
 
-def as_arrays(live: DataFrame, depth: int = MAX_LEVELS) -> DataFrame:
-    """One row per channel with sorted level arrays of at most ``depth``."""
+def as_arrays(live: DataFrame, depth: int | None = None) -> DataFrame:
+    """One row per channel with sorted level arrays of at most ``depth``, if given."""
     top = ranked(live, depth)
     out = top.groupBy("channel_id").agg(
         *[
@@ -167,297 +143,78 @@ def as_arrays(live: DataFrame, depth: int = MAX_LEVELS) -> DataFrame:
     )
 
 
-# --- exact form ---------------------------------------------------------------------------------------
-
-_END_SCHEMA = (
-    "chunk INT, bid_prices ARRAY<DOUBLE>, bid_sizes ARRAY<DOUBLE>, ask_prices ARRAY<DOUBLE>, "
-    "ask_sizes ARRAY<DOUBLE>, pending ARRAY<STRUCT<side:STRING,price:DOUBLE,qty:DOUBLE>>, active BOOLEAN"
-)
-_EMPTY = ([], [], [], [], [], False)
-_SNAPSHOT_ARROW = pa.schema(
-    [
-        ("channel_id", pa.int64()), ("seq", pa.int64()), ("exchange_timestamp", pa.int64()),
-        ("recv_us", pa.int64()), ("last_update_id", pa.int64()),
-        *[(f"{s}_{p}", pa.list_(pa.float64())) for s in ("bid", "ask") for p in ("prices", "sizes")],
-    ]
-)
-
-
-class SnapshotBuffer:
-    """Snapshots as flat columns, turned into one Arrow batch."""
-
-    def __init__(self, depth: int):
-        self.depth = depth
-        self._start()
-
-    def _start(self) -> None:
-        self.keys: list[list[int]] = [[], [], [], []]
-        self.flat: list[list[float]] = [[], [], [], []]
-        self.offsets: list[list[int]] = [[0], [0], [0], [0]]
-
-    def add(self, channel_id: int, seq: int, ts: int, recv_us: int, book: Book) -> None:
-        for column, value in zip(self.keys, (channel_id, seq, ts, recv_us)):
-            column.append(value)
-        arrays = (book.bids.prices, book.bids.sizes, book.asks.prices, book.asks.sizes)
-        for flat, offsets, values in zip(self.flat, self.offsets, arrays):
-            flat.extend(values[: self.depth])
-            offsets.append(len(flat))
-
-    def __len__(self) -> int:
-        return len(self.keys[0])
-
-    def take(self) -> pa.RecordBatch:
-        lists = [
-            pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(f, pa.float64()))
-            for o, f in zip(self.offsets, self.flat)
-        ]
-        channel, seq, ts, recv = [pa.array(k, pa.int64()) for k in self.keys]
-        zeros = pa.array([0] * len(self), pa.int64())
-        self._start()
-        return pa.RecordBatch.from_arrays([channel, seq, ts, recv, zeros, *lists], schema=_SNAPSHOT_ARROW)
-
-
-def _events_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("chunk", *EVENT_COLUMNS)])
-
-
-def _fold_ranges(seeds: dict[int, tuple], update_limit: int, only: frozenset[int] | None = None):
-    """Per event: (chunk, event, book after it, snapshot due). Books live as long as their channel's run."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        current_chunk, current_channel, book = None, None, None
-        for batch in batches:
-            for chunk, *event in _events_of(batch):
-                if only is not None and chunk not in only:
-                    break
-                if chunk != current_chunk or event[0] != current_channel:
-                    seed = seeds.get(chunk) if chunk != current_chunk else None
-                    book = Book(seed, update_limit)
-                    current_chunk, current_channel = chunk, event[0]
-                yield chunk, event, book, book.step(*event[4:])
-
-    return run
-
-
-def _end_books(seeds: dict[int, tuple], update_limit: int, only: frozenset[int]):
-    fold = _fold_ranges(seeds, update_limit, only)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, book = None, None
-        for chunk, _, book, _ in fold(batches):
-            pass
-        if book is not None:
-            bp, bs, ap, as_, pending, active = book.state()
-            rows = [{"side": s, "price": p, "qty": q} for s, p, q in pending]
-            yield pa.RecordBatch.from_pylist(
-                [
-                    {
-                        "chunk": chunk, "bid_prices": bp, "bid_sizes": bs, "ask_prices": ap,
-                        "ask_sizes": as_, "pending": rows, "active": active,
-                    }
-                ],
-                schema=_END_ARROW,
-            )
-
-    return run
-
-
-_END_ARROW = pa.schema(
-    [
-        ("chunk", pa.int32()),
-        *[(f"{s}_{p}", pa.list_(pa.float64())) for s in ("bid", "ask") for p in ("prices", "sizes")],
-        ("pending", pa.list_(pa.struct([("side", pa.string()), ("price", pa.float64()), ("qty", pa.float64())]))),
-        ("active", pa.bool_()),
-    ]
-)
-
-
-def _snapshots(seeds: dict[int, tuple], update_limit: int, depth: int, last_only: bool, rows: int = 2000):
-    fold = _fold_ranges(seeds, update_limit)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = SnapshotBuffer(depth)
-        held = None  # last_only: the newest snapshot of the run, written when the next run starts
-        for chunk, event, book, due in fold(batches):
-            ts = book.snapshot_time(event[2], event[3]) if due else None
-            if last_only:
-                if held and (held[0], held[1]) != (chunk, event[0]):
-                    out.add(*held[1:5], held[5])
-                    held = None
-                if ts is not None:
-                    held = (chunk, event[0], event[1], ts, event[3], Book(book.state(), update_limit))
-            elif ts is not None:
-                out.add(event[0], event[1], ts, event[3], book)
-            if len(out) >= rows:
-                yield out.take()
-        if held:
-            out.add(*held[1:5], held[5])
-        if len(out):
-            yield out.take()
-
-    return run
-
-
-def _spans(ranged: DataFrame) -> list[tuple[int, int, int, int | None]]:
-    """(chunk, next chunk, channel, ...) for each channel that runs over a chunk border.
-
-    One row per non-empty partition reaches the driver.
-    """
-    edges = (
-        ranged.groupBy("chunk")
-        .agg(F.min("channel_id").alias("first"), F.max("channel_id").alias("last"))
-        .orderBy("chunk")
-        .collect()
-    )
-    return [
-        (a["chunk"], b["chunk"], a["last"]) for a, b in zip(edges, edges[1:]) if a["last"] == b["first"]
-    ]
-
-
-def _guess(ranged: DataFrame, spans: list[tuple], update_limit: int, width: int) -> dict[int, tuple]:
-    """Books at the borders by the relational form. At most 2 x 200 levels per border reach the driver."""
-    spark = ranged.sparkSession
-    borders = spark.createDataFrame([(c, k) for k, _, c in spans], "channel_id BIGINT, chunk INT")
-    spanning = F.broadcast(borders.select("channel_id").distinct())  # one row per partition at most
-    events = ranged.join(spanning, "channel_id", "left_semi")
-    resets = (
-        events.where(RESETS).groupBy("channel_id", "chunk").agg(F.max("seq").alias("reset_seq")).collect()
-    )
-    reset_at = {(r["channel_id"], r["chunk"]): r["reset_seq"] for r in resets}
-    last_border = {c: k for k, _, c in spans}  # spans are in chunk order
-    chunks: dict[int, list[int]] = {}
-    for k, _, c in spans:
-        chunks.setdefault(c, []).append(k)
-    meta = []
-    for channel, own in chunks.items():
-        until = last_border[channel]
-        for k in reversed(own):
-            meta.append((channel, k, reset_at.get((channel, k), -(2**62)), until))
-            if (channel, k) in reset_at:
-                until = k - 1
-    meta_df = F.broadcast(
-        spark.createDataFrame(meta, "channel_id BIGINT, chunk INT, reset_seq BIGINT, until INT")
+def changes(events: DataFrame, rows: int = ROWS) -> DataFrame:
+    """Completed changes: (channel_id, seq, exchange_ts, recv_us, rank, epoch), ``rank`` counting them from 1 and
+    ``epoch`` counting images and clears. An END_QUOTE completes one only inside a batch."""
+    quote = F.col("kind") == "QUOTE"
+    whole = F.col("kind").isin("IMAGE", "UPDATE", "HISTORY") | (
+        quote & F.col("update_type").isin("SOLO", "CLEAR", "END")
     )
-    later = Window.partitionBy("channel_id", "side", "price").orderBy("chunk")
-    oldest = Window.partitionBy("border", "side").orderBy("born")
-    live = (
-        level_ops(events, update_limit, width)
-        .groupBy("channel_id", "chunk", "side", "price")
-        .agg(
-            F.max_by(F.struct("qty", "eff_seq"), F.struct("eff_seq", "op_idx")).alias("last"),
-            F.min("eff_seq").alias("born"),
-        )
-        .join(meta_df, ["channel_id", "chunk"])
-        .withColumn("next_chunk", F.lead("chunk").over(later))
-        .where((F.col("last.eff_seq") >= F.col("reset_seq")) & (F.col("last.qty") > 0))
-        .withColumn("end", F.least(F.col("next_chunk") - 1, F.col("until")))
-        .where("end >= chunk")
-        .select(
-            F.explode(F.sequence("chunk", "end")).alias("border"), "side", "price",
-            F.col("last.qty").alias("qty"), "born",
-        )
-        .withColumn("_rank", F.row_number().over(oldest))  # a full side keeps what came first
-        .where(F.col("_rank") <= MAX_LEVELS)
-    )
-    books: dict[int, dict[str, list]] = {}
-    per_side = live.groupBy("border", "side").agg(F.collect_list(F.struct("price", "qty")).alias("l"))
-    for row in per_side.collect():
-        pairs = sorted(((x["price"], x["qty"]) for x in row["l"]), reverse=row["side"] == "bid")
-        books.setdefault(row["border"], {})[row["side"]] = pairs
-    markers = batch_markers(events, width)
-    last_marker = {
-        (r["channel_id"], r["chunk"]): (r["m"]["island"], bool(r["m"]["closes"]))
-        for r in markers.groupBy("channel_id", "chunk")
-        .agg(F.max_by(F.struct("island", "closes"), "seq").alias("m"))
-        .collect()
-    }
-    open_at, state = [], {}
-    for k, _, c in spans:
-        state[c] = last_marker.get((c, k), state.get(c, (None, True)))
-        island, closed = state[c]
-        if not closed:
-            open_at.append((c, island, k))
-    waiting: dict[int, list] = {}
-    if open_at:
-        borders_open = F.broadcast(
-            spark.createDataFrame(open_at, "channel_id BIGINT, island BIGINT, border INT")
-        )
-        held = (
-            buffered_levels(markers)
-            .join(borders_open, ["channel_id", "island"])
-            .where(F.col("chunk") <= F.col("border"))
-            .select("border", "side", "seq", "price", "qty")
-        )
-        for r in held.collect():
-            waiting.setdefault(r["border"], []).append((r["side"] == "ask", r["seq"], r["price"], r["qty"]))
-    is_open = {k for _, _, k in open_at}
-    seeds = {}
-    for k, following, _ in spans:
-        bids, asks = books.get(k, {}).get("bid", []), books.get(k, {}).get("ask", [])
-        pending = [("ask" if a else "bid", p, q) for a, _, p, q in sorted(waiting.get(k, []))]
-        seeds[following] = (
-            [p for p, _ in bids], [q for _, q in bids], [p for p, _ in asks], [q for _, q in asks],
-            pending, k in is_open,
-        )
-    return seeds
-
-
-def _settled_seeds(
-    ranged: DataFrame, spans: list[tuple], seeds: dict[int, tuple], update_limit: int
-) -> tuple[dict[int, tuple], int]:
-    """Fold ranges until every start book equals the end book before it; also the rounds it took."""
-    following = {k: n for k, n, _ in spans}
-    todo, rounds = frozenset(following), 0
-    while todo:
-        rounds += 1
-        ends = ranged.mapInArrow(_end_books(seeds, update_limit, todo), _END_SCHEMA).collect()
-        changed = set()
-        for r in ends:
-            state = (
-                r["bid_prices"], r["bid_sizes"], r["ask_prices"], r["ask_sizes"],
-                [(p["side"], p["price"], p["qty"]) for p in r["pending"]], r["active"],
-            )
-            nxt = following[r["chunk"]]
-            if seeds.get(nxt, _EMPTY) != state:
-                seeds[nxt] = state
-                changed.add(nxt)
-        todo = frozenset(k for k in changed if k in following)
-    return seeds, rounds
-
-
-def exact_snapshots(
-    events: DataFrame,
-    depth: int = MAX_LEVELS,
-    last_only: bool = False,
-    partitions: int | None = None,
-    update_limit: int = MAX_LEVELS,
-    width: int = WIDTH,
-) -> DataFrame:
-    """A book snapshot after every completed change; with ``last_only`` the newest one per channel.
-
-    ``seq`` must be unique per channel. The driver holds one book of at most 400 levels per partition.
+    columns = ("channel_id", "seq", "exchange_ts", "recv_us", F.expr(RESETS).alias("resets"))
+    markers = batch_markers(events, rows)
+    ended = markers.where("kind = 'END_QUOTE' AND begun")
+    due = events.where(whole).select(*columns).unionByName(ended.select(*columns))
+    step = F.lit(1).cast("bigint") + F.when(F.col("resets"), F.lit(_RESET_UNIT)).otherwise(F.lit(0))
+    counted = running_total(due, "channel_id", "seq", step, "_n", rows)
+    rank = F.pmod(F.col("_n"), F.lit(_RESET_UNIT))
+    return counted.withColumn("rank", rank).withColumn("epoch", F.shiftright("_n", 40)).drop("_n")
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    """Rows written to the shared folder, as several passes read them."""
+    path = scratch(rows.sparkSession, "changes")
+    schema = rows.schema
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+def _spans(events: DataFrame, due: DataFrame, rows: int) -> DataFrame:
+    """Levels with the ranks from which and before which they show."""
+    at = due.select("channel_id", F.col("seq").alias("eff_seq"), "rank", "epoch")
+    ops = level_ops(events, rows).join(at, ["channel_id", "eff_seq"])
+    order = Window.partitionBy("channel_id", "side", "price").orderBy("eff_seq", "op_idx")
+    resets = due.where("resets").select("channel_id", (F.col("epoch") - 1).alias("epoch"), F.col("rank").alias("reset"))
+    last = due.groupBy("channel_id").agg(F.max("rank").alias("last"))
+    held = ops.withColumn("next", F.lead("rank").over(order)).join(resets, ["channel_id", "epoch"], "left")
+    held = held.join(last, "channel_id").withColumn("until", F.least("next", "reset", F.col("last") + 1))
+    return held.where("qty > 0 AND until > rank").select("channel_id", "side", "price", "qty", "rank", "until", "last")
+
+
+def snapshots(events: DataFrame, depth: int | None = None, last_only: bool = False, rows: int = ROWS) -> DataFrame:
+    """The book after every completed change; with ``last_only`` only after the last one of each channel.
+
+    ``seq`` must be unique per channel. A change without an exchange time shows the receive time, or nothing when the
+    book is then empty.
     """
-    spark = events.sparkSession
-    shared_dir(spark)
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        events.select(*EVENT_COLUMNS)
-        .repartitionByRange(parts, "channel_id", "seq")
-        .sortWithinPartitions("channel_id", "seq")
-        .withColumn("chunk", F.spark_partition_id())
-        .checkpoint()  # freezes the range borders: later passes must see the same ranges
+    due = _stored(changes(events, rows))
+    spans = _spans(events, due, rows)
+    if last_only:
+        shown = spans.where("until > last").withColumn("rank", F.col("last"))
+        newest = F.max_by(F.struct("seq", "exchange_ts", "recv_us"), "rank").alias("e")
+        due = due.groupBy("channel_id").agg(F.max("rank").alias("rank"), newest).select("channel_id", "rank", "e.*")
+    else:
+        shown = spans.withColumn("rank", F.explode(F.sequence("rank", F.col("until") - 1)))
+
+    def side(name: str) -> Column:
+        pair = F.struct(F.col("price"), F.col("qty"))
+        found = F.array_sort(F.collect_list(F.when(F.col("side") == name, pair)))
+        found = F.reverse(found) if name == "bid" else found
+        return (found if depth is None else F.slice(found, 1, depth)).alias(name)
+
+    books = shown.groupBy("channel_id", "rank").agg(side("bid"), side("ask"))
+    joined = due.join(books, ["channel_id", "rank"], "left")
+    filled = F.col("bid").isNotNull()
+    ts = F.when(F.coalesce("exchange_ts", F.lit(0)) != 0, F.col("exchange_ts")).when(filled, F.col("recv_us"))
+    none = F.array().cast("array<double>")
+    arrays = [
+        F.coalesce(F.col(f"{name}.{field}"), none).alias(f"{name}_{label}")
+        for name in ("bid", "ask")
+        for field, label in (("price", "prices"), ("qty", "sizes"))
+    ]
+    shaped = joined.withColumn("exchange_timestamp", ts).where("exchange_timestamp IS NOT NULL")
+    return shaped.select(
+        "channel_id", "seq", "exchange_timestamp", "recv_us", F.lit(0).cast("bigint").alias("last_update_id"), *arrays
     )
-    spans = _spans(ranged)
-    seeds: dict[int, tuple] = {}
-    if spans:
-        seeds = _guess(ranged, spans, update_limit, width)
-        seeds, _ = _settled_seeds(ranged, spans, seeds, update_limit)
-    out = ranged.mapInArrow(_snapshots(seeds, update_limit, depth, last_only), schemas.SNAPSHOTS)
-    if not last_only:
-        return out
-    fields = [c for c in out.columns if c != "channel_id"]
-    newest = out.groupBy("channel_id").agg(F.max_by(F.struct(*fields), "seq").alias("s"))
-    return newest.select("channel_id", "s.*")
 
 
 def depth_records(snapshots: DataFrame) -> DataFrame:

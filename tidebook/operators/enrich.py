@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook import schemas
-
 REGISTRY_COLUMNS = (
     "exchange",
     "market_type",
@@ -36,7 +34,7 @@ def unregistered(records: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 def with_defaults(records: DataFrame, channels: DataFrame) -> DataFrame:
-    """Left lookup: an unknown channel keeps its own symbol, has blank names and a full stored depth."""
+    """Left lookup: an unknown channel keeps its own symbol, has blank names and depth 0, that is, all levels are stored."""
     own = records.drop("exchange", "market_type").withColumnRenamed("symbol", "_symbol")
     joined = own.join(_registry(channels), "channel_id", "left")
     return joined.select(
@@ -44,7 +42,7 @@ def with_defaults(records: DataFrame, channels: DataFrame) -> DataFrame:
         F.coalesce("exchange", F.lit("")).alias("exchange"),
         F.coalesce("market_type", F.lit("")).alias("market_type"),
         F.coalesce("symbol", "_symbol").alias("symbol"),
-        F.coalesce("depth_level", F.lit(schemas.MAX_LEVELS)).alias("depth_level"),
+        F.coalesce("depth_level", F.lit(0)).alias("depth_level"),
         F.coalesce("record_tick", F.lit(True)).alias("record_tick"),
         F.coalesce("persist_to_disk", F.lit(True)).alias("persist_to_disk"),
         F.coalesce("topic_prefix", F.lit("")).alias("topic_prefix"),

@@ -1,118 +1,80 @@
-"""One order book as a small state machine; Spark decides which events reach it and in what order."""
+"""One order book as state of a stream; Spark decides which events reach it and in what order."""
 
 from __future__ import annotations
 
-from tidebook.schemas import MAX_LEVELS
-
 EVENT_COLUMNS = (
     "channel_id", "seq", "exchange_ts", "recv_us", "kind", "side", "update_type",
     "price_flag", "size_flag", "price", "size", "bid_levels", "ask_levels",
 )
-
-
-class Side:
-    """Parallel price and size lists, best level first."""
-
-    __slots__ = ("prices", "sizes", "sign")
-
-    def __init__(self, is_ask: bool, prices=(), sizes=()):
-        self.prices, self.sizes = list(prices), list(sizes)
-        self.sign = 1.0 if is_ask else -1.0
-
-    def replace(self, levels) -> None:
-        kept = [x for x in levels or () if x["size"] is not None and x["size"] > 0][:MAX_LEVELS]
-        self.prices = [x["price"] for x in kept]
-        self.sizes = [float(x["size"]) for x in kept]
-
-    def put(self, price: float, size: float) -> None:
-        try:
-            at = self.prices.index(price)
-        except ValueError:
-            at = -1
-        if at >= 0:
-            if size > 0:
-                self.sizes[at] = size
-            else:
-                del self.prices[at], self.sizes[at]
-        elif size > 0 and len(self.prices) < MAX_LEVELS:  # a full side refuses even a better price
-            worse = (i for i, other in enumerate(self.prices) if self.sign * other >= self.sign * price)
-            at = next(worse, len(self.prices))
-            self.prices.insert(at, price)
-            self.sizes.insert(at, size)
+SIDES = ("bid", "ask")
 
 
 class Book:
-    """Both sides plus the batch being buffered."""
+    """Size by price for each side, and the batch being buffered. Sides have no limit."""
 
-    __slots__ = ("bids", "asks", "pending", "active", "update_limit")
+    __slots__ = ("sides", "pending", "active")
 
-    def __init__(self, state: tuple | None = None, update_limit: int = MAX_LEVELS):
-        bid_prices, bid_sizes, ask_prices, ask_sizes, pending, active = state or ((), (), (), (), (), False)
-        self.bids = Side(False, bid_prices, bid_sizes)
-        self.asks = Side(True, ask_prices, ask_sizes)
-        self.pending = {"bid": [], "ask": []}
-        for side, price, size in pending:
-            self.pending[side].append((price, size))
-        self.active = bool(active)
-        self.update_limit = min(update_limit, MAX_LEVELS)
+    def __init__(self, state: tuple | None = None):
+        bid_prices, bid_sizes, ask_prices, ask_sizes, self.pending, self.active = state or ((), (), (), (), [], False)
+        self.sides = {"bid": dict(zip(bid_prices, bid_sizes)), "ask": dict(zip(ask_prices, ask_sizes))}
+        self.pending, self.active = list(self.pending), bool(self.active)
 
     def state(self) -> tuple:
-        waiting = [(side, p, s) for side in ("bid", "ask") for p, s in self.pending[side]]
-        return (
-            list(self.bids.prices), list(self.bids.sizes), list(self.asks.prices), list(self.asks.sizes),
-            waiting, self.active,
-        )
-
-    def _drop_batch(self, active: bool) -> None:
-        self.pending = {"bid": [], "ask": []}
-        self.active = active
+        bids, asks = self.sides["bid"], self.sides["ask"]
+        return list(bids), list(bids.values()), list(asks), list(asks.values()), list(self.pending), self.active
+
+    def shown(self, depth: int | None = None) -> list[list[float]]:
+        """Bid prices and sizes, ask prices and sizes; best level first."""
+        out = []
+        for name in SIDES:
+            pairs = sorted(self.sides[name].items(), reverse=name == "bid")[:depth]
+            out += [[p for p, _ in pairs], [q for _, q in pairs]]
+        return out
+
+    def put(self, changes) -> None:
+        for side, price, size in changes:
+            if size and size > 0:
+                self.sides[side][price] = float(size)
+            else:
+                self.sides[side].pop(price, None)
 
-    def _commit(self) -> None:
-        for name, side in (("bid", self.bids), ("ask", self.asks)):
-            for price, size in self.pending[name]:
-                side.put(price, size)
-        self._drop_batch(active=False)
+    def _reset(self) -> None:
+        self.sides = {name: {} for name in SIDES}
 
     def step(self, kind, side, update_type, price_flag, size_flag, price, size, bid_levels, ask_levels) -> bool:
         """Apply one event; True when a snapshot is due."""
-        if kind == "IMAGE":
-            self.asks.replace(ask_levels)
-            self.bids.replace(bid_levels)
+        if kind in ("IMAGE", "UPDATE", "HISTORY"):
+            if kind == "IMAGE":
+                self._reset()
+            for name, levels in zip(SIDES, (bid_levels, ask_levels)):
+                found = [(name, x["price"], x["size"]) for x in levels if x] if levels is not None else []
+                self.put(c for c in found if kind != "IMAGE" or (c[2] and c[2] > 0))
             return True
-        if kind in ("UPDATE", "HISTORY"):
-            for target, levels in ((self.asks, ask_levels), (self.bids, bid_levels)):
-                for level in (levels or ())[: self.update_limit]:
-                    target.put(level["price"], float(level["size"]))
-            return True
-        if kind == "END_QUOTE":
-            due = self.active
-            if due:
-                self._commit()
-            return due
-        if kind != "QUOTE":
-            return False
-        level = (price, float(size) if size_flag else 0.0) if price_flag else None
-        if update_type == "SOLO":
-            if level:
-                (self.asks if side == "ask" else self.bids).put(*level)
-            return True
-        if update_type == "CLEAR":
-            self.bids, self.asks = Side(False), Side(True)
-            self._drop_batch(active=False)
-            return True
-        if update_type not in ("BEGIN", "MIDDLE", "END"):
-            return False
-        if update_type == "BEGIN" or not self.active:
-            self._drop_batch(active=True)
-        if level and len(self.pending[side]) < MAX_LEVELS:
-            self.pending[side].append(level)
-        if update_type == "END":
+        if kind == "QUOTE":
+            return self._quote(update_type, [(side, price, size if size_flag else 0)] if price_flag else [])
+        due = kind == "END_QUOTE" and self.active
+        if due:
             self._commit()
-            return True
-        return False
+        return due
+
+    def _quote(self, update_type: str, change: list) -> bool:
+        if update_type == "SOLO":
+            self.put(change)
+        elif update_type == "CLEAR":
+            self._reset()
+            self.pending, self.active = [], False
+        elif update_type in ("BEGIN", "MIDDLE", "END"):
+            if update_type == "BEGIN" or not self.active:
+                self.pending, self.active = [], True
+            self.pending += change
+            if update_type == "END":
+                self._commit()
+        return update_type in ("SOLO", "CLEAR", "END")
+
+    def _commit(self) -> None:
+        self.put(self.pending)
+        self.pending, self.active = [], False
 
     def snapshot_time(self, exchange_ts: int | None, recv_us: int) -> int | None:
         """The event's time; for a zero time the receive time, or None when there is nothing to show."""
-        if exchange_ts:
-            return exchange_ts
-        return recv_us if self.bids.prices or self.asks.prices else None
+        return exchange_ts or (recv_us if any(self.sides.values()) else None)

@@ -1,9 +1,9 @@
 """Order-dependent columns over keys of any size.
 
 A plain window over a key sends all its rows to one task, and a single key may hold a third of the data.
-Here a key is cut into blocks of its order column: ``block = order div width``. Orders are unique within a
-key, so a block never holds more than ``width`` rows. Windows run inside blocks; what must cross a block
-border is carried by a second window over one summary row per block.
+Here a key is cut into blocks of its order column, all of one width, chosen from the key's own count and range so that
+a block holds about ``rows`` rows however sparse the orders are. Windows run inside blocks; what must cross a block
+border is carried by a second window over one summary row per block. Orders are unique within a key.
 """
 
 from __future__ import annotations
@@ -11,19 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 1 << 20
+ROWS = 1 << 16
 
 
-def _blocked(df: DataFrame, order: str, width: int) -> DataFrame:
-    size = F.lit(width).cast("bigint")
-    return df.withColumn("_block", F.call_function("div", F.col(order) - F.pmod(F.col(order), size), size))
+def _blocked(df: DataFrame, key: str, order: str, rows: int) -> DataFrame:
+    stats = df.groupBy(key).agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.count(F.lit(1)).alias("_n"))
+    blocks = F.greatest(F.ceil(F.col("_n") / rows), F.lit(1))
+    width = F.ceil((F.col("_high").cast("double") - F.col("_low") + 1) / blocks).cast("bigint")
+    stats = stats.select(key, "_low", F.greatest(width, F.lit(1)).alias("_width"))
+    placed = df.join(stats, key)
+    return placed.withColumn("_block", F.expr(f"({order} - _low) div _width")).drop("_low", "_width")
 
 
 def previous_in_order(
-    df: DataFrame, key: str, order: str, value: str, name: str, width: int = WIDTH
+    df: DataFrame, key: str, order: str, value: str, name: str, rows: int = ROWS
 ) -> DataFrame:
     """``lag(value)`` per key; NULL at the first row."""
-    blocks = _blocked(df, order, width)
+    blocks = _blocked(df, key, order, rows)
     inside = Window.partitionBy(key, "_block").orderBy(order)
     across = Window.partitionBy(key).orderBy("_block")
     carry = (
@@ -41,10 +45,10 @@ def previous_in_order(
 
 
 def running_total(
-    df: DataFrame, key: str, order: str, amount: Column, name: str, width: int = WIDTH
+    df: DataFrame, key: str, order: str, amount: Column, name: str, rows: int = ROWS
 ) -> DataFrame:
     """Sum of ``amount`` over this and all earlier rows of the key."""
-    blocks = _blocked(df.withColumn("_amount", amount), order, width)
+    blocks = _blocked(df.withColumn("_amount", amount), key, order, rows)
     inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = (

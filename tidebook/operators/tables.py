@@ -38,7 +38,7 @@ def to_trades(records: DataFrame) -> DataFrame:
 def to_orderbook(records: DataFrame, keep_update_id: bool = False) -> DataFrame:
     """Each side cut and zero-padded to the channel's stored depth."""
     arrays = levels.depth_arrays(
-        F.col("bids"), F.col("asks"), levels.effective_depth(F.col("depth_level"))
+        F.col("bids"), F.col("asks"), levels.effective_depth(F.col("depth_level"), F.col("bids"), F.col("asks"))
     )
     extra = ["last_update_id"] if keep_update_id else []
     return records.select(

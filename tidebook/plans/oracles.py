@@ -72,7 +72,8 @@ lw AS (
 ),
 d AS (
   SELECT e.event_id, us, event_type, e.symbol,
-         CASE WHEN depth_level > 0 THEN depth_level ELSE 100 END AS depth
+         CASE WHEN depth_level > 0 THEN depth_level
+              ELSE coalesce((SELECT max(level) FROM lw WHERE lw.event_id = e.event_id), 0) END AS depth
   FROM e JOIN c ON e.symbol = c.symbol
 )"""
 
@@ -217,8 +218,8 @@ ORACLES: dict[str, str] = {
     "binance_spot_trades": _trades("us", "event_id", "k", "event_type = 'click'"),
     "binance_perp_trades": _trades(_MS, "event_id", "k", "event_type = 'click'"),
     "gateio_spot_trades": _trades(_SPOT_TS, "event_id", "k + 0.5", "event_type IN ('purchase', 'click')"),
-    "gateio_perp_trades": _trades(_MS, "event_id * 10", "k", "event_type IN ('error', 'click') AND k > 0"),
-    "gateio_perp_all_trades": _trades(
+    "gateio_perp_first_trades": _trades(_MS, "event_id * 10", "k", "event_type IN ('error', 'click') AND k > 0"),
+    "gateio_perp_trades": _trades(
         _MS, "event_id * 10 + i", "k + i", "event_type IN ('error', 'click') AND k + i > 0", "e, range(0, 2) r(i)"
     ),
     "binance_spot_depth_levels": _depth("us"),
@@ -294,9 +295,7 @@ GROUP BY c_nationkey HAVING count(DISTINCT c_mktsegment) > 1""",
     "registry_config": _with("SELECT * FROM g", _CONFIG),
     "registry_violations": _with(
         """
-SELECT topic_prefix, 'symbol_too_long' AS problem FROM g WHERE length(symbol) > 11
-UNION ALL SELECT topic_prefix, 'depth_out_of_range' FROM g WHERE depth_level > 100
-UNION ALL SELECT topic_prefix, 'market_type' FROM g WHERE market_type NOT IN ('spot', 'perpetual', 'futures')""",
+SELECT topic_prefix, 'market_type' AS problem FROM g WHERE market_type NOT IN ('spot', 'perpetual', 'futures')""",
         _CONFIG,
     ),
     "enrich_inner": _with(
@@ -310,7 +309,7 @@ SELECT event_id AS seq, 'binance' AS exchange, 'spot' AS market_type, e.symbol,
         """
 SELECT event_id AS seq, CASE WHEN c.symbol IS NULL THEN '' ELSE 'binance' END AS exchange,
        CASE WHEN c.symbol IS NULL THEN '' ELSE 'spot' END AS market_type, e.symbol,
-       coalesce(depth_level, 100) AS depth_level, CAST(k AS DOUBLE) AS quantity
+       coalesce(depth_level, 0) AS depth_level, CAST(k AS DOUBLE) AS quantity
 FROM e LEFT JOIN c ON e.symbol = c.symbol""",
         EVENTS,
         CHANNELS,
@@ -343,9 +342,12 @@ SELECT (d.us // 1000) * 1000 AS exchange_timestamp, d.symbol, d.event_id AS last
        coalesce(a.ask_price, 0.0) AS ask_price1, coalesce(a.ask_size, 0.0) AS ask_size1,
        coalesce(a.bid_price, 0.0) AS bid_price1, coalesce(a.bid_size, 0.0) AS bid_size1,
        coalesce(b.ask_price, 0.0) AS ask_price2, coalesce(b.ask_size, 0.0) AS ask_size2,
-       coalesce(b.bid_price, 0.0) AS bid_price2, coalesce(b.bid_size, 0.0) AS bid_size2
+       coalesce(b.bid_price, 0.0) AS bid_price2, coalesce(b.bid_size, 0.0) AS bid_size2,
+       coalesce(c.ask_price, 0.0) AS ask_price3, coalesce(c.ask_size, 0.0) AS ask_size3,
+       coalesce(c.bid_price, 0.0) AS bid_price3, coalesce(c.bid_size, 0.0) AS bid_size3
 FROM d LEFT JOIN lw a ON a.event_id = d.event_id AND a.level = 1
-LEFT JOIN lw b ON b.event_id = d.event_id AND b.level = 2 AND d.depth >= 2""",
+LEFT JOIN lw b ON b.event_id = d.event_id AND b.level = 2 AND d.depth >= 2
+LEFT JOIN lw c ON c.event_id = d.event_id AND c.level = 3 AND d.depth >= 3""",
         EVENTS,
         CHANNELS,
         _DEPTH_ROWS,
@@ -408,10 +410,8 @@ FROM e JOIN range(1, 4) r(i) ON TRUE LEFT JOIN lw ON lw.event_id = e.event_id AN
     "load_report": _with("""
 SELECT upper(event_type) AS symbol, count(*) AS rows FROM e GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM e"""),
     "topics_sent": _with("""
-SELECT * FROM (
-  SELECT CASE WHEN event_type = 'error' THEN repeat('x', 46) ELSE 'binance' END || ':spot:' || symbol || ':tick'
-         AS topic, CAST(1 AS TINYINT) AS msg_type, count(*) AS messages FROM e GROUP BY 1, 2
-) WHERE length(topic) < 64"""),
+SELECT CASE WHEN event_type = 'error' THEN repeat('x', 46) ELSE 'binance' END || ':spot:' || symbol || ':tick'
+       AS topic, CAST(1 AS TINYINT) AS msg_type, count(*) AS messages FROM e GROUP BY 1, 2"""),
     "degraded_replay": _with("""
 SELECT event_id, us, value, event_type, CAST(event_type = 'error' AS INTEGER) AS storage_target,
        CAST(event_type = 'error' AS INTEGER) AS recovery_status FROM e"""),

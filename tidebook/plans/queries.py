@@ -45,8 +45,8 @@ TRADE_PAYLOADS: dict[str, tuple[Feed, Callable[[], Column]]] = {
     "binance_perp_trades": (binance.PERPETUAL, lambda: adapter.binance_trade(adapter.ms())),
     "gateio_spot_trades": (gateio.SPOT, adapter.gateio_spot_trade),
     "gateio_perp_trades": (gateio.PERPETUAL, lambda: adapter.gateio_perpetual_trades(F.lit(2))),
-    "gateio_perp_all_trades": (
-        gateio.PERPETUAL_ALL_TRADES,
+    "gateio_perp_first_trades": (
+        gateio.PERPETUAL_FIRST_TRADE,
         lambda: adapter.gateio_perpetual_trades(F.lit(2)),
     ),
 }
@@ -321,7 +321,7 @@ def depth_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def book_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = tables.to_wide(_orderbook(spark, sf_dir), 2)
+    wide = tables.to_wide(_orderbook(spark, sf_dir), 3)
     return wide.drop("local_diff", "exchange", "market_type", "trade_date")
 
 
@@ -349,8 +349,7 @@ def book_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def batch_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    markers = book.batch_markers(_book_events(spark, sf_dir).withColumn("chunk", F.lit(0)))
-    kept = book.buffered_levels(markers).join(book.batch_commits(markers), ["channel_id", "island"])
+    kept = book.batched_levels(book.batch_markers(_book_events(spark, sf_dir)))
     return kept.groupBy("channel_id", "eff_seq").agg(
         F.count(F.lit(1)).alias("levels"),
         F.sum(F.when(F.col("side") == "bid", 1).otherwise(0)).alias("bids"),
@@ -369,12 +368,12 @@ def _levels_of(snapshots: DataFrame) -> DataFrame:
 
 @query
 def book_final_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels_of(book.exact_snapshots(_book_events(spark, sf_dir), last_only=True))
+    return _levels_of(book.snapshots(_book_events(spark, sf_dir), last_only=True))
 
 
 @query
 def book_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snapshots = book.exact_snapshots(_book_events(spark, sf_dir))
+    snapshots = book.snapshots(_book_events(spark, sf_dir))
     return snapshots.select(
         "channel_id",
         "seq",
@@ -486,7 +485,7 @@ def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def topics_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages per topic; for events of type error the topic is too long to be sent."""
+    """Messages per topic; for events of type error the topic is long."""
     events = adapter.ticks(spark, sf_dir)
     raw = adapter.raw_feed(events, "binance", "spot", adapter.binance_trade(F.col("us")))
     ticks = parse.tick_records(parse.parse_messages(raw, SPOT_FEED, kinds=("TICK",)))

@@ -1,10 +1,6 @@
 """Table schemas, as DDL strings usable by ``spark.read.schema`` and ``readStream``."""
 
-# A book side, a pending batch side and a stored depth never exceed this many levels.
-MAX_LEVELS = 100
-# Longest symbol a registry accepts, and the length at which a topic is no longer sent.
-MAX_SYMBOL_CHARS = 11
-TOPIC_LIMIT = 64
+# Fixed value: the stored depth of a channel whose configuration names none.
 DEFAULT_DEPTH_LEVEL = 5
 MARKET_TYPES = ("spot", "perpetual", "futures")
 

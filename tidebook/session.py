@@ -36,11 +36,14 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, local runs) a temporary folder is made and set.
+    Only a local session that names none (tests) gets a temporary folder; on a cluster that is an error, as
+    executors don't see each other's folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         set_already = spark.sparkContext.getCheckpointDir()
+        if not set_already and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = set_already or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

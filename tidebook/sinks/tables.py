@@ -45,18 +45,22 @@ def laid_out(
 ) -> tuple[DataFrame, list[str]]:
     """Rows in table layout, and the partition columns.
 
-    The shuffle is by range of (partition, bucket, symbol, time), not by hash of the partition: a day or symbol
-    that holds much of the data spreads over many tasks, each with its own stretch of time, and every file is
-    sorted and covers a narrow range, which is what row-group pruning needs. The row hash splits rows of one
-    symbol and time. The partition columns lead the sort, so the writer has no reason to sort again.
+    The shuffle is a rebalance by partition: AQE splits a day or bucket that holds much of the data over many
+    tasks and joins small ones, from the sizes that the shuffle itself finds, so rows are made once. Every file is
+    sorted, which is what row-group pruning needs; :func:`range_sorted` also gives each file a stretch of time of its
+    own. The partition columns lead the sort, so the writer has no reason to sort again.
     """
     keys = ["part_date", "symbol_bucket"]
     keyed = rows.withColumn("part_date", partition_start(F.col("trade_date"), granularity)).withColumn(
         "symbol_bucket", identity.bucket(F.col("symbol"), buckets)
     )
     order = [*keys, "symbol", "exchange_timestamp"]
-    spread = keyed.repartitionByRange(*order, F.xxhash64(*rows.columns))
-    return spread.sortWithinPartitions(*order), keys
+    return keyed.hint("rebalance", *keys).sortWithinPartitions(*order), keys
+
+
+def range_sorted(stored: DataFrame) -> DataFrame:
+    """Stored rows by range of symbol and time, for a table at rest: reading them twice is cheap."""
+    return stored.repartitionByRange("symbol", "exchange_timestamp").sortWithinPartitions("symbol", "exchange_timestamp")
 
 
 def write_parquet(
@@ -77,12 +81,13 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def save_bucketed(rows: DataFrame, name: str, buckets: int = SYMBOL_BUCKETS, mode: str = "append") -> None:
     """A catalog table bucketed by symbol, so later joins and aggregates on symbol need no shuffle.
 
-    Rows are first ranged by (date, bucket, symbol, time), so few tasks write to one bucket of one day, and a
-    busy one still gets several.
+    Rows are first rebalanced by (date, bucket), so few tasks write to one bucket of one day, and a busy one still
+    gets several.
     """
-    order = [F.col("trade_date"), identity.bucket(F.col("symbol"), buckets), "symbol", "exchange_timestamp"]
+    keyed = rows.withColumn("_bucket", identity.bucket(F.col("symbol"), buckets))
     (
-        rows.repartitionByRange(*order)
+        keyed.hint("rebalance", "trade_date", "_bucket")
+        .drop("_bucket")
         .write.mode(mode)
         .partitionBy("trade_date")
         .bucketBy(buckets, "symbol")
@@ -109,24 +114,30 @@ _CSV_COLUMNS = {
 def write_csv(rows: DataFrame, path: str, kind: str, depth: int | None = None, mode: str = "append") -> None:
     """Daily files per channel under ``{path}/{kind}/exchange=../market_type=../symbol=../trade_date=../``.
 
-    A late row lands in its own day. Order books are written wide with ``depth`` levels.
+    A late row lands in its own day. Order books are written wide, each row with as many levels as it has (its
+    channel's stored depth), or with ``depth``; files of one depth have one header.
     """
-    if kind == "orderbook":
-        out = to_wide(rows, depth or schemas.DEFAULT_DEPTH_LEVEL)
-        columns = [c for c in out.columns if c not in CSV_KEYS]
-    elif kind == "bookticker":
-        out, columns = rows.withColumn("symbol_text", F.col("symbol")), list(_CSV_COLUMNS[kind])
-    else:
-        out, columns = rows, list(_CSV_COLUMNS[kind])
+    if kind != "orderbook":
+        out = rows.withColumn("symbol_text", F.col("symbol")) if kind == "bookticker" else rows
+        _write_csv(out.select(*_CSV_COLUMNS[kind], *CSV_KEYS), os.path.join(path, kind), mode)
+        return
+    size = F.greatest(F.size("bid_prices"), F.size("ask_prices"))
+    depths = [depth] if depth else [r[0] for r in rows.select(size.alias("n")).distinct().orderBy("n").collect()]
+    for k, n in enumerate(depths):
+        own = rows if depth else rows.where(size == n)
+        _write_csv(to_wide(own, n), os.path.join(path, kind), mode if k == 0 else "append")
+
+
+def _write_csv(out: DataFrame, path: str, mode: str) -> None:
+    """Tasks get rows of few partitions; AQE splits those that are large, without a sampling pass."""
     order = [*CSV_KEYS, "exchange_timestamp"]
-    out = out.select(*columns, *CSV_KEYS)
-    spread = out.repartitionByRange(*order, F.xxhash64(*columns)).sortWithinPartitions(*order)
-    spread.write.mode(mode).partitionBy(*CSV_KEYS).option("header", True).csv(os.path.join(path, kind))
+    spread = out.hint("rebalance", *CSV_KEYS).sortWithinPartitions(*order)
+    spread.write.mode(mode).partitionBy(*CSV_KEYS).option("header", True).csv(path)
 
 
 Writer = Callable[[DataFrame, str, str], None]
 BACKENDS: dict[str, Writer] = {
-    "csv": lambda rows, path, kind: write_csv(rows, path, kind, depth=schemas.MAX_LEVELS),
+    "csv": write_csv,
     "parquet": lambda rows, path, kind: write_parquet(rows, os.path.join(path, kind)),
     "bucketed": lambda rows, path, kind: save_bucketed(rows, kind),
 }

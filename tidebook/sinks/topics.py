@@ -22,26 +22,27 @@ def addressed(records: DataFrame, kind: str) -> DataFrame:
         identity.topic(F.col("topic_prefix"), suffix).alias("topic"),
         F.lit(tag).cast("tinyint").alias("msg_type"),
         body.alias("value"),
-        (F.col("topic_prefix") != "").alias("_named"),
+        (F.col("topic_prefix") != "").alias("sendable"),
     )
-    return named.withColumn("sendable", F.col("_named") & identity.is_sendable(F.col("topic"))).drop("_named")
+    return named
 
 
 def messages(records: DataFrame, kind: str) -> DataFrame:
-    """What is sent: records of registered channels whose topic is short enough."""
+    """What is sent: records of registered channels."""
     return addressed(records, kind).where("sendable").drop("sendable")
 
 
 def write_files(sent: DataFrame, path: str, mode: str = "append") -> None:
-    """JSON lines per topic; ranges over the value spread a busy topic over several files."""
-    spread = sent.repartitionByRange("topic", F.xxhash64("value"))
+    """JSON lines per topic; AQE spreads a busy topic over several files."""
+    spread = sent.hint("rebalance", "topic")
     spread.write.mode(mode).partitionBy("topic").json(path)
 
 
 def write_kafka(sent: DataFrame, servers: str) -> None:
-    """To a broker, keyed by topic so the order within a channel is kept; needs the Kafka connector."""
+    """To a broker, keyed by topic so the order within a channel is kept, the message type as a header; needs the Kafka connector."""
+    tag = F.struct(F.lit("msg_type").alias("key"), F.encode(F.col("msg_type").cast("string"), "utf-8").alias("value"))
     rows = sent.select(
-        F.regexp_replace("topic", ":", ".").alias("topic"), F.col("topic").alias("key"), "value"
+        F.regexp_replace("topic", ":", ".").alias("topic"), F.col("topic").alias("key"), "value", F.array(tag).alias("headers")
     )
     rows.write.format("kafka").option("kafka.bootstrap.servers", servers).save()
 

@@ -112,6 +112,31 @@ def read_bookticker(
     return _named(rows, columns, "bookticker", ("file_path",) if keep_path else ())
 
 
+_STAMP = "exchange_timestamp"
+_LEVEL_PARTS = ("ask_prices", "ask_sizes", "bid_prices", "bid_sizes")
+
+
+def _place(name: str) -> Column:
+    """Where a header line has the column; NULL if it lacks it."""
+    at = F.array_position("head", name)
+    return F.when(at > 0, (at - 1).cast("int")).alias("_at")
+
+
+def _places(array: str) -> Column:
+    """Where a header line has the numbered columns of one array, in the order of their numbers up to the highest."""
+    stem = array[:-1]
+    numbers = F.transform(
+        F.filter("head", lambda c: F.regexp_like(c, F.lit(r"^(ask|bid)_(price|size)[0-9]{1,6}$"))),
+        lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("int"),
+    )
+    deepest = F.coalesce(F.array_max(numbers), F.lit(0))
+    at = F.transform(
+        F.sequence(F.lit(1), deepest), lambda i: (F.array_position("head", F.concat(F.lit(stem), i.cast("string"))) - 1).cast("int")
+    )
+    found = F.transform(at, lambda i: F.when(i >= 0, i))
+    return F.when(deepest > 0, found).otherwise(F.array().cast("array<int>"))
+
+
 def read_orderbook(
     spark: SparkSession,
     root: str,
@@ -119,11 +144,12 @@ def read_orderbook(
     columns: list[str] | None = None,
     keep_path: bool = False,
 ) -> DataFrame:
-    """Order-book rows of any depth, in one pass.
+    """Order-book rows of any depth and order of columns.
 
-    Levels are written as ``ask_price, ask_size, bid_price, bid_size`` repeated, so the width of a line gives
-    its depth, even where files (or parts of one file) differ. For files with other columns name them all in
-    ``columns``; levels are then found by name and missing ones read as 0.0.
+    Each file's header line says where its levels are, so files of different depths and orders mix; a level that the
+    header or a line lacks reads as 0.0. Headers, one short row for each file, are joined to the lines by file. A
+    file without a header is read as ``ask_price, ask_size, bid_price, bid_size`` repeated, as deep as its lines are
+    wide; or name all columns of headless files in ``columns``.
     """
     if columns:
         rows = _lines(spark, root, "orderbook", layout, tuple(columns))
@@ -136,21 +162,26 @@ def read_orderbook(
             .text(folder)
             .select(F.split("value", ",").alias("cells"), F.col("_metadata.file_path").alias("file_path"))
         )
-        rows = text.where(~F.get("cells", F.lit(0)).isin("exchange_timestamp", "")).select(
-            F.get("cells", F.lit(0)).alias("exchange_timestamp"),
-            F.get("cells", F.lit(1)).alias("local_diff"),
-            F.transform(F.slice("cells", 3, 2**31 - 8), lambda c: c.try_cast("double")).alias("cells"),
+        first = F.get("cells", F.lit(0))
+        lines = text.where(~first.isin(_STAMP, "")).withColumnRenamed("cells", "line")
+        heads = text.where(first == _STAMP).groupBy("file_path").agg(F.min("cells").alias("head"))
+        heads = heads.select("file_path", *[_places(name).alias(name) for name in _LEVEL_PARTS], _place("local_diff"))
+        joined = lines.join(heads, "file_path", "left")
+        depth = F.ceil((F.size("line") - 2) / 4).cast("int")
+
+        def cells(k: int, name: str) -> Column:
+            regular = F.transform(F.sequence(F.lit(0), depth - 1), lambda i: i * 4 + k + 2)
+            regular = F.when(depth > 0, regular).otherwise(F.array().cast("array<int>"))
+            places = F.coalesce(F.col(f"{name}s"), regular)
+            return F.transform(places, lambda at: F.coalesce(F.get("line", at).try_cast("double"), F.lit(0.0)))
+
+        rows = joined.select(
+            F.get("line", F.lit(0)).alias(_STAMP),
+            F.get("line", F.coalesce("_at", F.lit(1))).alias("local_diff"),
+            *[cells(k, name).alias(f"_{name}") for k, name in enumerate(("ask_price", "ask_size", "bid_price", "bid_size"))],
             "file_path",
         )
-        depth = F.ceil(F.size("cells") / 4).cast("int")
-
-        def every_fourth(start: int) -> Column:
-            at = F.sequence(F.lit(0), depth - 1)
-            picked = F.transform(at, lambda i: F.coalesce(F.get("cells", i * 4 + start), F.lit(0.0)))
-            return F.when(depth > 0, picked).otherwise(F.array().cast("array<double>"))
-
-        order = ("ask_prices", "ask_sizes", "bid_prices", "bid_sizes")
-        arrays = {name: every_fourth(i) for i, name in enumerate(order)}
+        arrays = {f"{name}s": F.col(f"_{name}") for name in ("ask_price", "ask_size", "bid_price", "bid_size")}
     named = {**_numbers(), **path_keys(F.col("file_path"), "orderbook"), **arrays}
     return _named(rows, named, "orderbook", ("file_path",) if keep_path else ())
 
@@ -162,3 +193,14 @@ def load_report(rows: DataFrame) -> DataFrame:
     """Rows per file and, under a NULL path, in all."""
     return rows.rollup("file_path").agg(F.count(F.lit(1)).alias("rows"))
 
+
+def checked(rows: DataFrame, as_of_year: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be stored, and the others with a ``reject_reason``: a value that didn't read, or a bad time."""
+    required = [F.col(c).isNull() for c in rows.columns if c not in ("trade_date", "file_path", "is_buyer_maker")]
+    broken = required[0]
+    for column in required[1:]:
+        broken = broken | column
+    valid = timeparts.is_valid_us(F.col("exchange_timestamp"), as_of_year)
+    reason = F.when(broken, "bad_value").when(~valid, "invalid_time")
+    marked = rows.withColumn("reject_reason", reason)
+    return marked.where("reject_reason IS NULL").drop("reject_reason"), marked.where("reject_reason IS NOT NULL")

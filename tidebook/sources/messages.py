@@ -19,18 +19,6 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet")
     return spark.read.schema(INPUTS[name]).format(fmt).load(path)
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows over at least as many partitions as there are cores.
-
-    Parsing is bound by CPU, and a few unsplittable files would leave most cores idle. An input that already
-    has enough splits, as any large one does, is returned as it is, without a shuffle.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, *keys)
-
-
 def stream_table(
     spark: SparkSession, name: str, path: str, fmt: str = "parquet", max_files: int | None = None, **options: str
 ) -> DataFrame:

@@ -64,8 +64,8 @@ def violations(channels: DataFrame) -> DataFrame:
     symbol, depth = F.col("symbol"), F.col("depth_level")
     problems = F.array_compact(
         F.array(
-            F.when(F.octet_length(symbol) > schemas.MAX_SYMBOL_CHARS, "symbol_too_long"),
-            F.when((depth > schemas.MAX_LEVELS) | (depth < 0), "depth_out_of_range"),
+            F.when(F.coalesce(symbol, F.lit("")) == "", "symbol_missing"),
+            F.when(depth < 0, "depth_out_of_range"),
             F.when(~identity.is_market_type(F.col("market_type")), "market_type"),
             F.when(F.octet_length("topic_prefix") != F.char_length("topic_prefix"), "not_ascii"),
         )
@@ -91,12 +91,3 @@ def register(channels: DataFrame) -> DataFrame:
     if clash:
         raise RegistryError("; ".join(f"id {r.channel_id} claimed by {r.channels} channels" for r in clash))
     return channels.where("enabled").dropDuplicates(["channel_id"])
-
-
-def broadcast_if_small(channels: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Mark the registry for broadcast when it is at most ``max_rows`` long (some 30 MB), else leave it.
-
-    Unmarked, Spark joins by its own size estimate, and AQE splits a hot channel of a shuffled join.
-    """
-    rows = channels.limit(max_rows + 1).count()
-    return F.broadcast(channels) if rows <= max_rows else channels

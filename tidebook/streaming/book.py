@@ -27,18 +27,18 @@ _STATE = (
 
 
 class BookProcessor(StatefulProcessor):
-    def __init__(self, depth: int, update_limit: int):
-        self.depth, self.update_limit = depth, update_limit
+    def __init__(self, depth: int | None):
+        self.depth = depth
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.saved = handle.getValueState("book", _STATE)
 
     def _load(self) -> tuple[Book, int]:
         if not self.saved.exists():
-            return Book(None, self.update_limit), -(2**63)
+            return Book(), -(2**63)
         bp, bs, ap, as_, sides, prices, sizes, active, last_seq = self.saved.get()
         pending = list(zip(sides, prices, sizes))
-        return Book((bp, bs, ap, as_, pending, active), self.update_limit), last_seq
+        return Book((bp, bs, ap, as_, pending, active)), last_seq
 
     def _save(self, book: Book, last_seq: int) -> None:
         bp, bs, ap, as_, pending, active = book.state()
@@ -60,14 +60,7 @@ class BookProcessor(StatefulProcessor):
                 shown = book.snapshot_time(ts, recv)
                 if shown is None:
                     continue
-            arrays = (
-                [[], [], [], []]
-                if late
-                else [
-                    list(a[: self.depth])
-                    for a in (book.bids.prices, book.bids.sizes, book.asks.prices, book.asks.sizes)
-                ]
-            )
+            arrays = [[], [], [], []] if late else book.shown(self.depth)
             out.append((channel, seq, ts if late else shown, recv, 0, *arrays, late))
         self._save(book, last_seq)
         if out:
@@ -78,10 +71,8 @@ class BookProcessor(StatefulProcessor):
         pass
 
 
-def stream_snapshots(
-    events: DataFrame, depth: int = schemas.MAX_LEVELS, update_limit: int = schemas.MAX_LEVELS
-) -> DataFrame:
-    """Snapshots of a ``book_events`` stream, plus its late rows."""
+def stream_snapshots(events: DataFrame, depth: int | None = None) -> DataFrame:
+    """Snapshots of a ``book_events`` stream, plus its late rows; ``depth`` cuts what is shown."""
     spark = events.sparkSession
     provider = "spark.sql.streaming.stateStore.providerClass"
     if not spark.conf.get(provider, "").endswith("RocksDBStateStoreProvider"):
@@ -90,7 +81,7 @@ def stream_snapshots(
         events.select(*EVENT_COLUMNS)
         .groupBy("channel_id")
         .transformWithStateInPandas(
-            statefulProcessor=BookProcessor(depth, update_limit),
+            statefulProcessor=BookProcessor(depth),
             outputStructType=OUTPUT,
             outputMode="Append",
             timeMode="None",
