@@ -24,6 +24,11 @@ def _with_channel(df: DataFrame, channels: DataFrame, how: str) -> DataFrame:
     return keyed.join(members, match, how)
 
 
+def _order(df: DataFrame):
+    """The feed's own ``seq``, or the receive time where it has none."""
+    return F.col("seq" if "seq" in df.columns else "recv_us").alias("seq")
+
+
 def unmapped(df: DataFrame, channels: DataFrame) -> DataFrame:
     """Rows whose contract is not registered."""
     return _with_channel(df, channels, "left_anti").drop("_x", "_t")
@@ -36,7 +41,9 @@ def normalise_trades(df: DataFrame, channels: DataFrame) -> DataFrame:
         F.col("_x").alias("exchange"),
         F.lit(MARKET).alias("market_type"),
         F.col("_t").alias("symbol"),
+        _order(df),
         "recv_us",
+        F.lit(0).cast("bigint").alias("local_diff"),
         seconds_to_us(F.col("ssboe"), F.col("usecs")).alias("exchange_timestamp"),
         F.lit(0).cast("bigint").alias("trade_id"),
         "price",
@@ -56,7 +63,9 @@ def normalise_bbo(df: DataFrame, channels: DataFrame) -> DataFrame:
         F.col("_x").alias("exchange"),
         F.lit(MARKET).alias("market_type"),
         F.col("_t").alias("symbol"),
+        _order(df),
         "recv_us",
+        F.lit(0).cast("bigint").alias("local_diff"),
         seconds_to_us(F.col("ssboe"), F.col("usecs")).alias("exchange_timestamp"),
         flagged("bid_price", "bid_price_flag", "best_bid_price"),
         flagged("bid_size", "bid_size_flag", "best_bid_qty"),

@@ -21,11 +21,11 @@ from tidebook.feeds.base import DEPTH, FIELDS, TICK, TICKER, UNKNOWN
 # Reasons a message or record is not stored.
 EMPTY, MALFORMED, NO_FEED = "empty", "malformed", "no_feed"
 UNKNOWN_EVENT, PARSE = "unknown_event", "parse"
-UNREGISTERED, INVALID_TIME = "unregistered", "invalid_time"
+UNREGISTERED, UNRECORDED, INVALID_TIME = "unregistered", "unrecorded", "invalid_time"
 
 ENVELOPE = ("channel_id", "exchange", "market_type", "symbol", "seq", "recv_us", "recv_ns", "dispatch_ns")
 RECORD_COLUMNS = {TICK: "tick", DEPTH: "depth", TICKER: "ticker"}
-_LEVELS = "array<struct<price:double,quantity:double>>"
+LEVELS = "array<struct<price:double,quantity:double>>"
 
 
 def evaluated_once(column: Column) -> Column:
@@ -83,7 +83,7 @@ def _stages(app_id: str, feeds: tuple[Feed, ...], kinds: tuple[str, ...]) -> _St
     )
 
     def side(name: str) -> Column:
-        return by_feed([f.levels(F.col(f"r.{DEPTH}_{name}")) for f in feeds], _LEVELS)
+        return by_feed([f.levels(F.col(f"r.{DEPTH}_{name}")) for f in feeds], LEVELS)
 
     sides = None
     if DEPTH in wanted:
@@ -91,7 +91,7 @@ def _stages(app_id: str, feeds: tuple[Feed, ...], kinds: tuple[str, ...]) -> _St
 
     def record(k: str) -> Column:
         if k not in wanted:
-            parts = [f"{n}:{_LEVELS if t == 'variant' else t}" for n, t in FIELDS[k].items()]
+            parts = [f"{n}:{LEVELS if t == 'variant' else t}" for n, t in FIELDS[k].items()]
             return F.lit(None).cast(f"struct<{','.join(parts)}>")
         fields = {
             n: F.col(f"sides.{n}") if type_ == "variant" else F.col(f"r.{k}_{n}") for n, type_ in FIELDS[k].items()

@@ -413,8 +413,18 @@ SELECT upper(event_type) AS symbol, count(*) AS rows FROM e GROUP BY 1 UNION ALL
 SELECT CASE WHEN event_type = 'error' THEN repeat('x', 46) ELSE 'binance' END || ':spot:' || symbol || ':tick'
        AS topic, CAST(1 AS TINYINT) AS msg_type, count(*) AS messages FROM e GROUP BY 1, 2"""),
     "degraded_replay": _with("""
-SELECT event_id, us, value, event_type, CAST(event_type = 'error' AS INTEGER) AS storage_target,
-       CAST(event_type = 'error' AS INTEGER) AS recovery_status FROM e"""),
+SELECT event_id, us, value, event_type, CAST(event_type IN ('click', 'error') AS INTEGER) AS recovery_status FROM e"""),
+    "records_outcome": _with(
+        """
+SELECT 'TICK' AS kind, CASE WHEN c.symbol IS NULL THEN 'unregistered' WHEN NOT record_tick THEN 'unrecorded'
+       ELSE 'stored' END AS outcome, count(*) AS messages FROM e LEFT JOIN c ON e.symbol = c.symbol GROUP BY 2""",
+        EVENTS,
+        CHANNELS,
+    ),
+    "futures_daily": _daily("record_tick"),
+    "csv_rejects": _with("""
+SELECT upper(event_type) AS symbol, CASE event_type WHEN 'error' THEN 'bad_value' WHEN 'view' THEN 'invalid_time'
+       ELSE 'stored' END AS reject_reason, count(*) AS rows FROM e GROUP BY ALL"""),
     "latency_last": _with("""
 SELECT user_id AS channel_id, CAST(arg_max(k, event_id) AS DOUBLE) AS latency_us, max(event_id) AS seq
 FROM e GROUP BY user_id"""),

@@ -12,7 +12,7 @@ from tidebook.feeds import Feed, binance, futures, gateio
 from tidebook.functions import identity, numbers, timeparts
 from tidebook.operators import book, enrich, parse, tables, telemetry
 from tidebook.plans import adapter
-from tidebook.plans.records import records_from_raw, union_records
+from tidebook.plans.records import futures_records, judged, outcomes, records_from_raw, union_records
 from tidebook.session import scratch
 from tidebook.sinks import deadletter, topics
 from tidebook.sinks import tables as table_sinks
@@ -236,6 +236,45 @@ def trade_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily(trades)
 
 
+@query
+def records_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every message; the counts add up to the input."""
+    raw, channels = _spot_records(spark, sf_dir)
+    messages = judged(parse.parse_messages(raw, SPOT_FEED, ("TICK",)), channels, AS_OF_YEAR, ("TICK",))
+    return outcomes(messages)
+
+
+@query
+def futures_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Futures trades on the path to the trades table, rolled up."""
+    channels = adapter.channels(spark, sf_dir, "COMEX", "futures")
+    events = adapter.ticks(spark, sf_dir)
+    records = futures_records(adapter.futures_trades(events), adapter.futures_bbo(events), channels, AS_OF_YEAR)
+    return daily(records.trades())
+
+
+@query
+def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade files with unreadable prices and zero times: rows per outcome of the checked import."""
+    path = scratch(spark, "csv")
+    kind = F.col("event_type")
+    rows = adapter.ticks(spark, sf_dir).select(
+        F.when(kind == "view", F.lit(0)).otherwise(F.col("us")).alias("exchange_timestamp"),
+        F.lit(1).alias("local_diff"),
+        F.when(kind == "error", "n/a").otherwise(F.col("value").cast("string")).alias("price"),
+        F.col("k").alias("quantity"),
+        F.lit(1).alias("direction"),
+        F.lit("binance").alias("exchange"),
+        F.lit("spot").alias("market_type"),
+        F.upper(kind).alias("symbol"),
+    )
+    keys = ("exchange", "market_type", "symbol")
+    rows.write.partitionBy(*keys).option("header", True).csv(f"{path}/trades")
+    good, bad = csv_tree.checked(csv_tree.read_trades(spark, path, layout="nested"), AS_OF_YEAR)
+    both = good.withColumn("reject_reason", F.lit("stored")).unionByName(bad)
+    return both.groupBy("symbol", "reject_reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def daily(trades: DataFrame) -> DataFrame:
     return trades.groupBy("symbol", "trade_date").agg(
         F.count(F.lit(1)).alias("trades"),
@@ -501,23 +540,15 @@ def topics_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def degraded_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first batch is stored, the second fails after storing a part, then both are merged."""
+    """Rows of type click are in the table and wait as well, those of type error only wait; a replay stores the rest."""
     root = scratch(spark, "degraded")
     path = f"{root}/trades"
     rows = adapter.ticks(spark, sf_dir).select("event_id", "us", "value", "event_type")
-
-    def working(batch: DataFrame, kind: str) -> None:
-        batch.write.mode("append").parquet(path)
-
-    def failing(batch: DataFrame, kind: str) -> None:
-        batch.where(F.col("event_type") == "click").write.mode("append").parquet(path)
-        raise OSError("storage went away")
-
-    second = F.col("event_type").isin("click", "error")
-    deadletter.write_with_fallback(rows.where(~second), "trades", 0, working, root)
-    deadletter.write_with_fallback(rows.where(second), "trades", 1, failing, root)
-    waiting = deadletter.waiting(spark, "trades", root)
-    return deadletter.replayed(spark.read.parquet(path), waiting, ["event_id"])
+    rows.where("event_type <> 'error'").write.parquet(path)
+    deadletter.store_waiting(rows.where("event_type IN ('click', 'error')"), "trades", 1, root)
+    deadletter.replay(spark, "trades", root, path, ["event_id"])
+    stored = spark.read.parquet(path).join(deadletter.waiting(spark, "trades", root).select("event_id", "recovery_status"), "event_id", "left")
+    return stored.withColumn("recovery_status", F.coalesce("recovery_status", F.lit(deadletter.WAITING)))
 
 
 # --- telemetry and streams ----------------------------------------------------------------------------
@@ -544,7 +575,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> stream_feed.Outputs:
     raw.select(*[f.split()[0] for f in schemas.RAW_FEED.split(", ")]).write.parquet(source)
     outputs = stream_feed.Outputs(scratch(spark, "stream"))
     feed = stream_table(spark, "raw_feed", source)
-    stream_feed.start(feed, channels, outputs, AS_OF_YEAR, SPOT_FEED, interval=None).awaitTermination()
+    stream_feed.start(feed, channels, outputs, AS_OF_YEAR, SPOT_FEED, interval=None, kinds=("TICK",)).awaitTermination()
     return outputs
 
 

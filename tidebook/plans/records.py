@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.feeds import FEEDS, Feed
+from tidebook.feeds import FEEDS, Feed, futures
+from tidebook.feeds.base import DEPTH, FIELDS, TICK, TICKER
+from tidebook.functions import timeparts
 from tidebook.operators import enrich, parse, tables
 
 
@@ -42,29 +44,63 @@ class Records:
 REJECT_COLUMNS = ("channel_id", "seq", "recv_us", "kind", "reject_reason")
 
 
-def records_from_parsed(parsed: DataFrame, channels: DataFrame, as_of_year: int) -> Records:
-    """Join, filter and check each kind. Persist ``parsed`` first when several kinds are written."""
-    refused = [parse.rejects(parsed).select(*REJECT_COLUMNS)]
-    kept = []
-    makers = (
-        ("TICK", parse.tick_records),
-        ("DEPTH", parse.depth_records),
-        ("BOOK_TICKER", parse.ticker_records),
+def judged(
+    parsed: DataFrame, channels: DataFrame, as_of_year: int, kinds: Sequence[str] = tuple(parse.RECORD_COLUMNS)
+) -> DataFrame:
+    """Every parsed message with its ``channel`` (registry entry) and, in ``reject_reason``, why it is not stored.
+    ``kinds`` are those that were read: of them, what isn't refused by the parser has a record."""
+    known = channels.select("channel_id", F.struct(*enrich.REGISTRY_COLUMNS).alias("channel"))
+    times = [F.when(F.col("kind") == k, F.col(f"{parse.RECORD_COLUMNS[k]}.exchange_timestamp")) for k in kinds]
+    valid = timeparts.is_valid_us(F.coalesce(*times), as_of_year)
+    missed = (
+        F.when(F.col("channel").isNull(), parse.UNREGISTERED)
+        .when((F.col("kind") == TICK) & ~F.coalesce("channel.record_tick", F.lit(False)), parse.UNRECORDED)
+        .when(~valid, parse.INVALID_TIME)
+    )
+    reason = F.coalesce("reject_reason", F.when(F.col("kind").isin(*kinds), missed))
+    return parsed.join(known, "channel_id", "left").withColumn("reject_reason", reason)
+
+
+def records_of(messages: DataFrame) -> Records:
+    """Judged messages by kind. Each part is one filter over the same rows; persist them when several are written."""
+    stored = messages.where("reject_reason IS NULL")
+
+    def part(column: str) -> DataFrame:
+        keys = ("channel_id", "seq", "recv_us", parse.latency().alias("local_diff"))
+        return stored.where(F.col(column).isNotNull()).select(*keys, f"{column}.*", "channel.*")
+
+    rejects = messages.where("reject_reason IS NOT NULL").select(*REJECT_COLUMNS)
+    return Records(*[part(column) for column in parse.RECORD_COLUMNS.values()], rejects)
+
+
+def records_from_parsed(
+    parsed: DataFrame, channels: DataFrame, as_of_year: int, kinds: Sequence[str] = tuple(parse.RECORD_COLUMNS)
+) -> Records:
+    """Join with the registry once, and check each message."""
+    return records_of(judged(parsed, channels, as_of_year, kinds))
+
+
+def outcomes(messages: DataFrame) -> DataFrame:
+    """Judged messages per kind and outcome; the counts add up to all that came in."""
+    outcome = F.coalesce("reject_reason", F.lit("stored"))
+    return messages.groupBy("kind", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("messages"))
+
+
+def futures_records(trades: DataFrame, bbo: DataFrame, channels: DataFrame, as_of_year: int) -> Records:
+    """Typed futures feeds on the same path: trades and best bid/ask become parsed messages (no depth)."""
+
+    def message(rows: DataFrame, column: str, kind: str) -> DataFrame:
+        fields = [F.col(name).cast(type_).alias(name) for name, type_ in FIELDS[kind].items()]
+        return rows.select("channel_id", "seq", "recv_us", F.lit(kind).alias("kind"), F.struct(*fields).alias(column))
+
+    both = message(futures.normalise_trades(trades, channels), "tick", TICK).unionByName(
+        message(futures.normalise_bbo(bbo, channels), "ticker", TICKER), allowMissingColumns=True
+    )
+    depth = ",".join(f"{n}:{parse.LEVELS if t == 'variant' else t}" for n, t in FIELDS[DEPTH].items())
+    none = {"recv_ns": "bigint", "dispatch_ns": "bigint", "reject_reason": "string", "depth": f"struct<{depth}>"}
+    return records_from_parsed(
+        both.select("*", *[F.lit(None).cast(t).alias(n) for n, t in none.items()]), channels, as_of_year
     )
-    for kind, make in makers:
-        found = make(parsed)
-        known = enrich.registered(found, channels)
-        unknown = enrich.unregistered(found, channels).withColumn("reject_reason", F.lit(parse.UNREGISTERED))
-        if kind == "TICK":
-            known = enrich.recordable(known)
-        good, bad_time = tables.split_by_time(known, as_of_year)
-        kept.append(good)
-        for bad in (unknown, bad_time):
-            refused.append(bad.withColumn("kind", F.lit(kind)).select(*REJECT_COLUMNS))
-    rejects = refused[0]
-    for more in refused[1:]:
-        rejects = rejects.unionByName(more)
-    return Records(*kept, rejects)
 
 
 def records_from_raw(
@@ -75,7 +111,7 @@ def records_from_raw(
     kinds: Sequence[str] = ("TICK", "DEPTH", "BOOK_TICKER"),
 ) -> Records:
     """``kinds`` narrows what is read; the tables of other kinds are then empty."""
-    return records_from_parsed(parse.parse_messages(raw, feeds, kinds), channels, as_of_year)
+    return records_from_parsed(parse.parse_messages(raw, feeds, kinds), channels, as_of_year, kinds)
 
 
 def union_records(first: DataFrame, *others: DataFrame) -> DataFrame:

@@ -32,13 +32,34 @@ def write_with_fallback(
         return True
     except Exception:  # noqa: BLE001  whatever the primary raises, the rows must not be lost
         log.exception("primary write of %s failed in batch %s, rows go to dead letter", kind, batch_id)
-        flagged = rows.withColumn("storage_target", F.lit(FALLBACK)).withColumn(
-            "recovery_status", F.lit(WAITING)
-        )
-        flagged.write.mode("overwrite").parquet(_batch_path(root, kind, batch_id))
+        store_waiting(rows, kind, batch_id, root)
         return False
 
 
+def store_waiting(rows: DataFrame, kind: str, batch_id: int, root: str) -> None:
+    """Put a batch in the dead-letter table of its kind, in place of an earlier copy."""
+    flagged = rows.withColumn("storage_target", F.lit(FALLBACK)).withColumn("recovery_status", F.lit(WAITING))
+    flagged.write.mode("overwrite").parquet(_batch_path(root, kind, batch_id))
+
+
+def replay(spark: SparkSession, kind: str, root: str, path: str, keys: list[str]) -> None:
+    """Append the waiting rows that the table at ``path`` lacks, then mark every waiting batch as replayed.
+
+    A batch is marked by writing it anew beside itself and putting that in its place. A replay that breaks off before
+    finds, when run again, the rows it has stored already, by ``keys``.
+    """
+    rows = waiting(spark, kind, root).where(F.col("recovery_status") == WAITING)
+    stored = spark.read.parquet(path)
+    lost = rows.select(*stored.columns).dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    lost.write.mode("append").parquet(path)
+    for row in rows.select("batch_id").distinct().collect():  # one row for each failed batch
+        own = _batch_path(root, kind, row.batch_id)
+        marked = f"{os.path.dirname(own)}/.replayed-{row.batch_id}"
+        done = spark.read.parquet(own).withColumn("recovery_status", F.lit(REPLAYED))
+        done.write.mode("overwrite").parquet(marked)
+        spark.read.parquet(marked).write.mode("overwrite").parquet(own)
+
+
 def waiting(spark: SparkSession, kind: str, root: str) -> DataFrame:
     """All dead-letter rows of a kind, with their ``batch_id``."""
     return spark.read.parquet(os.path.join(root, "dead_letter", kind))

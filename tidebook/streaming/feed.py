@@ -18,11 +18,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tidebook.feeds import FEEDS, Feed
 from tidebook.operators import telemetry
 from tidebook.operators.parse import parse_messages
-from tidebook.plans.records import Records, records_from_parsed
+from tidebook.plans.records import Records, judged, records_of
 from tidebook.sinks import deadletter, tables, topics
 
 # Fixed value: default time between two batches.
 DEFAULT_INTERVAL = "1 second"
+KINDS = ("TICK", "DEPTH", "BOOK_TICKER")
 
 
 @dataclass(frozen=True)
@@ -52,17 +53,17 @@ def write_records(
     batch_id: int,
     outputs: Outputs,
     primary: Callable[[DataFrame, str], None] | None = None,
+    kinds: Sequence[str] = KINDS,
 ) -> None:
-    """Fan one batch out to storage, topics and telemetry."""
+    """Fan one batch out to storage, topics and telemetry; kinds that aren't wanted cost no job."""
     write = primary or batch_writer(outputs, batch_id)
     stored = records.persisted()
-    for kind, rows in (
-        ("trades", stored.trades()),
-        ("orderbook", stored.orderbook()),
-        ("bookticker", stored.bookticker()),
-    ):
-        deadletter.write_with_fallback(rows, kind, batch_id, write, outputs.root)
-    by_kind = {"TICK": records.ticks, "DEPTH": records.depths, "BOOK_TICKER": records.tickers}
+    makers = {"TICK": ("trades", stored.trades), "DEPTH": ("orderbook", stored.orderbook), "BOOK_TICKER": ("bookticker", stored.bookticker)}
+    for kind in kinds:
+        table, rows = makers[kind]
+        deadletter.write_with_fallback(rows(), table, batch_id, write, outputs.root)
+    all_kinds = {"TICK": records.ticks, "DEPTH": records.depths, "BOOK_TICKER": records.tickers}
+    by_kind = {kind: all_kinds[kind] for kind in kinds}
     if outputs.publish:
         for kind, rows in by_kind.items():
             path = os.path.join(outputs.batch("topics", batch_id), f"kind={kind}")
@@ -85,22 +86,23 @@ def start(
     interval: str | None = DEFAULT_INTERVAL,
     name: str | None = None,
     primary: Callable[[int], Callable[[DataFrame, str], None]] | None = None,
+    kinds: Sequence[str] = KINDS,
 ) -> StreamingQuery:
     """Run the job over a ``raw_feed`` stream.
 
     ``interval=None`` drains what is there and stops. Bound a batch at the source (``maxFilesPerTrigger``,
-    ``maxOffsetsPerTrigger``). ``primary(batch_id)`` may supply another table writer.
+    ``maxOffsetsPerTrigger``). ``primary(batch_id)`` may supply another table writer; ``kinds`` names the record
+    kinds that the feed holds.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        parsed = parse_messages(batch, feeds).persist()
+        messages = judged(parse_messages(batch, feeds, kinds), channels, as_of_year, kinds).persist()
         try:
-            records = records_from_parsed(parsed, channels, as_of_year)
-            write_records(records, batch_id, outputs, primary(batch_id) if primary else None)
+            write_records(records_of(messages), batch_id, outputs, primary(batch_id) if primary else None, kinds)
         finally:
-            parsed.unpersist()
+            messages.unpersist()
 
     writer = raw.writeStream.foreachBatch(on_batch).option(
         "checkpointLocation", os.path.join(outputs.root, "_checkpoint")
