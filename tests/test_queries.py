@@ -11,7 +11,7 @@ import __spark_entry__ as contract
 
 SF_DIR = "/root/testdata/sf0.001"
 QUICK = (
-    "binance_spot_trades", "gateio_perp_trades", "gateio_spot_depth_levels", "futures_trades", "classify_counts",
+    "binance_spot_trades", "gateio_perp_trades", "records_outcome", "futures_daily", "csv_rejects", "gateio_spot_depth_levels", "futures_trades", "classify_counts",
     "channel_ids", "channel_collisions", "registry_config", "enrich_left_defaults", "valid_timestamps", "book_long",
     "book_asof", "book_snapshots", "topics_sent", "batch_commits", "partition_bounds", "degraded_replay", "latency_last", "sequence_gaps",
 )
