@@ -71,7 +71,108 @@ SELECT conv_id, n_shared, coalesce(prompt, '') AS prompt, coalesce(chosen, '') A
 FROM texts
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+CONTAMINATION = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+    SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_windows AS (
+    SELECT DISTINCT item, n, array_to_string(w[s:s + n - 1], ' ') AS body FROM (
+        SELECT coalesce(item_id::VARCHAR, 'null') AS item, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s
+        FROM i WHERE len(w) > 0)
+), windows AS (
+    SELECT rid, s, n, array_to_string(w[s:s + n - 1], ' ') AS body FROM (
+        SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d JOIN (SELECT DISTINCT n FROM item_windows) ON len(w) >= n)
+), found AS (
+    SELECT rid, s, n, item FROM windows JOIN item_windows USING (n, body)
+), hit AS (
+    SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM found) GROUP BY rid
+), names AS (
+    SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN names USING (rid)
+"""
+
+JACCARD = rf"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[k:k + least(len(w), 5) - 1], ' ') AS body FROM (
+        SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b USING (body)
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+    WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reach AS (
+    SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+    SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+_PATTERNS = (
+    ("assign", r"""(?:((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))""", 2, 6),
+    ("access", "(AKIA[A-Z0-9]+)", 1, 20),
+    ("hex", "([0-9a-f]+)", 1, 24),
+    ("pem", "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 0),
+    ("jwt", r"(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 1, 0),
+)
+_MATCHES = " UNION ALL ".join(
+    f"""
+    SELECT rid, {k} AS o, '{kind}' AS kind, {least} AS least, string_split_regex(text, '{pattern}') AS gaps,
+        regexp_extract_all(text, '{pattern}') AS whole, regexp_extract_all(text, '{pattern}', {group}) AS part FROM d"""
+    for k, (kind, pattern, group, least) in enumerate(_PATTERNS)
+)
+
+SECRETS = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), matches AS ({_MATCHES}
+), each AS (
+    SELECT rid, o, kind, least, k, length(gaps[k]) + length(whole[k]) AS step, length(whole[k]) AS size, length(part[k]) AS measured
+    FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS k FROM matches)
+), spans AS (
+    SELECT rid, o, kind, stop - size AS start, stop FROM (
+        SELECT *, sum(step) OVER (PARTITION BY rid, o ORDER BY k) AS stop FROM each) WHERE measured >= least
+), found AS (
+    SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER (o < 3) AS base,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS spans
+    FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN found USING (rid)
+"""
+
+CAPTURES = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
+), top AS (
+    SELECT body, max(page_id) AS first FROM p GROUP BY body
+)
+SELECT page_id, strlen(body) AS payload_bytes,
+    list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::BIGINT) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN top USING (body)
+"""
+
 ORACLES: dict[str, str] = {
-    "op4_preference": PREFERENCE,
     "op2_line_dedup": LINE_DEDUP,
+    "op3_secret_scan": SECRETS,
+    "op4_preference": PREFERENCE,
+    "op6_decontamination": CONTAMINATION,
+    "op7_jaccard_join": JACCARD,
+    "op8_warc": CAPTURES,
 }
