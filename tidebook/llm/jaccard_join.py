@@ -3,8 +3,8 @@
 Documents are sets of word shingles, in one global order, rare ones first. Two sets that are similar enough share at
 least ``overlap`` shingles, by their sizes. So their prefixes of ``n - overlap + l`` shingles have at least l in common,
 for every l. A prefix longer by one costs more index entries to read but asks for one more match before a pair is
-verified; each document takes the l whose estimated cost is least (``levels``), and a pair goes by the l of its larger
-set. Prefixes are stored for the smallest partner that a set can have; what is too long for a pair's own sizes the join
+verified; each document takes the l whose estimated cost is least (``levels``), and a pair goes by the smaller l of the
+two. Prefixes are stored for the smallest partner that a set can have; what is too long for a pair's own sizes the join
 leaves out. Verification compares whole sets.
 
 * The order comes from a table of counts of hashed shingles over all documents, of fixed width. Any order is right.
@@ -80,9 +80,10 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(mixed(whole))
 
 
-def least(n, threshold: int = THRESHOLD):
-    """Shingles that a set of n shares at least with any partner."""
-    return -(-threshold * n // 100)
+def least(n, threshold: int = THRESHOLD, of: int = 100):
+    """Shingles that a set of n shares at least with any partner; with ``of`` 100 more than ``threshold``, and n the
+    sum of their sizes, those that two sets share at least."""
+    return -(-threshold * n // of)
 
 
 def _added_up(rows: DataFrame, width: int, op: Callable, kind: str) -> np.ndarray:
@@ -144,7 +145,8 @@ def survey(docs: DataFrame, size: int, width: int = WIDTH) -> tuple[DataFrame, n
 
 def levels(freq: np.ndarray, first: int, most: int, n: int) -> int:
     """The level with the least estimated cost; ``freq``: of the document's shingles in their order, ``first``: length
-    of the prefix of level 1. A candidate of level l took l entries, so there are at most a l-th as many."""
+    of the prefix of level 1 for a partner of the same size. A candidate of level l took l entries, so there are at most
+    a l-th as many."""
     read = np.cumsum(freq)[first - 1 : first - 1 + most]
     cost = read + VERIFY * n * read / np.arange(1, len(read) + 1)
     return 1 + int(np.argmin(cost))
@@ -174,7 +176,8 @@ def prefixes(docs: DataFrame, table, marked, size: int, threshold: int, most: in
                 first, top = len(own) - shared + 1, min(most, shared)
                 ids.append(doc_id)
                 n.append(len(own))
-                level.append(levels(np.maximum(freq - usual, 1), first, top, len(own)))
+                alike = len(own) - int(least(2 * len(own), threshold, 100 + threshold)) + 1
+                level.append(levels(np.maximum(freq - usual, 1), alike, top, len(own)))
                 prefix.append(own[: first + top - 1])
                 rare.append(int((freq[: len(prefix[-1])] <= often).sum()))
                 common = prefix[-1][rare[-1] :]
@@ -279,15 +282,14 @@ def links(
     larger = F.struct("r.n", "r.doc_id") > F.struct("s.n", "s.doc_id")
     # Of two sets that share so much, either prefix of n - overlap + level has at least level shingles of the other's.
     overlap = F.ceil((F.col("r.n") + F.col("s.n")) * threshold / (100 + threshold))
-    inside = (F.col("r.n") - F.col("r.pos") > overlap - F.col("r.level")) & (
-        F.col("s.n") - F.col("s.pos") > overlap - F.col("r.level")
-    )
+    level = F.least("r.level", "s.level")
+    inside = (F.col("r.n") - F.col("r.pos") > overlap - level) & (F.col("s.n") - F.col("s.pos") > overlap - level)
     pairs = (
         r.join(s, F.col("r.token") == F.col("s.token"))
         .where(larger & (F.col("r.class") != F.col("s.class")) & (F.col("s.n") * 100 >= F.col("r.n") * threshold))
         .where(inside)
         .groupBy(F.col("r.doc_id").alias("a"), F.col("s.doc_id").alias("b"))
-        .agg(F.count("*").alias("shared"), F.max("r.level").alias("level"))
+        .agg(F.count("*").alias("shared"), F.max(level).alias("level"))
         .where("shared >= level")
         .select("a", "b")
     )
