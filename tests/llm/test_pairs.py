@@ -263,7 +263,7 @@ def test_broken_archives_are_errors():
 
 def test_op8(spark):
     pages = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").select("page_id", "url", "html").collect()]
-    assert sorted(map(tuple, queries.op8_warc(spark, SF_DIR).collect())) == sorted(plain_pages(pages))
+    assert sorted(map(tuple, queries.op8_warc(spark, SF_DIR).collect())) == sorted((*p, True) for p in plain_pages(pages))
 
 
 # Preferences

@@ -164,7 +164,7 @@ SELECT page_id, strlen(body) AS payload_bytes,
     list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
         ((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::BIGINT) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
     CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-    CASE WHEN page_id <> first THEN first END AS refers_to
+    CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS complete
 FROM p JOIN top USING (body)
 """
 

@@ -111,6 +111,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "payload_digest",
         "record_type",
         F.expr("try_cast(split_part(refers_to, ':', 3) AS bigint)").alias("refers_to"),
+        (F.col("request.record_id").isNotNull() & F.col("metadata.record_id").isNotNull()).alias("complete"),
     )
 
 

@@ -217,7 +217,10 @@ def read(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
 
 def assemble(records: DataFrame) -> DataFrame:
     """One row for each response or revisit record: its own fields, and ``request`` and ``metadata``, the records that
-    name it in their concurrent-to header (the last by identifier if several do, null if none does)."""
+    name it in their concurrent-to header (the last by identifier if several do, null if none does).
+
+    What is read from archives is many times what Spark knows of it, the size of their manifest; the hints keep it from
+    being broadcast."""
 
     def side(kind: str, *fields: str) -> DataFrame:
         own = records.where((F.col("record_type") == kind) & F.col("concurrent_to").isNotNull())
@@ -227,5 +230,6 @@ def assemble(records: DataFrame) -> DataFrame:
 
     main = records.where(F.col("record_type").isin("response", "revisit")).drop("concurrent_to", "fields")
     asked, about = side("request"), side("metadata", "fields")
-    joined = main.join(asked, F.col("record_id") == F.col("_request"), "left")
-    return joined.join(about, F.col("record_id") == F.col("_metadata"), "left").drop("_request", "_metadata")
+    joined = main.join(asked.hint("merge"), F.col("record_id") == F.col("_request"), "left")
+    joined = joined.join(about.hint("merge"), F.col("record_id") == F.col("_metadata"), "left")
+    return joined.drop("_request", "_metadata")
