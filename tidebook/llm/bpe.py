@@ -30,7 +30,7 @@ from tidebook.llm.words import Encoder, in_parts, list_array, splitter
 #: Bytes of new words in one replay.
 REPLAY_BYTES = 1 << 21
 #: Pairs of tokens whose merge is remembered.
-PAIRS = 300_000
+PAIRS = 60_000
 #: Ids that are decoded together.
 DECODED_IDS = 500_000
 
@@ -209,6 +209,7 @@ def encode(frame: DataFrame, ranks_path: str, pattern: str, text: str = "text",
             for begin, end in in_parts(texts):
                 found = list_array(*own.encode(texts[begin:end]))
                 yield replaced(batch.slice(begin, end - begin), ids, found)
+        own.forget()  # workers outlive tasks; what comes next in them may need the memory
 
     return frame.mapInArrow(run, with_field(frame.schema, ids, T.ArrayType(T.IntegerType())))
 

@@ -51,7 +51,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -239,7 +239,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sets = None, (None, None)
-        for batch in batches:
+        for batch in in_slices(batches, 200):
             keep = []
             for text_a, text_b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 y = sets[1] if text_b == last else shingles(text_b or "", size)

@@ -36,7 +36,7 @@ TRAIN_BYTES = 8_000_000
 #: What stands before a text.
 BEFORE = b"\n" * ORDER
 #: Byte sequences whose costs a worker remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 

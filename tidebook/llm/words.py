@@ -19,7 +19,7 @@ import regex
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Words that a worker remembers; beyond it the memory starts anew, so it is bounded on any corpus.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Characters of text that are looked up together.
 LOOKUP_CHARS = 2_000_000
 
@@ -68,9 +68,9 @@ class Encoder:
         self, split: Callable[[str], list[str]], solve: Callable[[list[str]], Sequence[Sequence[int]]], most: int = REMEMBERED
     ):
         self.split, self.solve, self.most = split, solve, most
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.numbers = Numbers()
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
@@ -86,7 +86,7 @@ class Encoder:
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids in order."""
         if len(self.numbers) > self.most:
-            self._forget()
+            self.forget()
         cut = [list(map(self.numbers.__getitem__, self.split(t))) for t in texts]
         self._solve_new()
         words = np.fromiter(map(len, cut), np.int64, len(cut))
