@@ -124,9 +124,14 @@ class Replay:
                 continue
             second = after[at]
             right = after[second]
+            inner = right >= 0
+            beside = right[inner]
+            beside = beside[merges_to[beside] == rank]  # merges too, but word by word it would do so only afterwards
+            if len(beside):
+                between = np.array([self.rank(rank << 32 | x) for x in ids[beside].tolist()])
+                odd.update(word[beside[(between >= 0) & (between < rank)]].tolist())
             ids[at], ids[second], merges_to[second] = rank, -1, -1
             after[at] = right
-            inner = right >= 0
             before[right[inner]] = at[inner]
             left = before[at]
             touched = np.unique(np.concatenate([at, left[left >= 0]]))
