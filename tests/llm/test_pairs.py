@@ -200,6 +200,38 @@ def test_recall_over_all_rows(spark):
     assert (got <= n).all() and got.sum() >= 0.9 * n.sum() > 0
 
 
+def beside(n_hot, n_pairs, seed=5, n=6000, dim=64):
+    """Vectors of one label; pairs of different ones at cosine 0.93 to 0.96, and one vector many times over."""
+    rng = np.random.default_rng(seed)
+    own = multi_index.unit(rng.normal(size=(n, dim)))
+    x, way = own[:n_pairs], rng.normal(size=(n_pairs, dim))
+    way = multi_index.unit(way - (way * x).sum(1, keepdims=True) * x)
+    cosine = rng.uniform(0.931, 0.96, size=(n_pairs, 1))
+    twins = cosine * x + np.sqrt(1 - cosine**2) * way
+    return np.concatenate([own, twins, np.repeat(own[-1:], n_hot, 0)]).tolist()
+
+
+@pytest.mark.parametrize(("n_hot", "n_pairs"), [(2000, 400), (0, 400)])
+def test_recall_per_pair_of_different_vectors(spark, n_hot, n_pairs):
+    """A hot group of copies makes no pairs of different vectors go."""
+    n = 6000
+    rows = [(k, v, 0) for k, v in enumerate(beside(n_hot, n_pairs))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in multi_index.near_duplicates(frame).collect()}
+    met = sum(got[k].component_id == got[n + k].component_id == k for k in range(n_pairs))
+    assert met >= 0.9 * n_pairs
+    assert sum(got[k].n_links for k in range(n_pairs)) >= met
+    hot = [n - 1, *range(n + n_pairs, n + n_pairs + n_hot)]
+    assert {(got[k].n_links, got[k].component_id) for k in hot} == {(n_hot, n - 1)}
+
+
+def test_copies_count_as_links_of_others(spark):
+    rows = [(k, [1.0, 0.0], 0) for k in range(5)] + [(9, [1.0, 0.1], 0), (3, [1.0, 0.0], None), (8, [1.0, 0.0], 1), (7, [-0.0, 1.0], 1), (6, [0.0, 1.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted({(r.vec_id, r.n_links, r.component_id) for r in multi_index.near_duplicates(frame, recall=1.0).collect()})
+    assert got == [*((k, 5, 0) for k in range(5)), (6, 1, 6), (7, 1, 6), (8, 0, 8), (9, 5, 0)]
+
+
 # WARC
 
 

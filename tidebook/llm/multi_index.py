@@ -4,7 +4,8 @@ Vectors, scaled to length 1, are cut into halves; each half has a codebook of it
 about ``SAMPLE`` vectors, fitted by the driver), and the pairs of codewords form a grid of cells. Each vector is filed
 in its nearest cell and visits the nearest cells in the order of a multi-sequence traversal. How many cells it visits
 is measured: ``QUERIES`` vectors are compared with all rows, and the number is the least at which they meet at least
-``RECALL`` of their links by visiting. Vectors that meet are verified by their cosine in double precision.
+``RECALL`` of their links by visiting: the mean over queries, then over home cells, so that no hot vector or cell
+outweighs the rest. Vectors that meet are verified by their cosine in double precision.
 
 How it scales: a unit of work is a block of about ``BLOCK`` vectors filed in one cell and label, kept in memory, past
 which its visitors stream; a cell with many vectors has many blocks, so no task holds a whole cell or label. A pair is
@@ -13,8 +14,8 @@ emitted: a unit gives a count for each vector and edges that span the components
 
 Rows: vectors that are null, empty, zero or hold null or non-finite numbers, and rows with a null label or id, link
 with nothing; neither do vectors whose length isn't the usual one of the table. Rows that share an id are one vector
-(any of them; its label and numbers are the least ones). Equal vectors are links like others. An empty table gives an
-empty result; other columns don't matter.
+(any of them; its label and numbers are the least ones). Equal vectors of a label are links like others, but one vertex
+before the index, which knows how many they are. An empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BLOCK = 2_000
 PER_CELL = 48
 CODEWORDS = 512
 ROUNDS = 12
+#: Numbers of visits to choose from, each at most a twentieth or one more than the one before.
+STEPS = np.unique(np.ceil(1.05 ** np.arange(260))).astype(np.int64)
 STREAMED = 512
 
 
@@ -97,6 +100,18 @@ class Grid:
         cells = order_a[:, i] * len(self.right) + order_b[:, j]
         return np.take_along_axis(cells, first, 1), np.take_along_axis(sums, first, 1)
 
+    def places(self, vectors: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells are nearer to each vector than the given one."""
+        a, b = self.halves(vectors)
+        out = np.zeros(len(vectors), np.int64)
+        for k, cell in enumerate(cells):
+            i, j = divmod(int(cell), len(self.right))
+            out[k] = np.count_nonzero(a[k][:, None] + b[k] < a[k, i] + b[k, j])
+        return out
+
+    def homes(self, vectors: np.ndarray) -> np.ndarray:
+        return self.traverse(vectors, 1)[0][:, 0] if len(vectors) else np.zeros(0, np.int64)
+
     def visited(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cells that each vector visits, its own first, and a distance that tells them from all others."""
         n = min(self.visits, self.cells)
@@ -121,8 +136,27 @@ def usable(embeddings: DataFrame, vec_id: str, embedding: str, label: str) -> tu
     return one.select("vec_id", "v.label", "v.vec"), dim
 
 
+def distinct(vectors: DataFrame) -> DataFrame:
+    """Equal vectors of a label as one: (vec_id, label, vec, copies), the id being their least."""
+    return vectors.groupBy("label", "vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).select("vec_id", "label", "vec", "copies")
+
+
+def enough(needed: np.ndarray, share: np.ndarray, recall: float) -> int:
+    """The least number of visits at which links that need so many, each of its share, are met."""
+    order = needed.argsort(kind="stable")
+    met = np.cumsum(share[order])
+    return int(needed[order][np.searchsorted(met, recall * met[-1] - 1e-9)])
+
+
+def alike(home: np.ndarray) -> np.ndarray:
+    """Shares of queries by which each home cell counts the same."""
+    _, which, size = np.unique(home, return_inverse=True, return_counts=True)
+    return 1 / size[which]
+
+
 def fit(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> Grid | None:
-    """Codebooks from a bounded sample, then the number of cells to visit from bounded queries against all rows."""
+    """Codebooks from a bounded sample of ``distinct`` vectors, then the number of cells to visit from bounded queries
+    against all rows."""
     total = vectors.count()
     if not total:
         return None
@@ -131,40 +165,46 @@ def fit(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> G
         rate = max(1, math.ceil((1 << 40) * min(1.0, n / total)))
         return vectors.where(F.pmod(F.xxhash64(F.lit(name), "vec_id"), F.lit(1 << 40)) < rate)
 
-    sample = drawn(SAMPLE, "sample").toPandas()
-    if sample.empty:
-        sample = vectors.limit(1).toPandas()
-    grid = Grid(unit(np.stack(sample["vec"].to_numpy())), total)
-    asked = drawn(QUERIES, "queries").toPandas()
-    if asked.empty:
-        return grid
+    def some(n: int, name: str):
+        rows = drawn(n, name).toPandas()
+        return vectors.limit(1).toPandas() if rows.empty else rows
+
+    grid = Grid(unit(np.stack(some(SAMPLE, "sample")["vec"].to_numpy())), total)
+    asked = some(QUERIES, "queries")
     queries = unit(np.stack(asked["vec"].to_numpy()))
     held = vectors.sparkSession.sparkContext.broadcast((grid, asked["vec_id"].to_numpy(), asked["label"].to_numpy(), queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ids, labels, q = held.value
-        ranks = np.zeros(own.cells, np.int64)
-        a, b = own.halves(q)
-        sums = (a[:, :, None] + b[:, None, :]).reshape(len(q), -1)
-        place = sums.argsort(1, kind="stable").argsort(1)
         for batch in batches:
             for begin in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(begin, BLOCK)
                 rows = unit(part.column("vec"))
-                home = own.traverse(rows, 1)[0][:, 0]
                 linked = q @ rows.T >= cosine
                 linked &= labels[:, None] == part.column("label").to_numpy(zero_copy_only=False)
                 linked &= ids[:, None] != part.column("vec_id").to_numpy()
                 x, y = np.nonzero(linked)
-                ranks += np.bincount(place[x, home[y]], minlength=own.cells)
-        some = np.flatnonzero(ranks)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(ranks[some])], names=["place", "n"])
-
-    found = np.zeros(grid.cells)
-    for r in vectors.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
-        found[r.place] = r.n
-    if found.sum():
-        grid.visits = 1 + int(np.searchsorted(np.cumsum(found), recall * found.sum()))
+                pairs, n = np.unique(x * own.cells + own.homes(rows)[y], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs // own.cells), pa.array(pairs % own.cells), pa.array(n)], names=["query", "cell", "n"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _, _, q = held.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(begin, BLOCK)
+                places = own.places(q[part.column("query").to_numpy()], part.column("cell").to_numpy())
+                needed = STEPS[np.searchsorted(STEPS, places + 1)]
+                yield pa.RecordBatch.from_arrays([part.column("query"), pa.array(needed), part.column("n")], names=["query", "needed", "n"])
+
+    links = vectors.mapInArrow(run, "query long, cell long, n long").groupBy("query", "cell").agg(F.sum("n").alias("n"))
+    links = links.mapInArrow(placed, "query long, needed long, n long").groupBy("query", "needed").agg(F.sum("n").alias("n"))
+    found = links.toPandas()
+    if len(found):
+        per_query = found["n"] / found.groupby("query")["n"].transform("sum")
+        own = found["query"].unique()
+        weight = dict(zip(own, alike(grid.homes(queries[own])), strict=True))
+        share = (per_query * found["query"].map(weight)).to_numpy()
+        grid.visits = enough(found["needed"].to_numpy(), share, recall)
     return grid
 
 
@@ -175,9 +215,9 @@ def _rows(batch: pa.RecordBatch, grid: Grid) -> Iterator[pa.RecordBatch]:
         cells, limit = grid.visited(unit(part.column("vec")))
         n = cells.shape[1]
         which = pa.array(np.repeat(np.arange(part.num_rows), n))
-        columns = [part.column(c).take(which) for c in ("vec_id", "label", "vec")]
+        columns = [part.column(c).take(which) for c in ("vec_id", "label", "vec", "copies")]
         columns += [pa.array(cells.ravel().astype(np.int32)), pa.array(np.repeat(cells[:, 0], n).astype(np.int32)), pa.array(np.repeat(limit, n))]
-        yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "label", "vec", "cell", "home", "limit"])
+        yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "label", "vec", "copies", "cell", "home", "limit"])
 
 
 class Block:
@@ -186,6 +226,7 @@ class Block:
     def __init__(self, grid: Grid, cosine: float, cell: int, rows: pa.RecordBatch):
         self.grid, self.cosine, self.cell = grid, cosine, cell
         self.ids, self.vectors = rows.column("vec_id").to_numpy(), unit(rows.column("vec"))
+        self.copies = rows.column("copies").to_numpy().astype(np.float64)  # exact below 2^53, and fast in products
         self.limit = rows.column("limit").to_numpy()
         self.halves = grid.halves(self.vectors)
         self.count = np.zeros(len(self.ids), np.int64)
@@ -193,8 +234,8 @@ class Block:
         for begin in range(0, len(self.ids), STREAMED):
             linked = self.vectors[begin : begin + STREAMED] @ self.vectors.T >= cosine
             linked &= np.arange(begin, begin + len(linked))[:, None] < np.arange(len(self.ids))
-            self.count += linked.sum(0)
-            self.count[begin : begin + STREAMED] += linked.sum(1)
+            self.count += (self.copies[begin : begin + STREAMED] @ linked).astype(np.int64)
+            self.count[begin : begin + STREAMED] += (linked @ self.copies).astype(np.int64)
             linked[np.arange(len(linked)), np.arange(begin, begin + len(linked))] = True
             self._join(linked)
 
@@ -219,8 +260,8 @@ class Block:
         twice = there <= self.limit[y]
         linked[x[twice], y[twice]] = False
         self._join(linked)
-        n = linked.sum(1)
-        self.count += linked.sum(0)
+        n = (linked @ self.copies).astype(np.int64)
+        self.count += (rows.column("copies").to_numpy().astype(np.float64) @ linked).astype(np.int64)
         some = n > 0
         yield found(rows.column("vec_id").to_numpy()[some], self.ids[linked[some].argmax(1)], n[some])
 
@@ -234,13 +275,14 @@ def found(ids: np.ndarray, others: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def meet(vectors: DataFrame, grid: Grid, cosine: float = COSINE) -> DataFrame:
-    """(vec_id, other, n): links counted in some unit of work, and an edge for the component."""
+    """(vec_id, other, n): links of ``distinct`` vectors, each as often as the other has copies, counted in some unit of
+    work, and an edge for the component."""
     held = vectors.sparkSession.sparkContext.broadcast(grid)
     kind = dict(vectors.dtypes)["vec"]
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            home = held.value.traverse(unit(batch.column("vec")), 1)[0][:, 0] if batch.num_rows else np.zeros(0)
+            home = held.value.homes(unit(batch.column("vec"))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(home.astype(np.int32))], names=["label", "cell"])
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,13 +291,13 @@ def meet(vectors: DataFrame, grid: Grid, cosine: float = COSINE) -> DataFrame:
 
     sizes = vectors.mapInArrow(homes, "label string, cell int").groupBy("label", "cell").agg(F.count("*").alias("held"))
     sizes = kept(sizes.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")).drop("held"), "cells")
-    rows = vectors.mapInArrow(visits, f"vec_id long, label string, vec {kind}, cell int, home int, limit double")
+    rows = vectors.mapInArrow(visits, f"vec_id long, label string, vec {kind}, copies long, cell int, home int, limit double")
     rows = rows.join(sizes, ["label", "cell"])
     own = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("first", F.when(F.col("cell") == F.col("home"), own).otherwise(F.lit(0)))
     rows = rows.withColumn("block", F.explode(F.sequence("first", F.col("blocks") - 1)))
     visitor = (F.col("cell") != F.col("home")) | (F.col("block") != F.col("first"))
-    rows = rows.select("label", "cell", "block", visitor.alias("visitor"), "vec_id", "home", "limit", "vec")
+    rows = rows.select("label", "cell", "block", visitor.alias("visitor"), "vec_id", "home", "limit", "copies", "vec")
     unit_key = ["label", "cell", "block"]
     rows = rows.repartition(*unit_key).sortWithinPartitions(*unit_key, "visitor", "vec_id")
 
@@ -302,13 +344,22 @@ def near_duplicates(
     ids = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"))
     vectors, _ = usable(embeddings, vec_id, embedding, label)
     vectors = kept(vectors, "vectors")
-    grid = fit(vectors, cosine, recall)
+    apart = kept(distinct(vectors), "distinct")
+    grid = fit(apart, cosine, recall)
     if grid is None:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    met = kept(meet(vectors, grid, cosine), "links")
-    counts = met.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    met = kept(meet(apart, grid, cosine), "links")
+    counts = met.groupBy("vec_id").agg(F.sum("n").alias("n"))
     classes = components(met, "vec_id", "other").withColumnRenamed("vertex", "vec_id")
-    out = ids.join(counts, "vec_id", "left").join(classes, "vec_id", "left")
+    own = apart.join(counts, "vec_id", "left").join(classes, "vec_id", "left").select(
+        "label",
+        "vec",
+        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component", "vec_id").alias("component"),
+    )
+    # Both sides are read from files, so that Spark can split the rows of a vector with very many copies.
+    each = vectors.join(kept(own, "own"), ["label", "vec"]).select("vec_id", "n_links", "component")
+    out = ids.join(kept(each, "each"), "vec_id", "left")
     least = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id",
