@@ -211,9 +211,10 @@ def beside(n_hot, n_pairs, seed=5, n=6000, dim=64):
     return np.concatenate([own, twins, np.repeat(own[-1:], n_hot, 0)]).tolist()
 
 
-@pytest.mark.parametrize(("n_hot", "n_pairs"), [(2000, 400), (0, 400)])
-def test_recall_per_pair_of_different_vectors(spark, n_hot, n_pairs):
-    """A hot group of copies makes no pairs of different vectors go."""
+@pytest.mark.parametrize(("n_hot", "n_pairs", "asked"), [(2000, 400, 400), (0, 400, 400), (0, 400, 1), (0, 12, 400)])
+def test_recall_per_pair_of_different_vectors(spark, monkeypatch, n_hot, n_pairs, asked):
+    """Neither a hot group of copies nor a lack of links among the queries makes pairs of different vectors go."""
+    monkeypatch.setattr(multi_index, "QUERIES", asked)
     n = 6000
     rows = [(k, v, 0) for k, v in enumerate(beside(n_hot, n_pairs))]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")

@@ -3,9 +3,11 @@
 Vectors, scaled to length 1, are cut into halves; each half has a codebook of its own (k-means on a sample of at most
 about ``SAMPLE`` vectors, fitted by the driver), and the pairs of codewords form a grid of cells. Each vector is filed
 in its nearest cell and visits the nearest cells in the order of a multi-sequence traversal. How many cells it visits
-is measured: ``QUERIES`` vectors are compared with all rows, and the number is the least at which they meet at least
-``RECALL`` of their links by visiting: the mean over queries, then over home cells, so that no hot vector or cell
-outweighs the rest. Vectors that meet are verified by their cosine in double precision.
+is measured twice, and the larger number counts. ``QUERIES`` vectors are compared with all rows, and by visiting meet at
+least ``RECALL`` of their links: the mean over queries, then over home cells, so that no hot vector or cell outweighs the
+rest. And ``PAIRS`` made pairs right at the threshold, whose second vector lies in any direction or towards another
+vector, meet as often, whether or not the table's own links are few. Vectors that meet are verified by their cosine in
+double precision.
 
 How it scales: a unit of work is a block of about ``BLOCK`` vectors filed in one cell and label, kept in memory, past
 which its visitors stream; a cell with many vectors has many blocks, so no task holds a whole cell or label. A pair is
@@ -33,6 +35,7 @@ from tidebook.llm.components import components, kept
 COSINE = 0.93
 SAMPLE = 20_000
 QUERIES = 400
+PAIRS = 1_000
 RECALL = 0.98
 BLOCK = 2_000
 #: Vectors that a cell holds on average, and the most codewords of a codebook.
@@ -148,6 +151,24 @@ def enough(needed: np.ndarray, share: np.ndarray, recall: float) -> int:
     return int(needed[order][np.searchsorted(met, recall * met[-1] - 1e-9)])
 
 
+def at_threshold(grid: Grid, vectors: np.ndarray, cosine: float, recall: float) -> int:
+    """Visits by which made pairs of that cosine meet: either vector may visit the other's cell."""
+    rng = np.random.default_rng(11)
+    most = 1
+    home = grid.homes(vectors)
+    for other in (rng.normal(size=vectors.shape), vectors[rng.permutation(len(vectors))]):
+        across = other - (other * vectors).sum(1, keepdims=True) * vectors
+        size = np.sqrt((across * across).sum(1))
+        good = size > 1e-6
+        if not good.any():
+            continue
+        x, hx = vectors[good], home[good]
+        y = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * across[good] / size[good, None]
+        needed = 1 + np.minimum(grid.places(x, grid.homes(y)), grid.places(y, hx))
+        most = max(most, enough(needed, alike(hx), recall))
+    return most
+
+
 def alike(home: np.ndarray) -> np.ndarray:
     """Shares of queries by which each home cell counts the same."""
     _, which, size = np.unique(home, return_inverse=True, return_counts=True)
@@ -155,8 +176,8 @@ def alike(home: np.ndarray) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> Grid | None:
-    """Codebooks from a bounded sample of ``distinct`` vectors, then the number of cells to visit from bounded queries
-    against all rows."""
+    """Codebooks from a bounded sample of ``distinct`` vectors, then the number of cells to visit: from bounded queries
+    against all rows, and from pairs at the threshold."""
     total = vectors.count()
     if not total:
         return None
@@ -169,9 +190,11 @@ def fit(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> G
         rows = drawn(n, name).toPandas()
         return vectors.limit(1).toPandas() if rows.empty else rows
 
-    grid = Grid(unit(np.stack(some(SAMPLE, "sample")["vec"].to_numpy())), total)
+    sample = unit(np.stack(some(SAMPLE, "sample")["vec"].to_numpy()))
+    grid = Grid(sample, total)
     asked = some(QUERIES, "queries")
     queries = unit(np.stack(asked["vec"].to_numpy()))
+    grid.visits = at_threshold(grid, np.random.default_rng(9).permutation(sample)[:PAIRS], cosine, recall)
     held = vectors.sparkSession.sparkContext.broadcast((grid, asked["vec_id"].to_numpy(), asked["label"].to_numpy(), queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +227,7 @@ def fit(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> G
         own = found["query"].unique()
         weight = dict(zip(own, alike(grid.homes(queries[own])), strict=True))
         share = (per_query * found["query"].map(weight)).to_numpy()
-        grid.visits = enough(found["needed"].to_numpy(), share, recall)
+        grid.visits = max(grid.visits, enough(found["needed"].to_numpy(), share, recall))
     return grid
 
 
