@@ -141,3 +141,17 @@ def test_token_files(spark, tmp_path):
     assert total == sum(r[2] for r in want)
     nothing = token_files.write(frame.limit(0), f"file://{tmp_path}/none", VOCABULARY)
     assert token_files.documents(nothing).collect() == []
+
+
+def test_added_tokens_are_the_librarys(spark, tmp_path):
+    """Against the library as it comes, which reads an added token's literal as that token."""
+    library = Tokenizer.from_file(VOCABULARY)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain", "", "<|endoftext|><|endoftext|> the\n\n<|endoftext|>x", "<|endoftext", "|>", None, " é<|endoftext|>🙂"]
+    want, start = [], 0
+    for k, text in enumerate(texts):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = token_files.documents(token_files.write(frame, f"file://{tmp_path}/files", VOCABULARY, shards=2))
+    assert sorted(map(tuple, got.collect())) == want

@@ -16,9 +16,10 @@ the order of a hash of their texts; an empty table gives an empty manifest. Othe
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -36,22 +37,43 @@ BATCH = 256
 MANIFEST = "shard int, path string, n_docs long, n_ids long, n_sequences long"
 
 
+class WholeTexts(Encoder):
+    """Texts that hold an added token of the vocabulary go whole to the library, which cuts them there before its
+    pattern does; no word of another text holds one."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        def solve(new: list[str]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+        super().__init__(splitter(PATTERN), solve)
+        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
+
+    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        whole = [k for k, t in enumerate(texts) if self.added and self.added.search(t)]
+        if not whole:
+            return super().encode(texts)
+        rest = list(texts)
+        for k in whole:
+            rest[k] = ""
+        sizes, flat = super().encode(rest)
+        found = self.solve([texts[k] for k in whole])
+        own = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.insert(flat, np.repeat(np.cumsum(sizes)[whole], own), np.concatenate([np.array(f, flat.dtype) for f in found]))
+        sizes[whole] = own
+        return sizes, flat
+
+
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> Encoder:
     """The tokenizers library behind a memory of words; one for each worker process.
 
     A byte-level tokenizer without added prefix encodes the words of its pattern each by itself, so encoding every
-    new word once gives the ids of encoding whole texts. Tasks share the cores already: the library's own threads
+    new word once gives the ids of encoding whole texts, but for those with added tokens. Tasks share the cores already: the library's own threads
     would only get in each other's way.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_str(vocabulary)
-    tokenizer.encode_special_tokens = True
-
-    def solve(new: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-
-    return Encoder(splitter(PATTERN), solve)
+    return WholeTexts(Tokenizer.from_str(vocabulary))
 
 
 class ShardWriter:
