@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -155,3 +156,20 @@ def test_added_tokens_are_the_librarys(spark, tmp_path):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = token_files.documents(token_files.write(frame, f"file://{tmp_path}/files", VOCABULARY, shards=2))
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_sequences_of_a_store_that_is_not_mapped(tmp_path, monkeypatch):
+    draw = np.random.default_rng(2)
+    writer = token_files.ShardWriter(f"file://{tmp_path}/s/a.arrow", 8, pa.uint16(), pa.int64())
+    for k in range(7):
+        sizes = draw.integers(1, 900, 4)
+        writer.append(pa.array(range(4 * k, 4 * k + 4)), sizes, draw.integers(0, 60000, sizes.sum()))
+    writer.close()
+    local = token_files.Sequences(f"file://{tmp_path}/s/a.arrow")
+    store = SimpleNamespace(from_uri=lambda path: (pa.fs.SubTreeFileSystem(str(tmp_path), pa.fs.LocalFileSystem()), path))
+    monkeypatch.setattr(token_files, "fs", SimpleNamespace(FileSystem=store, LocalFileSystem=pa.fs.LocalFileSystem))
+    far = token_files.Sequences("s/a.arrow")
+    assert not isinstance(far.source, pa.MemoryMappedFile)
+    assert len(far) == len(local) == writer.n_sequences > 5 * token_files.BATCH // 4
+    for k in draw.permutation(len(local)).tolist():
+        assert all((a == b).all() for a, b in zip(far[k], local[k], strict=True))

@@ -3,7 +3,8 @@
 All ids of a corpus, in ascending order of document, form one row of ids, cut into shards. A shard is an Arrow IPC
 file: each row is a sequence of ``length`` ids and the mask of those that are real (one bit each, lowest bit first;
 only a shard's last sequence is filled up, with id 0). Batches hold fixed-size lists, so in a memory-mapped file any
-sequence and its mask is a slice of the mapped bytes: nothing is decoded or copied. Beside each shard stands a second
+sequence and its mask is a slice of the mapped bytes: nothing is decoded or copied. Files of other stores are read by
+ranges, the batch of a sequence at a time; all batches of a shard but the last are of equal length. Beside each shard stands a second
 Arrow file with a row for each document: its id, where its ids begin in the shard, how many there are.
 
 A task writes under a name of its own attempt; only the manifest, a Parquet table that Spark commits, says which
@@ -20,7 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,7 @@ class ShardWriter:
         store, at = fs.FileSystem.from_uri(path)
         store.create_dir(at.rpartition("/")[0], recursive=True)
         self.length, self.kind = length, kind
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length // 8))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length // 8))], metadata={"batch": str(BATCH)})
         self.docs = pa.schema([("doc_id", doc_kind), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [store.open_output_stream(at), store.open_output_stream(at + ".docs")]
         self.files = [ipc.new_file(self.sinks[0], self.schema), ipc.new_file(self.sinks[1], self.docs)]
@@ -100,7 +101,7 @@ class ShardWriter:
         self.waiting += len(flat)
         if self.waiting >= BATCH * self.length:
             row = np.concatenate(self.pending)
-            full = len(row) // self.length * self.length
+            full = len(row) // (BATCH * self.length) * BATCH * self.length
             self._write(row[:full], full)
             self.pending, self.waiting = [row[full:]], len(row) - full
 
@@ -125,25 +126,36 @@ class ShardWriter:
 
 
 class Sequences:
-    """Random access to a shard's sequences; over a mapped file without copies."""
+    """Random access to a shard's sequences; over a mapped file without copies, elsewhere by reading their batch."""
 
     def __init__(self, path: str):
         store, at = fs.FileSystem.from_uri(path)
         local = isinstance(store, fs.LocalFileSystem)
         self.source = pa.memory_map(at) if local else store.open_input_file(at)
         self.file = ipc.open_file(self.source)
-        self.batches: dict[int, pa.RecordBatch] = {}
-        sizes = [self._batch(k).num_rows for k in range(self.file.num_record_batches)] if local else None
-        self.ends = np.cumsum(sizes) if sizes is not None else None
+        self.last: tuple[int, pa.RecordBatch | None] = (-1, None)
+        self.equal = not local and int((self.file.schema.metadata or {}).get(b"batch", 0))
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Sequences up to the end of each batch; of a file that isn't mapped, only the last batch is read for it."""
+        n = self.file.num_record_batches
+        if self.equal and n:
+            return np.append(np.arange(1, n) * self.equal, (n - 1) * self.equal + self._batch(n - 1).num_rows)
+        return np.cumsum([self.file.get_batch(k).num_rows for k in range(n)])
 
     def _batch(self, k: int) -> pa.RecordBatch:
-        return self.file.get_batch(k)
+        if self.last[0] != k:
+            self.last = (k, self.file.get_batch(k))
+        return self.last[1]
 
     def __len__(self) -> int:
         return int(self.ends[-1]) if len(self.ends) else 0
 
     def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask bits of sequence k, as views of the file."""
+        """Ids and mask bits of sequence k, as views of the file or of its batch."""
+        if not 0 <= k < len(self):
+            raise IndexError(k)
         number = int(np.searchsorted(self.ends, k, "right"))
         batch = self._batch(number)
         row = k - (int(self.ends[number - 1]) if number else 0)
