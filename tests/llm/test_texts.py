@@ -177,6 +177,14 @@ def test_contamination(spark, block_bytes):
     assert decontaminate.contamination(frame.limit(0), benchmark).collect() == []
 
 
+def test_blocks_of_a_repeated_item(spark):
+    rows = [(k, f"text number {k}") for k in range(100)] + [(7, "text number 7")] * 2000
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    parts = list(decontaminate.blocks(benchmark, "item_id", "text", 1000))
+    assert max(map(len, parts)) < 40
+    assert sorted(r for part in parts for r in part) == sorted((str(k), t) for k, t in rows[:100])
+
+
 def test_op6(spark):
     docs = documents(spark)
     items = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").select("item_id", "text").collect()

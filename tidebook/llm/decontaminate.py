@@ -175,9 +175,10 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's rows, in parts of about so many bytes."""
+    """The benchmark's distinct rows, in parts of about so many bytes."""
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
-    rows = rows.where("text is not null")
+    # Repeated rows have one hash, so they would all be in one part.
+    rows = kept(rows.where("text is not null").distinct(), "benchmark")
     total = rows.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     for k in range(n):
