@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, decontaminate, jaccard_join, lang_id, line_dedup, multi_index, preference, secret_scan, token_files, warc
+from tidebook.llm import (
+    bpe,
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    lang_id,
+    line_dedup,
+    multi_index,
+    preference,
+    secret_scan,
+    token_files,
+    warc,
+)
 from tidebook.session import scratch
 
 
@@ -133,6 +145,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -144,4 +161,5 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_html_extract": op12_html_extract,
 }
