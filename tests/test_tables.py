@@ -1,18 +1,23 @@
 import os
+import time
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidebook import schemas
 from tidebook.feeds import futures
 from tidebook.operators import book, enrich, tables, telemetry
-from tidebook.plans.records import records_from_raw
+from tidebook.operators.parse import parse_messages
+from tidebook.plans.records import judged, outcomes, records_from_raw
 from tidebook.sinks import deadletter, topics
 from tidebook.sinks import tables as sinks
 from tidebook.sources import csv_tree, registry
 from tidebook.sources.messages import read_table, stream_table
 from tidebook.streaming import book as stream_book
+from tidebook.streaming import commits
 from tidebook.streaming import feed as stream_feed
+from tidebook.streaming.gauges import Gauges
 from test_book import collected, frame, modelled, random_events
 
 CONFIG = """{"exchanges": [
@@ -228,37 +233,149 @@ def test_topics(spark, raw, channels, tmp_path):
     assert topics.read_files(spark, f"{tmp_path}/topics").count() == 4
 
 
-def test_stream_equals_batch_and_survives_a_failing_sink(spark, raw, channels, tmp_path):
-    source, root = f"{tmp_path}/raw", f"{tmp_path}/out"
+def two_files(raw, source):
     raw.where("seq < 6").coalesce(1).write.parquet(source)
     raw.where("seq >= 6").coalesce(1).write.mode("append").parquet(source)
-    outputs = stream_feed.Outputs(root)
-    failed = []
 
-    def flaky(batch_id):
+
+def failing(outputs, tables, times, raised=OSError):
+    """A writer that fails so often for some tables, and the tries it saw."""
+    tries = []
+
+    def primary(batch):
         def write_batch(rows, kind):
-            if kind == "trades" and not failed:
-                failed.append(batch_id)
-                raise OSError("storage went away")
-            stream_feed.batch_writer(outputs, batch_id)(rows, kind)
+            tries.append((batch.batch_id, kind))
+            if kind in tables and sum(k == kind for _, k in tries) <= times:
+                raise raised("storage went away")
+            stream_feed.batch_writer(outputs, batch)(rows, kind)
 
         return write_batch
 
+    return primary, tries
+
+
+def test_stream_equals_batch_and_survives_a_failing_sink(spark, raw, channels, tmp_path):
+    source, root = f"{tmp_path}/raw", f"{tmp_path}/out"
+    two_files(raw, source)
+    outputs = stream_feed.Outputs(root)
+    flaky, _ = failing(outputs, ("trades",), 1)
     feed = stream_table(spark, "raw_feed", source, max_files=1)
     stream_feed.start(feed, channels, outputs, 2024, interval=None, primary=flaky).awaitTermination()
     batch = records_from_raw(read_table(spark, "raw_feed", source), channels, 2024).persisted()
-    kept = spark.read.parquet(f"{root}/trades")
+    kept = stream_feed.read(spark, outputs, "trades")
     waiting = deadletter.waiting(spark, "trades", root)
     assert waiting.count() > 0 and set(waiting.select("storage_target", "recovery_status").distinct().first()) == {0, 1}
     names = [n for n, _ in expected(spark, "trades")]
     merged = deadletter.replayed(kept.select(*names), waiting, ["exchange", "market_type", "symbol", "trade_id"])
     assert sorted(map(tuple, merged.select(*names).collect())) == sorted(map(tuple, batch.trades().collect()))
     assert merged.where("recovery_status = 1").count() == waiting.count()
-    assert spark.read.parquet(f"{root}/orderbook").count() == batch.orderbook().count()
-    assert spark.read.parquet(f"{root}/rejects").count() == 4
-    assert spark.read.parquet(f"{root}/telemetry").count() > 0
-    stream_feed.compact(kept, f"{root}/compacted", outputs)
-    assert spark.read.parquet(f"{root}/compacted").count() == kept.count()
+    assert stream_feed.read(spark, outputs, "orderbook").count() == batch.orderbook().count()
+    assert stream_feed.read(spark, outputs, "rejects").count() == 4
+
+
+def test_order_books_are_tried_again_and_trades_are_not(spark, raw, channels, tmp_path):
+    source = f"{tmp_path}/raw"
+    raw.coalesce(1).write.parquet(source)
+    feed = stream_table(spark, "raw_feed", source)
+    for times, left in ((1, {"trades"}), (2, {"trades", "orderbook", "bookticker"})):
+        outputs = stream_feed.Outputs(f"{tmp_path}/out{times}")
+        flaky, tries = failing(outputs, stream_feed.TABLES.values(), times)
+        stream_feed.start(feed, channels, outputs, 2024, interval=None, primary=flaky).awaitTermination()
+        assert [k for _, k in tries] == ["trades", "orderbook", "orderbook", "bookticker", "bookticker"]
+        facts = {r.kind: r for r in commits.log(spark, outputs.root).collect()}
+        assert {k for k, r in facts.items() if r.target == deadletter.FALLBACK} == left
+        for kind in left:
+            assert deadletter.waiting(spark, kind, outputs.root).count() == facts[kind].stored > 0
+        for kind in {"orderbook", "bookticker"} - left:
+            assert stream_feed.read(spark, outputs, kind).count() == facts[kind].stored > 0
+
+
+def test_errors_of_the_code_are_no_failed_writes(spark, raw, channels, tmp_path):
+    source = f"{tmp_path}/raw"
+    raw.coalesce(1).write.parquet(source)
+    outputs = stream_feed.Outputs(f"{tmp_path}/out")
+    flaky, tries = failing(outputs, ("trades",), 9, raised=KeyError)
+    run = stream_feed.start(stream_table(spark, "raw_feed", source), channels, outputs, 2024, interval=None, primary=flaky)
+    with pytest.raises(StreamingQueryException):
+        run.awaitTermination()
+    assert len(tries) == 1 and commits.log(spark, outputs.root).count() == 0
+
+
+def test_a_run_that_ends_between_two_writes_shows_each_row_once(spark, raw, channels, tmp_path):
+    source, root = f"{tmp_path}/raw", f"{tmp_path}/out"
+    two_files(raw, source)
+    outputs = stream_feed.Outputs(root)
+    feed = stream_table(spark, "raw_feed", source, max_files=1)
+    killed, _ = failing(outputs, ("bookticker",), 9, raised=RuntimeError)  # trades and order books of batch 0 stand by then
+    with pytest.raises(StreamingQueryException):
+        stream_feed.start(feed, channels, outputs, 2024, interval=None, primary=killed).awaitTermination()
+    assert spark.read.parquet(f"{root}/trades").count() > 0
+    assert all(stream_feed.read(spark, outputs, kind).count() == 0 for kind in ("trades", "orderbook"))
+    stream_feed.start(feed, channels, outputs, 2024, interval=None).awaitTermination()
+    batch = records_from_raw(read_table(spark, "raw_feed", source), channels, 2024)
+    want = {"trades": batch.persisted().trades(), "orderbook": batch.persisted().orderbook(), "bookticker": batch.persisted().bookticker()}
+    for kind, rows in want.items():
+        names = [n for n, _ in expected(spark, kind)]
+        assert sorted(map(str, stream_feed.read(spark, outputs, kind).select(*names).collect())) == sorted(map(str, rows.select(*names).collect()))
+    # A batch that was committed, but whose checkpoint was lost, is not written again.
+    before = {k: spark.read.parquet(f"{root}/{k}").count() for k in want}
+    again = stream_feed.start(feed, channels, outputs, 2024, interval=None, name="again")
+    again.awaitTermination()
+    os.rename(f"{root}/_checkpoint/commits", f"{root}/_checkpoint/lost")
+    stream_feed.start(feed, channels, outputs, 2024, interval=None).awaitTermination()
+    assert {k: spark.read.parquet(f"{root}/{k}").count() for k in want} == before
+
+
+def test_counts_come_from_the_writing_jobs(spark, raw, channels, tmp_path):
+    source = f"{tmp_path}/raw"
+    two_files(raw, source)
+    outputs = stream_feed.Outputs(f"{tmp_path}/out")
+    gauges = Gauges()
+    spark.streams.addListener(gauges)
+    feed = stream_table(spark, "raw_feed", source, max_files=1)
+    run = stream_feed.start(feed, channels, outputs, 2024, interval=None, name="counted")
+    run.awaitTermination()
+    n = raw.count()
+    for _ in range(100):
+        if sum(b["rows"] for b in gauges.batches["counted"]) == n:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(gauges)
+    assert sum(b["rows"] for b in gauges.batches["counted"]) == n == sum(b["counted"] for b in gauges.batches["counted"])
+    found = commits.outcomes(spark, outputs.root)
+    assert found.agg(F.sum("messages")).first()[0] == n
+    messages = judged(parse_messages(read_table(spark, "raw_feed", source)), channels, 2024)
+    want = {(r.outcome, r.messages) for r in outcomes(messages).groupBy("outcome").agg(F.sum("messages").alias("messages")).collect() if r.outcome != "stored"}
+    assert {(r.outcome, r.messages) for r in found.where("kind = 'rejects'").groupBy("outcome").agg(F.sum("messages").alias("messages")).collect()} == want
+    latest = {r.kind: r.latency_us for r in commits.log(spark, outputs.root).where("batch_id = 0").collect()}
+    first = records_from_raw(read_table(spark, "raw_feed", source).where("seq < 6"), channels, 2024)
+    assert latest["trades"] == first.ticks.agg(F.max_by("local_diff", "seq") / 1000.0).first()[0]
+
+
+def test_compaction_writes_touched_partitions_only(spark, raw, channels, tmp_path):
+    outputs, path = stream_feed.Outputs(f"{tmp_path}/out"), f"{tmp_path}/rest"
+    trades = records_from_raw(raw, channels, 2024).persisted().trades()
+    days = [r.trade_date for r in trades.select("trade_date").distinct().orderBy("trade_date").collect()]
+    assert len(days) > 1
+
+    def add(batch_id, rows):
+        batch = commits.Batch(outputs.root, batch_id)
+        stream_feed.batch_writer(outputs, batch)(rows, "trades")
+        commits.commit(spark, batch, [("trades", 0, 1, 1, None, None)])
+
+    def files():
+        return {str(f): f.stat().st_mtime_ns for f in tmp_path.glob("rest/part_date=*/**/*.parquet")}
+
+    add(0, trades)
+    assert stream_feed.compact(spark, outputs, "trades", path) == [str(d) for d in days]
+    before = files()
+    late = trades.where(F.col("trade_date") == days[0]).limit(1)
+    add(1, late)
+    for _ in range(2):  # run again, as after a failure: nothing comes twice
+        assert stream_feed.compact(spark, outputs, "trades", path, [1]) == [str(days[0])]
+        assert spark.read.parquet(path).count() == trades.count() + 1
+    assert {f: t for f, t in files().items() if str(days[0]) not in f} == {f: t for f, t in before.items() if str(days[0]) not in f}
+    assert stream_feed.compact(spark, outputs, "trades", path, [7]) == []
 
 
 def test_stream_books_over_split_batches(spark, tmp_path):

@@ -22,6 +22,7 @@ from tidebook.feeds.base import DEPTH, FIELDS, TICK, TICKER, UNKNOWN
 EMPTY, MALFORMED, NO_FEED = "empty", "malformed", "no_feed"
 UNKNOWN_EVENT, PARSE = "unknown_event", "parse"
 UNREGISTERED, UNRECORDED, INVALID_TIME = "unregistered", "unrecorded", "invalid_time"
+REASONS = (EMPTY, MALFORMED, NO_FEED, UNKNOWN_EVENT, PARSE, UNREGISTERED, UNRECORDED, INVALID_TIME)
 
 ENVELOPE = ("channel_id", "exchange", "market_type", "symbol", "seq", "recv_us", "recv_ns", "dispatch_ns")
 RECORD_COLUMNS = {TICK: "tick", DEPTH: "depth", TICKER: "ticker"}

@@ -421,6 +421,14 @@ SELECT 'TICK' AS kind, CASE WHEN c.symbol IS NULL THEN 'unregistered' WHEN NOT r
         EVENTS,
         CHANNELS,
     ),
+    "stream_outcomes": _with(
+        """
+SELECT CASE WHEN c.symbol IS NULL THEN 'unregistered' WHEN NOT record_tick THEN 'unrecorded'
+       WHEN persist_to_disk THEN 'stored' ELSE 'not_persisted' END AS outcome, CAST(count(*) AS BIGINT) AS messages
+FROM e LEFT JOIN c ON e.symbol = c.symbol GROUP BY 1""",
+        EVENTS,
+        CHANNELS,
+    ),
     "futures_daily": _daily("record_tick"),
     "csv_rejects": _with("""
 SELECT upper(event_type) AS symbol, CASE event_type WHEN 'error' THEN 'bad_value' WHEN 'view' THEN 'invalid_time'

@@ -19,6 +19,7 @@ from tidebook.sinks import tables as table_sinks
 from tidebook.sources import csv_tree, registry
 from tidebook.sources.messages import stream_table
 from tidebook.streaming import book as stream_book
+from tidebook.streaming import commits
 from tidebook.streaming import feed as stream_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -582,4 +583,11 @@ def _stream(spark: SparkSession, sf_dir: str) -> stream_feed.Outputs:
 @query
 def stream_trades_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only persisted channels reach the table, so this is the daily roll-up of those."""
-    return daily(spark.read.parquet(f"{_stream(spark, sf_dir).root}/trades"))
+    return daily(stream_feed.read(spark, _stream(spark, sf_dir), "trades"))
+
+
+@query
+def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of all messages of a stream, counted by the jobs that wrote them; the counts add up to the input."""
+    found = commits.outcomes(spark, _stream(spark, sf_dir).root)
+    return found.groupBy("outcome").agg(F.sum("messages").alias("messages"))

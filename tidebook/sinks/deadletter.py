@@ -6,6 +6,7 @@ import logging
 import os
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,24 +17,30 @@ PRIMARY, FALLBACK = 0, 1
 WAITING, REPLAYED = 0, 1
 
 
+#: What a write that the store refused raises: errors of the system, and failed jobs. Errors of the code are others.
+STORE_ERRORS = (OSError, Py4JJavaError)
+
+
 def _batch_path(root: str, kind: str, batch_id: int) -> str:
     return os.path.join(root, "dead_letter", kind, f"batch_id={batch_id}")
 
 
 def write_with_fallback(
-    rows: DataFrame, kind: str, batch_id: int, primary: Callable[[DataFrame, str], None], root: str
-) -> bool:
-    """Try the primary write, else store the whole batch in the dead-letter table of its kind.
+    make: Callable[[], DataFrame], kind: str, batch, primary: Callable[[DataFrame, str], None], tries: int = 1
+) -> int:
+    """Try the primary write, as often as told, with rows made anew for each try; else store the whole batch in the
+    dead-letter table of its kind. Returns where the rows are.
 
-    The batch directory is overwritten, so a retried micro-batch leaves one copy. True when the primary took it.
+    The batch's part of the dead letter is overwritten, so a retried micro-batch leaves one copy.
     """
-    try:
-        primary(rows, kind)
-        return True
-    except Exception:  # noqa: BLE001  whatever the primary raises, the rows must not be lost
-        log.exception("primary write of %s failed in batch %s, rows go to dead letter", kind, batch_id)
-        store_waiting(rows, kind, batch_id, root)
-        return False
+    for k in range(tries):
+        try:
+            primary(make(), kind)
+            return PRIMARY
+        except STORE_ERRORS:
+            log.exception("write %s of %s of %s failed in batch %s", k + 1, tries, kind, batch.batch_id)
+    store_waiting(make(), kind, batch.batch_id, batch.root)
+    return FALLBACK
 
 
 def store_waiting(rows: DataFrame, kind: str, batch_id: int, root: str) -> None:
