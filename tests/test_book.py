@@ -2,11 +2,12 @@ import random
 
 import model
 import pytest
+from pyspark.sql import functions as F
 
 from tidebook import schemas
 from tidebook.operators import book
 from tidebook.operators.fold import EVENT_COLUMNS, Book
-from tidebook.operators.ordered import _blocked, previous_in_order, running_total
+from tidebook.operators.ordered import _blocked, neighbours, previous_in_order, running_total
 
 
 def event(seq, kind="QUOTE", mark="SOLO", side="bid", price=None, size=None, bids=None, asks=None, channel=1, **more):
@@ -203,6 +204,57 @@ def test_ordered_columns_over_blocks(spark, scale):
     assert {(x.k, x.s): x.t for x in summed} == want_sum
 
 
-def test_sparse_orders_make_no_more_blocks_than_rows_ask_for(spark):
-    df = spark.range(1000).selectExpr("1 AS k", "id * 1000000007 AS s")
-    assert _blocked(df, "k", "s", 100).select("_block").distinct().count() == 10
+@pytest.mark.parametrize("orders", ["id * 1000000007", "id", "CASE WHEN id = 0 THEN 1000000000000000 ELSE id END", "id * id * id"])
+def test_blocks_are_alike_in_size_however_orders_lie(spark, orders):
+    df = spark.range(20000).selectExpr("1 AS k", f"{orders} AS s").unionByName(spark.range(50).selectExpr("2 AS k", "id AS s"))
+    sizes = {(r.k, r._block): r["count"] for r in _blocked(df, "k", "s", 500).groupBy("k", "_block").count().collect()}
+    assert len([b for k, b in sizes if k == 1]) == 40 and max(sizes.values()) <= 1000
+    assert sizes[(2, 0)] == 50 and sum(sizes.values()) == 20050
+
+
+def test_neighbours_skip_nulls_and_cross_blocks(spark):
+    r = random.Random(8)
+    rows = [(1, s, i, r.choice([None, None, None, s])) for s in range(120) for i in range(2)] + [(2, 0, 0, None)]
+    df = spark.createDataFrame(rows, "k INT, s BIGINT, i INT, v BIGINT")
+    got = neighbours(df, ["k"], ["s", "i"], {"b": F.col("v")}, {"a": F.col("v")}, rows=9).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        before = [v for k, s, i, v in rows if k == x.k and (s, i) < (x.s, x.i) and v is not None]
+        after = [v for k, s, i, v in rows if k == x.k and (s, i) > (x.s, x.i) and v is not None]
+        assert (x.b, x.a) == (before[-1] if before else None, after[0] if after else None)
+
+
+def test_a_batch_that_never_ends_is_spread(spark):
+    """No window is by batch; one that closes after very many events commits them all."""
+    n = 3000
+    events = [quote(1, "BEGIN", 5, 1), *[quote(k, "MIDDLE", k % 50, 1 + k % 3) for k in range(2, n)]]
+    assert book.batched_levels(book.batch_markers(frame(spark, events), rows=100)).count() == 0
+    ended = frame(spark, [*events, event(n, "END_QUOTE")])
+    markers = book.batch_markers(ended, rows=100)
+    assert {(r.eff_seq, r.begun) for r in markers.where("seq > 1").select("eff_seq", "begun").distinct().collect()} == {(n, True)}
+    assert book.book_asof(ended, rows=100).count() == 50
+
+
+def test_intervals_and_books_at_many_moments(spark):
+    events = random_events(13, 250, (0, 1, 2), 25, 0.02, 0.01)
+    events = [{**e, "exchange_ts": 1 + e["seq"]} for e in events]
+    want = modelled(events)
+    r = random.Random(1)
+    moments = [(c, r.randrange(-5, 1600)) for c in (0, 1, 2, 9) for _ in range(60)] + [(0, s) for (c, s) in want if c == 0][:40]
+    levels = set()
+    for c, at in moments:
+        seen = [s for k, s in want if k == c and s <= at]
+        for side, pairs in zip(("bid", "ask"), want[(c, max(seen))][1:] if seen else ()):
+            levels |= {(c, at, side, p, q) for p, q in pairs}
+    intervals = book.book_intervals(frame(spark, events), rows=40)
+    asked = spark.createDataFrame([*moments, moments[0], (None, 3), (1, None)], "channel_id BIGINT, at BIGINT")
+    assert sorted(map(tuple, book.book_at(intervals, asked, rows=40).collect())) == sorted(levels)
+    assert intervals.where("valid_until <= valid_from OR qty <= 0").count() == 0
+    assert book.book_at(intervals, asked.limit(0)).count() == 0
+
+
+def test_a_price_that_flickers_is_cut_too(spark):
+    events = [quote(k, "SOLO", 7, k % 3) for k in range(2000)]
+    found = book.book_intervals(frame(spark, events), rows=64)
+    assert found.count() == sum(k % 3 > 0 for k in range(2000))
+    assert found.where("valid_until IS NULL").collect()[0].valid_from == 1999

@@ -9,6 +9,7 @@ from tidebook import schemas
 from tidebook.feeds import futures
 from tidebook.operators import book, enrich, tables, telemetry
 from tidebook.operators.parse import parse_messages
+from tidebook.plans import queries
 from tidebook.plans.records import judged, outcomes, records_from_raw
 from tidebook.sinks import deadletter, topics
 from tidebook.sinks import tables as sinks
@@ -187,6 +188,47 @@ def test_orderbook_columns_by_name(spark, tmp_path):
     assert (row.bid_prices, row.bid_sizes, row.ask_prices) == ([1.0, 0.0], [0.0, 0.0], [2.0, 3.0])
 
 
+def test_no_line_of_a_csv_file_is_lost(spark, tmp_path):
+    folder = f"{tmp_path}/ex/spot/A"
+    head = "exchange_timestamp,local_diff,price,quantity,direction\n"
+    stamp = "1717200000000000"
+    write(f"{folder}/trades_1.csv", f"{head}{stamp},1,2,3,1\n,1,2,3,1\nx,1,2,3,1\n\n{stamp},1,n/a,3,1\n{head},,,,\n")
+    rows = csv_tree.read_trades(spark, str(tmp_path))
+    good, bad = csv_tree.checked(rows, 2024)
+    assert (rows.count(), good.count(), sorted(r.reject_reason for r in bad.collect())) == (5, 1, ["bad_value"] * 4)
+    names = "exchange_timestamp,bid_price1,ask_price1,ask_size1\n"
+    lines = [f"{stamp},1,2,", f"{stamp},n/a,2,3", ",1,2,3", f"{stamp},1", "", f"{stamp},1,nan,3", f"{stamp},1,2,inf", "0,1,2,3"]
+    write(f"{folder}/orderbook_1.csv", names + "\n".join(lines) + "\n")
+    books = csv_tree.read_orderbook(spark, str(tmp_path))
+    good, bad = csv_tree.checked(books, 2024)
+    assert sorted((r.bid_prices, r.ask_prices, r.ask_sizes, r.local_diff) for r in good.collect()) == [
+        ([1.0], [0.0], [0.0], 0),
+        ([1.0], [2.0], [0.0], 0),
+    ]
+    assert sorted(r.reject_reason for r in bad.collect()) == ["bad_value"] * 4 + ["invalid_time"]
+
+
+def test_order_books_of_many_depths_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+    price = F.udf(lambda i: made.add(1) or float(i), "double").asNondeterministic()
+    level = lambda i: F.transform(F.sequence(F.lit(1), i), lambda k: k.cast("double"))
+    rows = spark.range(1, 25).select(
+        (F.lit(1717200000000000) + F.col("id")).alias("exchange_timestamp"), F.lit(1).cast("bigint").alias("local_diff"), F.lit("S").alias("symbol"),
+        F.lit("ex").alias("exchange"), F.lit("spot").alias("market_type"), F.to_date(F.lit("2024-06-01")).alias("trade_date"),
+        *[level(F.col("id").cast("int")).alias(n) for n in ("bid_sizes", "ask_prices", "ask_sizes")],
+        F.concat(F.array(price("id")), F.slice(level(F.col("id").cast("int")), F.lit(2), F.col("id").cast("int"))).alias("bid_prices"),
+    )
+    sinks.write_csv(rows, str(tmp_path), "orderbook")
+    assert made.value == 24
+    back = csv_tree.read_orderbook(spark, str(tmp_path), layout="nested")
+    assert sorted(len(r.bid_prices) for r in back.collect()) == list(range(1, 25))
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    found = queries.bucketed_join(spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_table_layout(spark, raw, channels, tmp_path):
     records = records_from_raw(raw, channels, 2024)
     root = str(tmp_path)

@@ -134,16 +134,23 @@ def wide_columns(depth: int) -> list[Column]:
     return out
 
 
+def cell(value: Column) -> Column:
+    """A level's number out of a file: 0.0 for a cell that isn't there or is empty, NULL for one that isn't a number."""
+    text = F.trim(value.cast("string"))
+    number = text.try_cast("double")
+    finite = ~F.isnan(number) & (F.abs(number) < float("inf"))
+    return F.when(value.isNull() | (text == ""), F.lit(0.0)).when(finite, number)
+
+
 def arrays_from_wide(columns: list[str]) -> dict[str, Column]:
-    """The reverse of :func:`wide_columns`; a level column that is absent or empty reads as 0.0."""
+    """The reverse of :func:`wide_columns`; a level column that is absent or empty reads as 0.0, one that holds no number
+    as NULL."""
     depth = wide_depth(columns)
     present = set(columns)
 
     def array(side: str, part: str) -> Column:
         names = [f"{side}_{part}{i}" for i in range(1, depth + 1)]
-        cells = [
-            F.coalesce(F.col(n).try_cast("double"), F.lit(0.0)) if n in present else F.lit(0.0) for n in names
-        ]
+        cells = [cell(F.col(n)) if n in present else F.lit(0.0) for n in names]
         return F.array(*cells) if cells else F.array().cast("array<double>")
 
     return {f"{s}_{p}s": array(s, p) for s in ("bid", "ask") for p in ("price", "size")}

@@ -159,10 +159,11 @@ def binance_spot_depth() -> Column:
     )
 
 
-def binance_perpetual_depth() -> Column:
+def binance_perpetual_depth(bids: Column | None = None, asks: Column | None = None) -> Column:
     return text(
         '{"e":"depthUpdate","E":', ms(), ',"T":1,"s":"', F.col("symbol"), '","U":1,"u":', F.col("event_id"),
-        ',"pu":0,"b":', positional(bid_count(), -1), ',"a":', positional(ask_count(), 1), "}",
+        ',"pu":0,"b":', positional(bid_count() if bids is None else bids, -1), ',"a":',
+        positional(ask_count() if asks is None else asks, 1), "}",
     )
 
 

@@ -177,6 +177,15 @@ GROUP BY s.channel_id, s.seq, s.us""",
     BOOK,
 ).replace(")\n\n, s AS", "),\ns AS")
 
+_INTERVALS = """
+iv AS (
+  SELECT channel_id, side, CAST(price AS DOUBLE) AS price, qty, eff_seq AS valid_from, valid_until FROM (
+    SELECT o.*, least(next_seq, r.seq) AS valid_until FROM (
+      SELECT *, lead(eff_seq) OVER (PARTITION BY channel_id, side, price ORDER BY eff_seq, idx) AS next_seq FROM ops
+    ) o ASOF LEFT JOIN resets r ON r.channel_id = o.channel_id AND o.eff_seq < r.seq
+  ) WHERE qty > 0 AND (valid_until IS NULL OR valid_until > eff_seq)
+)"""
+
 _REJECT = """
 x AS (
   SELECT CASE WHEN event_type = 'view' AND k < 10 THEN 'parse'
@@ -374,6 +383,28 @@ SELECT channel_id, eff_seq, count(*) AS levels, count(*) FILTER (WHERE side = 'b
         BOOK,
     ),
     "book_snapshots": _SNAPSHOTS,
+    "book_intervals": _with(
+        "SELECT channel_id, side, price, qty, valid_from, valid_until FROM iv", EVENTS, BOOK, _INTERVALS
+    ),
+    "book_at_times": _with(
+        """
+SELECT t.user_id AS channel_id, t.event_id AS at, side, price, qty
+FROM (SELECT user_id, event_id FROM events WHERE event_type = 'error') t
+JOIN iv ON iv.channel_id = t.user_id AND valid_from <= t.event_id AND (valid_until IS NULL OR t.event_id < valid_until)""",
+        EVENTS,
+        BOOK,
+        _INTERVALS,
+    ),
+    "deep_book_levels": _with("""
+SELECT event_id AS seq, bids, asks, bid_quantity, ask_quantity, bid_prices, ask_prices FROM e
+JOIN (SELECT event_id, count(*) AS bids, CAST(sum(k + i) AS DOUBLE) AS bid_quantity,
+             CAST(sum(cents - i + CASE WHEN cents - i < 0 THEN -0.25 ELSE 0.25 END) AS DOUBLE) AS bid_prices
+      FROM e, range(0, 300) r(i) WHERE i < k + 101 AND NOT (event_type = 'error' AND i = 0) GROUP BY 1) USING (event_id)
+JOIN (SELECT event_id, count(*) AS asks, CAST(sum(k + i) AS DOUBLE) AS ask_quantity,
+             CAST(sum(cents + i + 0.25) AS DOUBLE) AS ask_prices
+      FROM e, range(0, 400) r(i) WHERE i < k * 2 + 101 AND NOT (event_type = 'error' AND i = 0) GROUP BY 1) USING (event_id)"""),
+    "bucketed_join": _with("""
+SELECT symbol, count(*) AS trades, max(value) AS high, count(*) AS quotes, max(value) AS best_bid FROM e GROUP BY symbol"""),
     "partition_layout": _with("""
 SELECT CAST(date_trunc('month', make_timestamp(us)) AS DATE) AS part_date, count(*) AS rows,
        count(DISTINCT event_type) AS symbols, TRUE AS bucket_per_symbol FROM e GROUP BY 1"""),
@@ -402,7 +433,8 @@ SELECT {_MS} AS exchange_timestamp, CAST(k * 1000 AS BIGINT) AS local_diff, uppe
        'binance' AS exchange, 'perpetual' AS market_type, CAST(make_timestamp(us) AS DATE) AS trade_date,
        CAST(r.i AS INTEGER) AS level, coalesce(bid_price, 0.0) AS bid_price, coalesce(bid_size, 0.0) AS bid_size,
        coalesce(ask_price, 0.0) AS ask_price, coalesce(ask_size, 0.0) AS ask_size
-FROM e JOIN range(1, 4) r(i) ON TRUE LEFT JOIN lw ON lw.event_id = e.event_id AND lw.level = r.i""",
+FROM e JOIN range(1, 4) r(i) ON event_type <> 'error' OR i < 3
+LEFT JOIN lw ON lw.event_id = e.event_id AND lw.level = r.i""",
         EVENTS,
         CHANNELS,
         _DEPTH_ROWS,
@@ -410,8 +442,10 @@ FROM e JOIN range(1, 4) r(i) ON TRUE LEFT JOIN lw ON lw.event_id = e.event_id AN
     "load_report": _with("""
 SELECT upper(event_type) AS symbol, count(*) AS rows FROM e GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM e"""),
     "topics_sent": _with("""
-SELECT CASE WHEN event_type = 'error' THEN repeat('x', 46) ELSE 'binance' END || ':spot:' || symbol || ':tick'
-       AS topic, CAST(1 AS TINYINT) AS msg_type, count(*) AS messages FROM e GROUP BY 1, 2"""),
+SELECT CASE WHEN event_type = 'error' THEN repeat('x', 46) ELSE exchange END || ':' || market_type || ':' || symbol || ':' || suffix
+       AS topic, CAST(tag AS TINYINT) AS msg_type, count(*) AS messages
+FROM e, (VALUES ('binance', 'spot', 'tick', 1), ('binance', 'perpetual', 'depth', 2), ('gateio', 'spot', 'book_ticker', 3))
+     t(exchange, market_type, suffix, tag) GROUP BY 1, 2"""),
     "degraded_replay": _with("""
 SELECT event_id, us, value, event_type, CAST(event_type IN ('click', 'error') AS INTEGER) AS recovery_status FROM e"""),
     "records_outcome": _with(
@@ -431,8 +465,9 @@ FROM e LEFT JOIN c ON e.symbol = c.symbol GROUP BY 1""",
     ),
     "futures_daily": _daily("record_tick"),
     "csv_rejects": _with("""
-SELECT upper(event_type) AS symbol, CASE event_type WHEN 'error' THEN 'bad_value' WHEN 'view' THEN 'invalid_time'
-       ELSE 'stored' END AS reject_reason, count(*) AS rows FROM e GROUP BY ALL"""),
+SELECT upper(event_type) AS symbol, CASE WHEN event_type IN ('error', 'signup') THEN 'bad_value'
+       WHEN event_type = 'view' THEN 'invalid_time' ELSE 'stored' END AS reject_reason, count(*) AS rows, kind
+FROM e, (VALUES ('trades'), ('orderbook')) t(kind) GROUP BY ALL"""),
     "latency_last": _with("""
 SELECT user_id AS channel_id, CAST(arg_max(k, event_id) AS DOUBLE) AS latency_us, max(event_id) AS seq
 FROM e GROUP BY user_id"""),

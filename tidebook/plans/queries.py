@@ -256,11 +256,13 @@ def futures_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trade files with unreadable prices and zero times: rows per outcome of the checked import."""
+    """Trade and order-book files with unreadable numbers, zero and empty times: rows per outcome of the checked import."""
     path = scratch(spark, "csv")
     kind = F.col("event_type")
-    rows = adapter.ticks(spark, sf_dir).select(
-        F.when(kind == "view", F.lit(0)).otherwise(F.col("us")).alias("exchange_timestamp"),
+    events = adapter.ticks(spark, sf_dir)
+    stamp = F.when(kind == "view", F.lit(0)).when(kind != "signup", F.col("us")).alias("exchange_timestamp")
+    rows = events.select(
+        stamp,
         F.lit(1).alias("local_diff"),
         F.when(kind == "error", "n/a").otherwise(F.col("value").cast("string")).alias("price"),
         F.col("k").alias("quantity"),
@@ -270,10 +272,22 @@ def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.upper(kind).alias("symbol"),
     )
     keys = ("exchange", "market_type", "symbol")
-    rows.write.partitionBy(*keys).option("header", True).csv(f"{path}/trades")
-    good, bad = csv_tree.checked(csv_tree.read_trades(spark, path, layout="nested"), AS_OF_YEAR)
-    both = good.withColumn("reject_reason", F.lit("stored")).unionByName(bad)
-    return both.groupBy("symbol", "reject_reason").agg(F.count(F.lit(1)).alias("rows"))
+    books = events.select(
+        F.lit(1).alias("bid_price1"),
+        F.when(kind == "error", "n/a").otherwise(F.col("value").cast("string")).alias("ask_price1"),
+        F.when(kind == "click", F.col("k")).alias("ask_size2"),
+        stamp,
+        *[F.lit(v).alias(n) for n, v in zip(keys, ("binance", "spot"))],
+        F.upper(kind).alias("symbol"),
+    ).select("exchange_timestamp", "bid_price1", "ask_size2", "ask_price1", *keys)
+    out = None
+    for table, written, reader in (("trades", rows, csv_tree.read_trades), ("orderbook", books, csv_tree.read_orderbook)):
+        written.write.partitionBy(*keys).option("header", True).csv(f"{path}/{table}")
+        good, bad = csv_tree.checked(reader(spark, path, layout="nested"), AS_OF_YEAR)
+        both = good.withColumn("reject_reason", F.lit("stored")).unionByName(bad)
+        one = both.groupBy("symbol", "reject_reason").agg(F.count(F.lit(1)).alias("rows")).withColumn("kind", F.lit(table))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def daily(trades: DataFrame) -> DataFrame:
@@ -340,6 +354,24 @@ def valid_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def deep_book_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with more than a hundred levels a side, read whole."""
+    bids, asks = F.col("k") + 101, F.col("k") * 2 + 101
+    raw = _of_feed(spark, sf_dir, binance.PERPETUAL, adapter.binance_perpetual_depth(bids, asks))
+    depths = parse.depth_records(parse.parse_messages(raw, [binance.PERPETUAL], kinds=("DEPTH",)))
+
+    def total(side: str, name: str) -> Column:
+        return F.aggregate(side, F.lit(0.0), lambda a, x: a + x[name])
+
+    return depths.select(
+        "seq",
+        *[F.size(side).cast("bigint").alias(side) for side in ("bids", "asks")],
+        *[total(side, "quantity").alias(f"{side[:3]}_quantity") for side in ("bids", "asks")],
+        *[total(side, "price").alias(f"{side[:3]}_prices") for side in ("bids", "asks")],
+    )
+
+
 # --- depth shapes -------------------------------------------------------------------------------------
 
 
@@ -397,6 +429,19 @@ def batch_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def book_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return book.book_intervals(_book_events(spark, sf_dir))
+
+
+@query
+def book_at_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every channel's book at the moments of its events of type error."""
+    moments = adapter.ticks(spark, sf_dir).where(adapter.is_type("error"))
+    asked = moments.select(F.col("user_id").alias("channel_id"), F.col("event_id").alias("at"))
+    return book.book_at(book.book_intervals(_book_events(spark, sf_dir)), asked)
+
+
 def _levels_of(snapshots: DataFrame) -> DataFrame:
     out = None
     for side in ("bid", "ask"):
@@ -508,8 +553,14 @@ def csv_orderbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = adapter.ticks(spark, sf_dir).withColumn("symbol", F.upper("event_type"))
     raw = adapter.raw_feed(events, "binance", "perpetual", adapter.binance_perpetual_depth())
     depths = parse.depth_records(parse.parse_messages(raw, [binance.PERPETUAL], kinds=("DEPTH",)))
-    shaped = tables.to_orderbook(depths.withColumn("depth_level", F.lit(3)))
-    table_sinks.write_csv(shaped, path, "orderbook", depth=3)
+    depth = F.when(F.col("symbol") == "ERROR", 2).otherwise(3)
+    shaped = tables.to_orderbook(depths.withColumn("depth_level", depth))
+    table_sinks.write_csv(shaped.where("symbol <> 'VIEW'"), path, "orderbook")
+    wide = tables.to_wide(shaped.where("symbol = 'VIEW'"), 3)  # files with their columns in another order
+    keys = [c for c in wide.columns if c in table_sinks.CSV_KEYS]
+    cells = sorted(c for c in wide.columns if c not in keys and c != "exchange_timestamp")
+    own = wide.select("exchange_timestamp", *cells, *keys).write.mode("append").partitionBy(*table_sinks.CSV_KEYS)
+    own.option("header", True).csv(f"{path}/orderbook")
     return tables.to_long(csv_tree.read_orderbook(spark, path, layout="nested"))
 
 
@@ -525,18 +576,45 @@ def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def topics_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages per topic; for events of type error the topic is long."""
+    """Messages of all kinds per topic; for events of type error the topic is long."""
     events = adapter.ticks(spark, sf_dir)
-    raw = adapter.raw_feed(events, "binance", "spot", adapter.binance_trade(F.col("us")))
-    ticks = parse.tick_records(parse.parse_messages(raw, SPOT_FEED, kinds=("TICK",)))
     types = events.select(F.col("event_id").alias("seq"), "event_type")
     prefix = identity.channel_key(
         F.when(F.col("event_type") == "error", F.repeat(F.lit("x"), 46)).otherwise(F.col("exchange")),
         F.col("market_type"),
         F.col("symbol"),
     )
-    named = ticks.join(types, "seq").withColumn("topic_prefix", prefix).drop("event_type")
-    return topics.messages(named, "TICK").groupBy("topic", "msg_type").agg(F.count(F.lit(1)).alias("messages"))
+    made = {
+        "TICK": (binance.SPOT, adapter.binance_trade(F.col("us")), parse.tick_records),
+        "DEPTH": (binance.PERPETUAL, adapter.binance_perpetual_depth(), parse.depth_records),
+        "BOOK_TICKER": (gateio.SPOT, adapter.gateio_ticker("spot", quoted=True), parse.ticker_records),
+    }
+    out = None
+    for kind, (feed, payload, records) in made.items():
+        raw = adapter.raw_feed(events, feed.exchange, feed.market_type, payload)
+        rows = records(parse.parse_messages(raw, [feed], kinds=(kind,)))
+        named = rows.join(types, "seq").withColumn("topic_prefix", prefix).drop("event_type")
+        one = topics.messages(named, kind).groupBy("topic", "msg_type").agg(F.count(F.lit(1)).alias("messages"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades and best bid/ask of each symbol, from two tables bucketed by symbol: joined without a shuffle."""
+    events = adapter.ticks(spark, sf_dir)
+    raw = adapter.raw_feed(events, "gateio", "spot", adapter.gateio_ticker("spot", quoted=True))
+    quotes = tables.to_bookticker(parse.ticker_records(parse.parse_messages(raw, [gateio.SPOT], kinds=("BOOK_TICKER",))))
+    made = adapter.raw_feed(events, "binance", "spot", adapter.binance_trade(F.col("us")))
+    trades = tables.to_trades(parse.tick_records(parse.parse_messages(made, SPOT_FEED, kinds=("TICK",))))
+    names = {}
+    for kind, rows in (("trades", trades), ("bookticker", quotes)):
+        path = scratch(spark, f"bucketed_{kind}")
+        names[kind] = path.rpartition("/")[2].replace("-", "_")
+        table_sinks.save_bucketed(rows, names[kind], path=path)
+    own = spark.table(names["trades"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"), F.max("price").alias("high"))
+    best = spark.table(names["bookticker"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("quotes"), F.max("best_bid_price").alias("best_bid"))
+    return own.hint("merge").join(best, "symbol")
 
 
 @query

@@ -8,11 +8,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidebook import schemas
 from tidebook.functions import identity
 from tidebook.operators.tables import to_wide
+from tidebook.session import scratch
 
 log = logging.getLogger(__name__)
 
@@ -78,22 +79,24 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_bucketed(rows: DataFrame, name: str, buckets: int = SYMBOL_BUCKETS, mode: str = "append") -> None:
-    """A catalog table bucketed by symbol, so later joins and aggregates on symbol need no shuffle.
+def save_bucketed(
+    rows: DataFrame, name: str, buckets: int = SYMBOL_BUCKETS, mode: str = "append", path: str | None = None
+) -> None:
+    """A catalog table bucketed by symbol, so later joins and aggregates on symbol need no shuffle; at ``path``, if given.
 
     Rows are first rebalanced by (date, bucket), so few tasks write to one bucket of one day, and a busy one still
     gets several.
     """
     keyed = rows.withColumn("_bucket", identity.bucket(F.col("symbol"), buckets))
-    (
+    writer = (
         keyed.hint("rebalance", "trade_date", "_bucket")
         .drop("_bucket")
         .write.mode(mode)
         .partitionBy("trade_date")
         .bucketBy(buckets, "symbol")
         .sortBy("symbol", "exchange_timestamp")
-        .saveAsTable(name)
     )
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 CSV_KEYS = ("exchange", "market_type", "symbol", "trade_date")
@@ -115,16 +118,23 @@ def write_csv(rows: DataFrame, path: str, kind: str, depth: int | None = None, m
     """Daily files per channel under ``{path}/{kind}/exchange=../market_type=../symbol=../trade_date=../``.
 
     A late row lands in its own day. Order books are written wide, each row with as many levels as it has (its
-    channel's stored depth), or with ``depth``; files of one depth have one header.
+    channel's stored depth), or with ``depth``; files of one depth have one header. Rows of several depths are made once
+    and kept by depth in the shared folder, from where each depth's files are written.
     """
     if kind != "orderbook":
         out = rows.withColumn("symbol_text", F.col("symbol")) if kind == "bookticker" else rows
         _write_csv(out.select(*_CSV_COLUMNS[kind], *CSV_KEYS), os.path.join(path, kind), mode)
         return
+    if depth:
+        _write_csv(to_wide(rows, depth), os.path.join(path, kind), mode)
+        return
+    by_depth = scratch(rows.sparkSession, "by-depth")
     size = F.greatest(F.size("bid_prices"), F.size("ask_prices"))
-    depths = [depth] if depth else [r[0] for r in rows.select(size.alias("n")).distinct().orderBy("n").collect()]
+    rows.withColumn("_depth", size).hint("rebalance", "_depth").write.partitionBy("_depth").parquet(by_depth)
+    made = rows.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("_depth", IntegerType())])).parquet(by_depth)
+    depths = [r[0] for r in made.select("_depth").distinct().orderBy("_depth").collect()]  # from folder names
     for k, n in enumerate(depths):
-        own = rows if depth else rows.where(size == n)
+        own = made.where(F.col("_depth") == n).drop("_depth")
         _write_csv(to_wide(own, n), os.path.join(path, kind), mode if k == 0 else "append")
 
 

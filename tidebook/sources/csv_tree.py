@@ -6,7 +6,8 @@ Two directory layouts are read:
 * ``{root}/{kind}/exchange=../market_type=../symbol=../trade_date=../*.csv``, as the CSV sink writes it
 
 Keys come from the path, never from the file. Rows are read as text and cast with ``try_cast``, as a file may
-repeat its header line; such lines are left out.
+repeat its header line; such lines and wholly empty ones are left out. All others give a row, and :func:`checked` tells
+which may be stored: what isn't there reads as nothing (a level as 0.0), what is there and isn't a number as NULL.
 """
 
 from __future__ import annotations
@@ -65,7 +66,8 @@ def _lines(spark: SparkSession, root: str, kind: str, layout: str, columns: tupl
         .csv(folder)
         .select("*", F.col("_metadata.file_path").alias("file_path"))
     )
-    return rows.where(F.col("exchange_timestamp") != "exchange_timestamp")
+    # A line whose first cell is empty has no time, but it is a line.
+    return rows.where(~F.col("exchange_timestamp").eqNullSafe("exchange_timestamp"))
 
 
 def _numbers() -> dict[str, Column]:
@@ -147,7 +149,7 @@ def read_orderbook(
     """Order-book rows of any depth and order of columns.
 
     Each file's header line says where its levels are, so files of different depths and orders mix; a level that the
-    header or a line lacks reads as 0.0. Headers, one short row for each file, are joined to the lines by file. A
+    header or a line lacks reads as 0.0, one that holds no number as NULL. Headers, one short row for each file, are joined to the lines by file. A
     file without a header is read as ``ask_price, ask_size, bid_price, bid_size`` repeated, as deep as its lines are
     wide; or name all columns of headless files in ``columns``.
     """
@@ -163,9 +165,10 @@ def read_orderbook(
             .select(F.split("value", ",").alias("cells"), F.col("_metadata.file_path").alias("file_path"))
         )
         first = F.get("cells", F.lit(0))
-        lines = text.where(~first.isin(_STAMP, "")).withColumnRenamed("cells", "line")
+        empty = (F.size("cells") == 1) & (F.trim(first) == "")
+        lines = text.where((first != _STAMP) & ~empty).withColumnRenamed("cells", "line")
         heads = text.where(first == _STAMP).groupBy("file_path").agg(F.min("cells").alias("head"))
-        heads = heads.select("file_path", *[_places(name).alias(name) for name in _LEVEL_PARTS], _place("local_diff"))
+        heads = heads.select("file_path", F.lit(True).alias("_named"), *[_places(name).alias(name) for name in _LEVEL_PARTS], _place("local_diff"))
         joined = lines.join(heads, "file_path", "left")
         depth = F.ceil((F.size("line") - 2) / 4).cast("int")
 
@@ -173,11 +176,11 @@ def read_orderbook(
             regular = F.transform(F.sequence(F.lit(0), depth - 1), lambda i: i * 4 + k + 2)
             regular = F.when(depth > 0, regular).otherwise(F.array().cast("array<int>"))
             places = F.coalesce(F.col(f"{name}s"), regular)
-            return F.transform(places, lambda at: F.coalesce(F.get("line", at).try_cast("double"), F.lit(0.0)))
+            return F.transform(places, lambda at: levels.cell(F.get("line", at)))
 
         rows = joined.select(
             F.get("line", F.lit(0)).alias(_STAMP),
-            F.get("line", F.coalesce("_at", F.lit(1))).alias("local_diff"),
+            F.when(F.col("_named").isNull(), F.get("line", F.lit(1))).when(F.col("_at").isNull(), "0").otherwise(F.get("line", "_at")).alias("local_diff"),
             *[cells(k, name).alias(f"_{name}") for k, name in enumerate(("ask_price", "ask_size", "bid_price", "bid_size"))],
             "file_path",
         )
@@ -195,11 +198,13 @@ def load_report(rows: DataFrame) -> DataFrame:
 
 
 def checked(rows: DataFrame, as_of_year: int) -> tuple[DataFrame, DataFrame]:
-    """Rows that may be stored, and the others with a ``reject_reason``: a value that didn't read, or a bad time."""
+    """Rows that may be stored, and the others with a ``reject_reason``: a value (or one of a list) that didn't read, or a
+    bad time. Together they are all rows."""
     required = [F.col(c).isNull() for c in rows.columns if c not in ("trade_date", "file_path", "is_buyer_maker")]
+    required += [F.exists(c, lambda x: x.isNull()) for c, kind in rows.dtypes if kind.startswith("array")]
     broken = required[0]
     for column in required[1:]:
-        broken = broken | column
+        broken = broken | F.coalesce(column, F.lit(True))
     valid = timeparts.is_valid_us(F.col("exchange_timestamp"), as_of_year)
     reason = F.when(broken, "bad_value").when(~valid, "invalid_time")
     marked = rows.withColumn("reject_reason", reason)
