@@ -1,6 +1,10 @@
 import os
+import random
 import time
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -18,6 +22,7 @@ from tidebook.sources.messages import read_table, stream_table
 from tidebook.streaming import book as stream_book
 from tidebook.streaming import commits
 from tidebook.streaming import feed as stream_feed
+from tidebook.streaming.gaps import ranges_of
 from tidebook.streaming.gauges import Gauges
 from test_book import collected, frame, modelled, random_events
 
@@ -448,6 +453,80 @@ def test_stream_books_over_split_batches(spark, tmp_path):
     assert [(r.channel_id, r.seq) for r in stored.where("late").collect()] == [(0, 1)]
 
 
+def test_books_of_many_events_go_out_in_bounded_frames():
+    """One channel of 5000 levels and a long micro-batch; state is written for changed levels only."""
+    state: dict = {}
+    written = []
+
+    class Levels:
+        def exists(self):
+            return bool(state)
+
+        def iterator(self):
+            return iter([(k, (v,)) for k, v in state.items()])
+
+        def updateValue(self, k, v):
+            written.append(k)
+            state[k] = v[0]
+
+        def removeKey(self, k):
+            written.append(k)
+            del state[k]
+
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def clear(self):
+            self.value = None
+
+    book_state = stream_book.BookProcessor(depth=5)
+    book_state.levels, book_state.pending, book_state.place = Levels(), Held(), Held()
+
+    def events(first, n, price):
+        return pd.DataFrame(
+            {
+                "channel_id": 1, "seq": range(first + n - 1, first - 1, -1), "exchange_ts": 7, "recv_us": 8, "kind": "QUOTE", "side": "bid",
+                "update_type": "SOLO", "price_flag": True, "size_flag": True, "price": price, "size": 3, "bid_levels": None, "ask_levels": None,
+            }
+        )
+
+    start = events(0, 5000, [float(p) for p in range(5000)])
+    assert sum(len(f) for f in book_state.handleInputRows((1,), iter([start]), None)) == 5000 and len(state) == 5000
+    written.clear()
+    tracemalloc.start()
+    frames = (events(5000 + k * 10_000, 10_000, float(k)) for k in (3, 1, 0, 2))
+    sizes = [len(f) for f in book_state.handleInputRows((1,), frames, None)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 40_000 and max(sizes) <= stream_book.FRAME_ROWS and peak < 30_000_000
+    assert len(written) == 0 and book_state.place.value == (False, 44_999)  # sizes are as they were
+    list(book_state.handleInputRows((1,), iter([events(50_000, 1, 9.5)]), None))
+    assert written == [("bid", 9.5)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ranges_of_ids_in_any_order(seed):
+    draw = random.Random(seed)
+    ids = draw.sample(range(80), 50)
+    begins = ends = np.zeros(0, np.int64)
+    for k in range(0, 50, 7):
+        begins, ends = ranges_of(np.array(sorted(ids[k : k + 7]), np.int64), begins, ends)
+        seen = sorted(ids[: k + 7])
+        gaps = [(a, b) for a, b in zip(seen, seen[1:]) if b > a + 1]
+        assert list(zip(ends[:-1].tolist(), begins[1:].tolist())) == gaps
+
+
 def test_snapshots_reach_the_table(spark, channels):
     events = random_events(5, 20, (2260885141,), 10, 0.1, 0.0)
     snapshots = book.snapshots(frame(spark, events))

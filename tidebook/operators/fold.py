@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 EVENT_COLUMNS = (
     "channel_id", "seq", "exchange_ts", "recv_us", "kind", "side", "update_type",
     "price_flag", "size_flag", "price", "size", "bid_levels", "ask_levels",
@@ -10,36 +12,44 @@ SIDES = ("bid", "ask")
 
 
 class Book:
-    """Size by price for each side, and the batch being buffered. Sides have no limit."""
+    """Size by price for each side, its prices in order, and the batch being buffered. Sides have no limit."""
 
-    __slots__ = ("sides", "pending", "active")
+    __slots__ = ("sides", "prices", "pending", "active")
 
-    def __init__(self, state: tuple | None = None):
-        bid_prices, bid_sizes, ask_prices, ask_sizes, self.pending, self.active = state or ((), (), (), (), [], False)
-        self.sides = {"bid": dict(zip(bid_prices, bid_sizes)), "ask": dict(zip(ask_prices, ask_sizes))}
-        self.pending, self.active = list(self.pending), bool(self.active)
+    def __init__(self, levels=(), pending=(), active: bool = False):
+        """``levels`` and ``pending`` changes are (side, price, size)."""
+        self._reset()
+        for side, price, size in levels:
+            self.sides[side][price] = size
+        self.prices = {name: sorted(own) for name, own in self.sides.items()}
+        self.pending, self.active = list(pending), bool(active)
 
-    def state(self) -> tuple:
-        bids, asks = self.sides["bid"], self.sides["ask"]
-        return list(bids), list(bids.values()), list(asks), list(asks.values()), list(self.pending), self.active
+    def levels(self) -> dict[tuple[str, float], float]:
+        return {(side, price): size for side, own in self.sides.items() for price, size in own.items()}
 
     def shown(self, depth: int | None = None) -> list[list[float]]:
         """Bid prices and sizes, ask prices and sizes; best level first."""
         out = []
         for name in SIDES:
-            pairs = sorted(self.sides[name].items(), reverse=name == "bid")[:depth]
-            out += [[p for p, _ in pairs], [q for _, q in pairs]]
+            own = self.prices[name]
+            n = len(own) if depth is None else min(depth, len(own))
+            best = own[len(own) - n :][::-1] if name == "bid" else own[:n]
+            out += [best, [self.sides[name][p] for p in best]]
         return out
 
     def put(self, changes) -> None:
         for side, price, size in changes:
+            own, order = self.sides[side], self.prices[side]
             if size and size > 0:
-                self.sides[side][price] = float(size)
-            else:
-                self.sides[side].pop(price, None)
+                if price not in own:
+                    insort(order, price)
+                own[price] = float(size)
+            elif price in own:
+                del own[price], order[bisect_left(order, price)]
 
     def _reset(self) -> None:
         self.sides = {name: {} for name in SIDES}
+        self.prices = {name: [] for name in SIDES}
 
     def step(self, kind, side, update_type, price_flag, size_flag, price, size, bid_levels, ask_levels) -> bool:
         """Apply one event; True when a snapshot is due."""

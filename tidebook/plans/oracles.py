@@ -478,3 +478,4 @@ SELECT channel_id, trade_id, previous_id, trade_id - previous_id - 1 AS gap FROM
 WHERE trade_id - previous_id - 1 > 0""",
 }
 ORACLES["partition_bounds"] = ORACLES["partition_bounds"].replace(")\n\n, r AS", "),\nr AS")
+ORACLES["stream_gaps"] = ORACLES["sequence_gaps"]

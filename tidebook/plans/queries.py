@@ -21,6 +21,7 @@ from tidebook.sources.messages import stream_table
 from tidebook.streaming import book as stream_book
 from tidebook.streaming import commits
 from tidebook.streaming import feed as stream_feed
+from tidebook.streaming import gaps as stream_gap_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -474,9 +475,14 @@ def book_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_book_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of a stream of three micro-batches, each as large as the files that one takes."""
     source, out = scratch(spark, "book_events"), scratch(spark, "snapshots")
-    _book_events(spark, sf_dir).write.parquet(source)
-    snapshots = stream_book.stream_snapshots(stream_table(spark, "book_events", source))
+    events, files = _book_events(spark, sf_dir), 4
+    cuts = events.select(F.percentile_approx("seq", [1 / 3, 2 / 3])).first()[0] or [0, 0]
+    part = F.when(F.col("seq") <= cuts[0], 0).when(F.col("seq") <= cuts[1], 1).otherwise(2)
+    for k in range(3):  # one after the other, as a stream takes files by age
+        events.where(part == k).repartition(files).write.mode("append").parquet(source)
+    snapshots = stream_book.stream_snapshots(stream_table(spark, "book_events", source, max_files=files))
     run = (
         snapshots.writeStream.format("parquet")
         .option("path", out)
@@ -648,6 +654,20 @@ def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.select("channel_id", "trade_id", "previous_id", "gap")
 
 
+@query
+def stream_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of a stream whose events of type view come last: they fill some gaps and split others."""
+    source, out = scratch(spark, "ids"), scratch(spark, "gaps")
+    events = adapter.ticks(spark, sf_dir)
+    ids = events.select(F.col("user_id").alias("channel_id"), F.col("event_id").alias("trade_id"), "event_type")
+    for late in (False, True):
+        ids.where((F.col("event_type") == "view") == late).drop("event_type").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("channel_id BIGINT, trade_id BIGINT").option("maxFilesPerTrigger", 1).parquet(source)
+    run = stream_gap_log.stream_gaps(stream).writeStream.format("parquet").option("path", out)
+    run.option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return stream_gap_log.open_gaps(spark.read.schema(stream_gap_log.OUTPUT).parquet(out))
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> stream_feed.Outputs:
     raw, channels = _spot_records(spark, sf_dir)
     source = scratch(spark, "raw_feed")

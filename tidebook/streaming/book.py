@@ -1,15 +1,17 @@
-"""Order books of a stream: one keyed state per channel.
+"""Order books of a stream: levels as keyed state.
 
-State holds both sides, the batch being buffered and the last ``seq``, so a batch may straddle micro-batches.
-Rows of a micro-batch are put in ``seq`` order; a row at or below the last ``seq`` is late and is returned
-unapplied with ``late = true``. A channel's share of one micro-batch is handled by one task, so bound the
-micro-batch at the source; for bulk history use the batch form, which spreads a channel over tasks.
+State holds one entry for each level of a channel, so a micro-batch writes only the levels it changed; beside them the
+changes of the batch being buffered (which may straddle micro-batches) and the last ``seq``. A channel's rows of a
+micro-batch are put in ``seq`` order as columns of numbers, stepped through one by one, and what is shown goes out in
+frames of bounded size. A row at or below the last ``seq`` is late and is returned unapplied with ``late = true``. For
+bulk history use the batch form, which spreads a channel over tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -19,11 +21,42 @@ from tidebook.operators.fold import EVENT_COLUMNS, Book
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = schemas.SNAPSHOTS + ", late BOOLEAN"
-_STATE = (
-    "bid_prices ARRAY<DOUBLE>, bid_sizes ARRAY<DOUBLE>, ask_prices ARRAY<DOUBLE>, ask_sizes ARRAY<DOUBLE>, "
-    "pending_sides ARRAY<STRING>, pending_prices ARRAY<DOUBLE>, pending_sizes ARRAY<DOUBLE>, "
-    "active BOOLEAN, last_seq BIGINT"
-)
+NAMES = [f.split()[0] for f in OUTPUT.split(", ")]
+#: Snapshots, and levels in them, of one frame that goes out.
+FRAME_ROWS, FRAME_LEVELS = 2_000, 100_000
+_LEVEL = "side STRING, price DOUBLE, size DOUBLE"
+
+
+class Events:
+    """Rows of a channel as columns of numbers: texts by their code, lists of levels only where there are some."""
+
+    def __init__(self, frames: Iterator[pd.DataFrame]):
+        self.codes: dict[str, int] = {}
+        self.levels: dict[int, tuple] = {}
+        parts: list[list[np.ndarray]] = []
+        n = 0
+        for frame in frames:
+            parts.append([self._numbers(frame[c]) for c in EVENT_COLUMNS[1:11]])
+            with_levels = np.flatnonzero(frame["bid_levels"].notna() | frame["ask_levels"].notna())
+            for k in with_levels.tolist():
+                self.levels[n + k] = tuple(None if x is None else list(x) for x in (frame["bid_levels"].iloc[k], frame["ask_levels"].iloc[k]))
+            n += len(frame)
+        self.columns = [np.concatenate(c) for c in zip(*parts)]
+        self.texts = {code: text for text, code in self.codes.items()}
+
+    def _numbers(self, column: pd.Series) -> np.ndarray:
+        if column.dtype == object and len(column) and isinstance(column.iloc[0], str):
+            return np.fromiter((self.codes.setdefault(x, len(self.codes)) for x in column), np.int16, len(column))
+        return column.to_numpy(np.float64, na_value=np.nan) if column.dtype == object else column.to_numpy()
+
+    def in_order(self) -> Iterator[tuple]:
+        """(seq, exchange_ts, recv_us) and what a book takes of the event, by ``seq``."""
+        seq, ts, recv, kind, side, mark, has_price, has_size, price, size = self.columns
+        for k in np.argsort(seq, kind="stable").tolist():
+            bids, asks = self.levels.get(k, (None, None))
+            names = (self.texts[int(kind[k])], self.texts.get(int(side[k])), self.texts.get(int(mark[k])))
+            stamp = None if np.isnan(ts[k]) else int(ts[k])
+            yield (int(seq[k]), stamp, int(recv[k])), (*names, bool(has_price[k]), bool(has_size[k]), float(price[k]), float(size[k]), bids, asks)
 
 
 class BookProcessor(StatefulProcessor):
@@ -31,41 +64,53 @@ class BookProcessor(StatefulProcessor):
         self.depth = depth
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("book", _STATE)
+        self.levels = handle.getMapState("levels", "side STRING, price DOUBLE", "size DOUBLE")
+        self.pending = handle.getListState("pending", _LEVEL)
+        self.place = handle.getValueState("place", "active BOOLEAN, last_seq BIGINT")
 
     def _load(self) -> tuple[Book, int]:
-        if not self.saved.exists():
+        if not self.place.exists():
             return Book(), -(2**63)
-        bp, bs, ap, as_, sides, prices, sizes, active, last_seq = self.saved.get()
-        pending = list(zip(sides, prices, sizes))
-        return Book((bp, bs, ap, as_, pending, active)), last_seq
+        active, last_seq = self.place.get()
+        levels = ((side, price, size) for (side, price), (size,) in self.levels.iterator()) if self.levels.exists() else ()
+        pending = map(tuple, self.pending.get()) if self.pending.exists() else ()
+        return Book(levels, pending, active), last_seq
 
-    def _save(self, book: Book, last_seq: int) -> None:
-        bp, bs, ap, as_, pending, active = book.state()
-        columns = [list(c) for c in zip(*pending)] if pending else [[], [], []]
-        self.saved.update((bp, bs, ap, as_, *columns, active, int(last_seq)))
+    def _save(self, book: Book, last_seq: int, before: dict, waited: list) -> None:
+        after = book.levels()
+        for level in before.keys() - after.keys():
+            self.levels.removeKey(level)
+        for level, size in after.items():
+            if before.get(level) != size:
+                self.levels.updateValue(level, (float(size),))
+        if book.pending != waited:
+            own = [(side, float(price), float(size or 0)) for side, price, size in book.pending]
+            self.pending.put(own) if own else self.pending.clear()
+        self.place.update((book.active, int(last_seq)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         book, last_seq = self._load()
-        frame = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        out = []
-        for event in zip(*[frame[c] for c in EVENT_COLUMNS]):
-            channel, seq, ts, recv = (int(v) for v in event[:4])
+        before, waited = book.levels(), list(book.pending)
+        channel = int(key[0])
+        out, held = [], 0
+        for (seq, ts, recv), event in Events(rows).in_order():
             late = seq <= last_seq
             if not late:
                 last_seq = seq
-                sides = [None if s is None else list(s) for s in event[11:]]
-                if not book.step(*event[4:11], *sides):
+                if not book.step(*event):
                     continue
                 shown = book.snapshot_time(ts, recv)
                 if shown is None:
                     continue
             arrays = [[], [], [], []] if late else book.shown(self.depth)
-            out.append((channel, seq, ts if late else shown, recv, 0, *arrays, late))
-        self._save(book, last_seq)
+            out.append((channel, seq, (ts or 0) if late else shown, recv, 0, *arrays, late))
+            held += len(arrays[0]) + len(arrays[2])
+            if len(out) >= FRAME_ROWS or held >= FRAME_LEVELS:
+                yield pd.DataFrame(out, columns=NAMES)
+                out, held = [], 0
+        self._save(book, last_seq, before, waited)
         if out:
-            names = [f.split()[0] for f in OUTPUT.split(", ")]
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=NAMES)
 
     def close(self) -> None:
         pass
