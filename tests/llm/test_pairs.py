@@ -98,6 +98,27 @@ def test_clusters(spark, seed):
     assert got == want
 
 
+def test_an_id_with_a_copy_and_another_text_keeps_its_links(spark):
+    draw = random.Random(9)
+    a, b = ([f"v{draw.randint(0, 10**6)}" for _ in range(40)] for _ in range(2))
+    docs = [(3, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*b[:-1], "other"])), (8, " ".join(b[:20]))]
+    got = jaccard_join.clusters(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 8)]
+
+
+def test_shingle_sets(monkeypatch):
+    draw = random.Random(4)
+    texts = ["", None, " \t", "a", "A b", "a  b", "a b c d e", "A B C D E f", "\ud800 x", "é É z"]
+    texts += [" ".join(draw.choice("ab") for _ in range(draw.randint(1, 30))) for _ in range(200)]
+    plain = [own[0] for own in plain_sets(list(enumerate(texts))).values()]
+    for held in (jaccard_join.HASHED, 40, 3):
+        monkeypatch.setattr(jaccard_join, "HASHED", held)
+        got, seen = jaccard_join.shingle_sets(texts), {}
+        assert [len(g) for g in got] == [len(p) for p in plain]
+        assert all(seen.setdefault(p, g.tobytes()) == g.tobytes() for p, g in zip(plain, got, strict=True))
+        assert len(set(seen.values())) == len(seen)
+
+
 def test_clusters_of_nothing(spark):
     assert jaccard_join.clusters(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -130,19 +151,19 @@ def test_op7(spark):
 
 
 def plain_links(rows):
-    ids, classes, count = [r[0] for r in rows], Classes(), defaultdict(int)
-    good, dim = {}, len(rows[0][1])
-    for i, v, label in rows:
-        if i is not None and v and len(v) == dim and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            good[i] = (np.array(v, float) / np.linalg.norm(np.array(v, float)), label)
+    """Every row is a vector; classes go by the least id that rows reach."""
+    classes, count, good = Classes(), defaultdict(int), {}
+    for k, (i, v, label) in enumerate(rows):
+        if i is not None and v and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            good[(i, k)] = (np.array(v, float) / np.linalg.norm(np.array(v, float)), label)
     names = sorted(good)
     for x, i in enumerate(names):
         for j in names[:x]:
-            if good[i][1] == good[j][1] and good[i][0] @ good[j][0] >= 0.93:
+            if good[i][1] == good[j][1] and len(good[i][0]) == len(good[j][0]) and good[i][0] @ good[j][0] >= 0.93:
                 classes.join(i, j)
                 count[i] += 1
                 count[j] += 1
-    return sorted((i, count[i], classes.top(i)) for i in ids if i is not None)
+    return sorted((i, count[(i, k)], classes.top((i, k))[0]) for k, (i, _, _) in enumerate(rows) if i is not None)
 
 
 def vectors(seed, n=500, dim=8):
@@ -230,7 +251,16 @@ def test_copies_count_as_links_of_others(spark):
     rows = [(k, [1.0, 0.0], 0) for k in range(5)] + [(9, [1.0, 0.1], 0), (3, [1.0, 0.0], None), (8, [1.0, 0.0], 1), (7, [-0.0, 1.0], 1), (6, [0.0, 1.0], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = sorted({(r.vec_id, r.n_links, r.component_id) for r in multi_index.near_duplicates(frame, recall=1.0).collect()})
-    assert got == [*((k, 5, 0) for k in range(5)), (6, 1, 6), (7, 1, 6), (8, 0, 8), (9, 5, 0)]
+    assert got == sorted([*((k, 5, 0) for k in range(5)), (3, 0, 3), (6, 1, 6), (7, 1, 6), (8, 0, 8), (9, 5, 0)])
+
+
+def test_every_length_and_every_row_of_an_id_links(spark):
+    rows = [(k, [1.0, float(k), 0.5], 0) for k in range(60)]
+    rows += [(100, [1.0, 2.0, 3.0, 4.0], 0), (101, [2.0, 4.0, 6.0, 8.0], 0), (102, [5.0], 0), (103, [2.0], 0), (104, [-2.0], 0)]
+    rows += [(200, [0.0, 0.0, 1.0], 1), (200, [1.0, 0.0, 0.0], 1), (201, [3.0, 0.0, 0.0], 1), (202, [0.0, 0.0, 7.0], 1), (200, [0.0, 0.0, 1.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = [(r.vec_id, r.n_links, r.component_id) for r in multi_index.near_duplicates(frame, recall=1.0).collect()]
+    assert sorted(got) == plain_links(rows)
 
 
 # WARC
@@ -284,6 +314,31 @@ def test_records_without_partners(spark, tmp_path):
     assert warc.assemble(records.where("record_type = 'request'")).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("uri", "want"),
+    [
+        ("http://a.b/c?d#e", ("a.b", "/c?d")),
+        ("http://a.b?d", ("a.b", "/?d")),
+        ("https://a.b", ("a.b", "/")),
+        ("//a/b", ("a", "/b")),
+        ("http://[abc/", ("[abc", "/")),
+        ("http://[x]/", ("[x]", "/")),
+        ("http://a]b/", ("a]b", "/")),
+        ("", ("", "/")),
+        ("#", ("", "/")),
+    ],
+)
+def test_request_of_any_uri(uri, want):
+    assert warc.host_and_target(uri) == want
+
+
+def test_captures_of_malformed_uris(spark, tmp_path):
+    rows = [(k, u, f"<p>{k}</p>") for k, u in enumerate(["http://[abc/", "http://[x]/", "http://a]b/", "\r\n: x", "", None])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.assemble(warc.read(warc.write(frame, str(tmp_path / "odd")))).collect()
+    assert len(found) == 6 and all(r.request and r.metadata and r.record_type == "response" for r in found)
+
+
 def test_broken_archives_are_errors():
     import io
 
@@ -351,6 +406,15 @@ def test_pipeline(spark):
     assert all(r.n_tokens == len(r.ids) and set(r.text.split("\n")) <= set(texts[i].split("\n")) for i, r in got.items())
 
 
+def test_one_row_stays_of_an_id_with_several_texts(spark):
+    long = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, "b " + long, "x"), (1, "a " + long, "z"), (1, "a " + long, "y"), (2, "c " + long, "x"), (None, long, "x"), (None, long, "x")]
+    for shuffled in (rows, rows[::-1]):
+        docs = spark.createDataFrame(shuffled, "doc_id long, text string, source string")
+        got = corpus_pipeline.jaccard_stage(spark, docs, SF_DIR).collect()
+        assert sorted((r.doc_id or 0, r.text[:1], r.source) for r in got) == [(0, "w", "x"), (0, "w", "x"), (1, "a", "y")]
+
+
 def test_stages(spark):
     base = " ".join(f"word{k}" for k in range(80))
     rows = [

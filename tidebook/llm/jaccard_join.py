@@ -22,6 +22,7 @@ result; other columns don't matter.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm.components import components, kept
+from tidebook.llm.frames import small_batches, tidied
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -47,17 +49,11 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-HASHES = WordHashes()
+#: Bytes of text that are hashed together; a longer text is hashed by itself.
+HASHED = 1 << 21
+#: What each byte stands for in a word's hash, and what its place in the word does.
+BYTES = np.random.default_rng(17).integers(1, 1 << 63, 256, np.uint64)
+PLACE = np.uint64(0xD1342543DE82EF95)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -66,18 +62,77 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Hashes of the distinct shingles, sorted. Words are runs without ASCII white space, A to Z lower-cased; fewer
-    words than ``size`` are one shingle."""
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - size + 1)
-    whole = np.full(n, np.uint64(min(size, len(h))), np.uint64)
-    for k in range(min(size, len(h))):
-        whole = whole * ODD + h[k : k + n]
-    return np.unique(mixed(whole))
+def is_space(row: np.ndarray) -> np.ndarray:
+    return (row == 32) | ((row >= 9) & (row <= 13))
+
+
+def word_hashes(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a row of bytes begin, and 64-bit hashes of them: bytes by their places, added up and mixed.
+    Words are runs without ASCII white space. Long rows are cut at the next space after so many bytes."""
+    found, begin = [], 0
+    while begin < len(row) or not found:
+        end = min(begin + HASHED, len(row))
+        while end < len(row):
+            near = np.flatnonzero(is_space(row[end : end + ROW]))
+            end = min(end + (int(near[0]) if len(near) else ROW), len(row))
+            if len(near):
+                break
+        begins, h = _word_hashes(row[begin:end])
+        found.append((begins + begin, h))
+        begin = max(end, 1)
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _word_hashes(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    space = is_space(row)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
+    begins, ends = edges[::2], edges[1::2]
+    if not len(begins):
+        return begins, np.zeros(0, np.uint64)
+    sizes = ends - begins
+    own = np.flatnonzero(~space)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(own)) - np.repeat(first, sizes)
+    powers = np.cumprod(np.full(int(sizes.max()), PLACE))
+    return begins, mixed(np.add.reduceat(BYTES[row[own]] * powers[place], first) + sizes.astype(np.uint64))
+
+
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the hashes of its distinct shingles, sorted. A to Z are lower-cased; fewer words than ``size`` are
+    one shingle."""
+    out: list[np.ndarray] = []
+    coded: list[bytes] = []
+    held = 0
+    for k, text in enumerate(texts):
+        coded.append((text or "").encode("utf-8", "surrogatepass"))
+        held += len(coded[-1])
+        if held >= HASHED or k == len(texts) - 1:
+            out += _sets(coded, size)
+            coded, held = [], 0
+    return out
+
+
+def _sets(coded: list[bytes], size: int) -> list[np.ndarray]:
+    row = np.frombuffer(b"\n".join(coded).translate(LOWER), np.uint8)
+    begins, h = word_hashes(row)
+    text_begins = np.cumsum([0, *(len(c) + 1 for c in coded)])
+    cuts = np.searchsorted(begins, text_begins).tolist()
+    whole = np.full(max(0, len(h) - size + 1), np.uint64(size), np.uint64)
+    for k in range(size):
+        whole = whole * ODD + h[k : k + len(whole)]
+    whole = mixed(whole)
+    out = []
+    for begin, end in pairwise(cuts):
+        if end - begin >= size:
+            out.append(np.unique(whole[begin : end - size + 1]))
+        elif end == begin:
+            out.append(np.zeros(0, np.uint64))
+        else:
+            short = np.full(1, np.uint64(end - begin), np.uint64)
+            for k in range(begin, end):
+                short = short * ODD + h[k]
+            out.append(mixed(short))
+    return out
 
 
 def least(n, threshold: int = THRESHOLD, of: int = 100):
@@ -115,6 +170,10 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[p
             yield batch.slice(begin, rows)
 
 
+def set_mark(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
 def slots(hashes: np.ndarray, width: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
 
@@ -126,10 +185,10 @@ def survey(docs: DataFrame, size: int, width: int = WIDTH) -> tuple[DataFrame, n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
         for batch in in_slices(batches):
-            sets = [shingles(t or "", size) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1).to_pylist(), size)
             total += np.bincount(slots(np.concatenate([*sets, np.zeros(0, np.uint64)]), width), minlength=width)
             n = pa.array(list(map(len, sets)), pa.int64())
-            marks = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            marks = pa.array([set_mark(s) for s in sets], pa.binary())
             none = [pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), n, marks, *none], names=names)
         for slot, own in enumerate(total.reshape(-1, ROW)):
@@ -138,7 +197,7 @@ def survey(docs: DataFrame, size: int, width: int = WIDTH) -> tuple[DataFrame, n
                 yield pa.RecordBatch.from_arrays([*none, *table_row(slot, own).columns], names=names)
 
     names = ["doc_id", "n", "mark", "slot", "held"]
-    both = kept(docs.mapInArrow(run, "doc_id long, n long, mark binary, slot int, held array<long>"), "survey")
+    both = kept(docs.mapInArrow(tidied(run), "doc_id long, n long, mark binary, slot int, held array<long>"), "survey")
     table = _added_up(both.where("slot is not null").select("slot", "held"), width, np.add, "int64")
     return both.where("slot is null").select("doc_id", "n", "mark"), np.minimum(table, 2**31 - 1).astype(np.int32)
 
@@ -154,21 +213,21 @@ def levels(freq: np.ndarray, first: int, most: int, n: int) -> int:
 
 def prefixes(docs: DataFrame, table, marked, size: int, threshold: int, most: int) -> DataFrame:
     """doc_id, n, level, the prefix of level ``most``, some entries of it for the first round (``pilot``), how many
-    entries nobody else seems to have (``rare``), and whether ``marked`` may hold the document (``maybe``), for every
-    document with words."""
+    entries nobody else seems to have (``rare``), and the fingerprint of the set if ``marked`` may hold the document
+    (``mark``), for every document with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot_counts = table.value
         usual = int(np.median(slot_counts))
         often = usual + 4 * int(np.sqrt(usual)) + 1
         for batch in in_slices(batches):
-            ids, n, level, rare, prefix, pilot, maybe = [], [], [], [], [], [], []
+            ids, n, level, rare, prefix, pilot, mark = [], [], [], [], [], [], []
             held = in_table(marked.value, batch.column(2)).tolist()
-            for doc_id, text, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), held, strict=True):
-                own = shingles(text or "", size)
+            sets = shingle_sets(batch.column(1).to_pylist(), size)
+            for doc_id, own, known in zip(batch.column(0).to_pylist(), sets, held, strict=True):
                 if not len(own):
                     continue
-                maybe.append(known)
+                mark.append(set_mark(own) if known else None)
                 freq = slot_counts[slots(own, len(slot_counts))]
                 order = np.argsort(freq, kind="stable")
                 own, freq = own[order], freq[order]
@@ -183,12 +242,12 @@ def prefixes(docs: DataFrame, table, marked, size: int, threshold: int, most: in
                 common = prefix[-1][rare[-1] :]
                 pilot.append(np.sort(common if len(common) else prefix[-1])[:PILOT])
             columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(level, pa.int32()), pa.array(rare, pa.int32())]
-            columns += [lists_of(prefix), lists_of(pilot), pa.array(maybe, pa.bool_())]
+            columns += [lists_of(prefix), lists_of(pilot), pa.array(mark, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["doc_id", "n", "level", "rare", "prefix", "pilot", "maybe"]
-    schema = "doc_id long, n long, level int, rare int, prefix array<long>, pilot array<long>, maybe boolean"
-    return docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, schema)
+    names = ["doc_id", "n", "level", "rare", "prefix", "pilot", "mark"]
+    schema = "doc_id long, n long, level int, rare int, prefix array<long>, pilot array<long>, mark binary"
+    return docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(tidied(run), schema)
 
 
 def lists_of(parts: list[np.ndarray]) -> pa.ListArray:
@@ -228,7 +287,7 @@ def _members(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["doc_id", "text"]).filter(known)
 
     known = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id"))
-    return known.mapInArrow(among, "doc_id long, text string")
+    return known.mapInArrow(tidied(among), "doc_id long, text string")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
@@ -238,18 +297,20 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> Da
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sets = None, (None, None)
         for batch in in_slices(batches, 200):
             keep = []
-            for text_a, text_b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                y = sets[1] if text_b == last else shingles(text_b or "", size)
-                last, sets = text_b, (None, y)
-                x = shingles(text_a or "", size)
-                common = len(x) + len(y) - len(np.union1d(x, y))
+            texts = batch.column(3).to_pylist()
+            new = [k for k, t in enumerate(texts) if not k or t != texts[k - 1]]  # pairs of one partner come together
+            partners = shingle_sets([texts[k] for k in new], size)
+            at = np.cumsum(np.isin(np.arange(len(texts)), new)) - 1
+            for x, which in zip(shingle_sets(batch.column(2).to_pylist(), size), at.tolist(), strict=True):
+                y = partners[which]
+                both = np.sort(np.concatenate([x, y]))
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(common > 0 and 100 * common >= threshold * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def _entries(sets: DataFrame) -> DataFrame:
@@ -262,11 +323,14 @@ def links(
 ) -> DataFrame:
     """Verified links (a, b) that connect all documents which similarity connects, one document for each set."""
     table = docs.sparkSession.sparkContext.broadcast(counts)
-    copies = kept(members.where("doc_id <> rep").select("doc_id").distinct(), "copies")
-    marked = docs.sparkSession.sparkContext.broadcast(marked_ids(copies))
+    copies = kept(members.where("doc_id <> rep").select("doc_id", "mark").distinct(), "copies")
+    marked = docs.sparkSession.sparkContext.broadcast(marked_ids(copies.select("doc_id")))
     sets = kept(prefixes(docs.where("doc_id is not null"), table, marked, size, threshold, most), "prefixes")
-    some = sets.where("maybe").join(copies, "doc_id", "left_anti")
-    sets = sets.where("not maybe").unionByName(some).drop("maybe")
+    table.unpersist()
+    marked.unpersist()
+    # An id may stand for several texts; only those that are copies of another id's are left out.
+    some = sets.where("mark is not null").join(copies, ["doc_id", "mark"], "left_anti")
+    sets = sets.where("mark is null").unionByName(some).drop("mark")
 
     pilot = sets.select("doc_id", "rare", F.explode("pilot").alias("token"))
     hub = F.min(F.struct("rare", "doc_id"))["doc_id"].alias("b")
@@ -301,6 +365,7 @@ def clusters(
     docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, most: int = LEVELS, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, and component_id, the smallest doc_id reachable by links, for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     marked, counts = survey(docs, size)
     reps = marked.where("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep"))
