@@ -31,10 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidebook.llm.frames import tidied
 from tidebook.llm.words import PATTERN, Encoder, in_parts, splitter
 
 LENGTH = 1024
 BATCH = 256
+#: Words that a worker remembers.
+REMEMBERED = 500_000
 MANIFEST = "shard int, path string, n_docs long, n_ids long, n_sequences long"
 
 
@@ -46,7 +49,7 @@ class WholeTexts(Encoder):
         def solve(new: list[str]) -> list[list[int]]:
             return [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
-        super().__init__(splitter(PATTERN), solve)
+        super().__init__(splitter(PATTERN), solve, REMEMBERED)
         added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added)) if added else None
 
@@ -217,7 +220,7 @@ def write(
 
     rows = frame.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     key = ["doc_id", F.xxhash64("text")]
-    manifest = rows.repartitionByRange(n, *key).sortWithinPartitions(*key).mapInArrow(run, MANIFEST)
+    manifest = rows.repartitionByRange(n, *key).sortWithinPartitions(*key).mapInArrow(tidied(run), MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -236,7 +239,7 @@ def documents(manifest: DataFrame) -> DataFrame:
                 yield from read_shard(path, base)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return placed.select("path", "base").repartition(n).mapInArrow(run, schema)
+    return placed.select("path", "base").repartition(n).mapInArrow(tidied(run), schema)
 
 
 def read_shard(path: str, base: int) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,10 @@ import regex
 #: The pattern that byte-level tokenizers of this family split texts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words that a worker remembers; beyond it the memory starts anew, so it is bounded on any corpus.
+#: Words that a worker remembers, and their characters on average at most. Beyond either, those used most often since they
+#: came stay, half as many at most, so the memory is bounded on any corpus.
 REMEMBERED = 300_000
+WORD_CHARS = 16
 #: Characters of text that are looked up together.
 LOOKUP_CHARS = 2_000_000
 
@@ -73,24 +75,44 @@ class Encoder:
     def forget(self) -> None:
         self.numbers = Numbers()
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.uses, self.chars = np.zeros(0, np.int64), 0
+
+    def _thin_out(self) -> None:
+        """Keeps the words used most often, older uses counting half."""
+        order = np.argsort(-self.uses, kind="stable")[: self.most // 2]
+        words = list(self.numbers)
+        sizes = np.fromiter((len(words[k]) for k in order.tolist()), np.int64, len(order))
+        fits = (self.uses[order] > 1) & (np.cumsum(sizes) <= self.most // 2 * WORD_CHARS)
+        order = np.sort(order[fits])
+        own = np.diff(self.starts)[order]
+        ends = np.cumsum(own)
+        flat = self.flat[np.repeat(self.starts[order] - (ends - own), own) + np.arange(int(own.sum()))]
+        self.numbers = Numbers(zip((words[k] for k in order.tolist()), range(len(order)), strict=True))
+        self.starts, self.flat = np.concatenate([[0], ends]), flat
+        self.uses, self.chars = self.uses[order] >> 1, int(sizes[fits].sum())
 
     def _solve_new(self) -> None:
         known = len(self.starts) - 1
         if len(self.numbers) == known:
             return
-        found = self.solve(list(self.numbers)[known:])
+        new = list(islice(self.numbers, known, None))
+        found = self.solve(new)
+        self.chars += sum(map(len, new))
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + self.starts[-1]
         flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1] - self.starts[-1]))
         self.starts, self.flat = np.concatenate([self.starts, ends]), np.concatenate([self.flat, flat])
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids in order."""
-        if len(self.numbers) > self.most:
-            self.forget()
+        if len(self.numbers) > self.most or self.chars > self.most * WORD_CHARS:
+            self._thin_out()
         cut = [list(map(self.numbers.__getitem__, self.split(t))) for t in texts]
         self._solve_new()
         words = np.fromiter(map(len, cut), np.int64, len(cut))
         used = np.fromiter(chain.from_iterable(cut), np.int64, int(words.sum()))
+        uses = np.bincount(used, minlength=len(self.numbers))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         begin = self.starts[used]
         sizes = self.starts[used + 1] - begin
         ends = np.cumsum(sizes)
