@@ -80,6 +80,15 @@ def test_encode_and_decode(spark, library):
     assert bpe.decode(bpe.encode(frame.limit(0), RANKS, words.PATTERN), RANKS).collect() == []
 
 
+def test_encode_and_decode_in_one_pass(spark):
+    rows = [(k, t) for k, t in enumerate([None, "", *random_texts(40)])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    both = bpe.encode(frame, RANKS, public_tokenizers.PATTERN, decoded="text")
+    got = {r.doc_id: (r.ids, bytes(r.text)) for r in both.collect()}
+    ids = {r.doc_id: r.ids for r in bpe.encode(frame, RANKS, public_tokenizers.PATTERN).collect()}
+    assert got == {k: (ids[k], (t or "").encode("utf-8", "surrogatepass")) for k, t in rows}
+
+
 def test_small_memory_gives_the_same(library):
     with open(RANKS, "rb") as f:
         replay = bpe.Replay(bpe.ranks_of(f.read()))

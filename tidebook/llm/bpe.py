@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidebook.llm.frames import replaced, with_field
+from tidebook.llm.frames import replaced, small_batches, tidied, with_field
 from tidebook.llm.words import Encoder, in_parts, list_array, splitter
 
 #: Bytes of new words in one replay.
 REPLAY_BYTES = 1 << 21
+#: Words that a worker remembers.
+REMEMBERED = 200_000
 #: Pairs of tokens whose merge is remembered.
 PAIRS = 60_000
 #: Ids that are decoded together.
@@ -174,7 +176,7 @@ class Replay:
 def encoder(content: bytes, pattern: str) -> Encoder:
     """One for each worker process."""
     replay = Replay(ranks_of(content))
-    return Encoder(splitter(pattern), lambda new: replay.encode([w.encode() for w in new]))
+    return Encoder(splitter(pattern), lambda new: replay.encode([w.encode() for w in new]), REMEMBERED)
 
 
 class TokenBytes:
@@ -201,22 +203,29 @@ class TokenBytes:
         return pa.array([None if n else row[a:b] for n, (a, b) in zip(null, pairwise(upto), strict=True)], pa.binary())
 
 
-def encode(frame: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``frame`` with the ids of each text, an array of int. The rank file is read once, by the driver; its size is
-    that of a vocabulary, whatever the tables hold."""
+def encode(
+    frame: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """``frame`` with the ids of each text, an array of int; with ``decoded``, also with the bytes that the ids stand for,
+    made by the same worker. The rank file is read once, by the driver; its size is that of a vocabulary, whatever the
+    tables hold."""
+    small_batches(frame.sparkSession)
     with open(ranks_path, "rb") as f:
         content = frame.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(content.value, pattern)
+        table = TokenBytes(ranks_of(content.value)) if decoded else None
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
             for begin, end in in_parts(texts):
                 found = list_array(*own.encode(texts[begin:end]))
-                yield replaced(batch.slice(begin, end - begin), ids, found)
+                rows = replaced(batch.slice(begin, end - begin), ids, found)
+                yield rows if table is None else replaced(rows, decoded, table.decode(found))
         own.forget()  # workers outlive tasks; what comes next in them may need the memory
 
-    return frame.mapInArrow(run, with_field(frame.schema, ids, T.ArrayType(T.IntegerType())))
+    schema = with_field(frame.schema, ids, T.ArrayType(T.IntegerType()))
+    return frame.mapInArrow(tidied(run), with_field(schema, decoded, T.BinaryType()) if decoded else schema)
 
 
 def decode(frame: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -234,4 +243,4 @@ def decode(frame: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "
                 rows = batch.slice(begin, end - begin)
                 yield replaced(rows, decoded, table.decode(rows.column(ids)))
 
-    return frame.mapInArrow(run, with_field(frame.schema, decoded, T.BinaryType()))
+    return frame.mapInArrow(tidied(run), with_field(frame.schema, decoded, T.BinaryType()))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebook.llm.components import kept
-from tidebook.llm.frames import replaced, with_field
+from tidebook.llm.frames import replaced, small_batches, tidied, with_field
 from tidebook.llm.words import in_parts
 
 WINDOW = 10
@@ -197,7 +197,7 @@ def _counts(docs: DataFrame, text: str, index) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["token", "n"])
 
-    counted = docs.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(tidied(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     total = np.zeros(index.value.n_tokens, np.int64)
     for row in counted.collect():  # at most a row for each token of the block
         total[row.token] = row.n
@@ -216,6 +216,7 @@ def contamination(
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (ranges of words inside occurring windows, ends exclusive, merged) and
     ``items`` (ids, as sorted strings, of the items with occurring windows)."""
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     out = docs
     parts = [docs]
@@ -259,4 +260,4 @@ def _joined(docs: DataFrame, text: str, index, more: bool) -> DataFrame:
     schema = docs.schema
     for name, kind in (("n_words", T.LongType()), ("hits", HITS), ("items", ITEMS)):
         schema = with_field(schema, name, kind)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)

@@ -8,8 +8,9 @@ is asked; below the empty context every byte costs 8 bits. Contexts never seen c
 The language with the shortest code wins; the score is its share if all languages were equally likely beforehand.
 
 Training reads a sample of labelled documents: ``TRAIN_BYTES`` of text in all, the same share for each language, drawn
-by a hash of the id, so the trees are bounded however large the corpus. Counting is a Spark job; only the counts of the
-sample come to the driver. Scoring reads whole texts, and nothing is shuffled.
+in pieces of ``PIECE`` characters by a hash of the id and the piece's number, and at least one piece for each language. So
+the trees are bounded however large the corpus or one of its texts. Counting is a Spark job; only the counts of the sample
+come to the driver. Scoring reads whole texts, and nothing is shuffled.
 
 Rows: null text, or text without a letter, is ``und`` with score 0 and no bits; a null label is not learned from;
 ties go to the first language in alphabetical order; repeated rows are scored each (and learned each); without any
@@ -24,17 +25,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.frames import replaced, with_field
+from tidebook.llm.frames import replaced, small_batches, tidied, with_field
 from tidebook.llm.words import in_parts
 
 ORDER = 3
 TRAIN_BYTES = 8_000_000
+PIECE = 8192
+DRAWS = 1 << 40
 #: What stands before a text.
 BEFORE = b"\n" * ORDER
+#: Characters of text that are scored together.
+SCORED_CHARS = 500_000
 #: Byte sequences whose costs a worker remembers.
 REMEMBERED = 500_000
 UNKNOWN = "und"
@@ -123,26 +128,34 @@ class Model:
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train_bytes: int = TRAIN_BYTES) -> Model:
     """Learns from documents with a label; ``doc_id`` only draws the sample."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), doc_id).alias("draw"))
-    totals = {r.lang: r.bytes for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("id"), F.octet_length(text).alias("bytes"))
+
+    def draw(piece: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit("sample"), "id", piece), F.lit(DRAWS))
+
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / PIECE).cast("int") - 1, F.lit(0)))
+    totals = rows.groupBy("lang").agg(F.sum("bytes").alias("bytes"), F.min(F.array_min(F.transform(pieces, draw))).alias("least")).collect()
     share = train_bytes / max(1, len(totals))
-    draws = [F.when(F.col("lang") == x, F.lit(min(1.0, share / max(1, n)))) for x, n in totals.items()]
-    rate = F.coalesce(*draws, F.lit(0.0))
-    sample = rows.where(F.pmod("draw", F.lit(1 << 20)) < rate * (1 << 20)).select("lang", "text")
+    limits = [F.when(F.col("lang") == r.lang, F.lit(max(int(DRAWS * min(1.0, share / max(1, r.bytes))), r.least + 1))) for r in totals]
+    limit = F.coalesce(*limits, F.lit(0))
+    drawn = F.filter(pieces, lambda k: draw(k) < limit)
+    sample = rows.select("lang", "text", drawn.alias("drawn")).where(F.size("drawn") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
-            for name in sorted(set(names)):
-                codes, begins, ends = grams([t for n, t in zip(names, texts, strict=True) if n == name])
+            own: dict[str, list[str]] = {}
+            for name, whole, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own.setdefault(name, []).extend(whole[k * PIECE : (k + 1) * PIECE] for k in numbers)
+            for name, found in sorted(own.items()):
+                codes, begins, ends = grams(found)
                 edge = np.zeros(len(codes) + 1, np.int8)
                 np.add.at(edge, begins, 1)
                 np.add.at(edge, ends, -1)
-                own, n = np.unique(codes[np.cumsum(edge[:-1]) > 0], return_counts=True)
+                seen, n = np.unique(codes[np.cumsum(edge[:-1]) > 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(own)), pa.array(own.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"]
+                    [pa.array([name] * len(seen)), pa.array(seen.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"]
                 )
 
     counted = sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -152,6 +165,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score``, ``bits`` (code length in the predicted language) and ``bytes``."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits", T.DoubleType()), ("bytes", T.LongType())]
     schema = docs.schema
@@ -162,7 +176,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = held.value
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            for begin, end in in_parts([t or "" for t in texts]):
+            for begin, end in in_parts([t or "" for t in texts], SCORED_CHARS):
                 part = texts[begin:end]
                 known = [bool(own.languages and t and LETTER.search(t)) for t in part]
                 pred, score, bits = [UNKNOWN] * len(part), np.zeros(len(part)), [None] * len(part)
@@ -180,5 +194,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     rows = replaced(rows, name, column)
                 rows = replaced(rows, "bits", pa.array(bits, pa.float64()))
                 yield replaced(rows, "bytes", pa.array(sizes, pa.int64()))
+        own._forget()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
