@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, lang_id, line_dedup, queries, secret_scan
+from tidebook.llm import decontaminate, frames, lang_id, line_dedup, marks, queries, secret_scan
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -79,6 +79,19 @@ def test_sample_is_bounded(spark):
         assert 5_000 < tree.levels[0][3].sum() < 20_000
 
 
+def test_no_language_is_lost_beside_long_texts(spark, monkeypatch):
+    """One long text of a language beside many of another, with a sample smaller than either."""
+    monkeypatch.setattr(lang_id, "PIECE", 200)
+    english, french = "the river and the house of this ", "la maison et le fleuve dans une ville "
+    for first in range(0, 3000, 500):
+        rows = [(first, english * 3000, "en")] + [(first + k, french * 3, "fr") for k in range(1, 400)] + [(first + 400, "word", "xx")]
+        model = lang_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_bytes=3000)
+        assert model.languages == ["en", "fr", "xx"]
+        assert all(t.levels[0][1].sum() < 12_000 for t in model.trees)
+        assert model.bits([english])[0].argmin() == 0 and model.bits([french])[0].argmin() == 1
+
+
+
 def test_held_out_accuracy(spark):
     langs = dict(spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang").collect())
     got = queries.op1_language_id(spark, SF_DIR).collect()
@@ -247,6 +260,46 @@ def test_ledger_grows_only_by_what_is_new(spark, tmp_path):
     assert secret_scan.scan(more.limit(0), f"file://{tmp_path}/other").collect() == []
 
 
+def test_texts_of_seen_blobs_are_not_fetched(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    rows = [(k, f"token=abcdefg{k}") for k in range(300)]
+    secret_scan.scan(spark.createDataFrame(rows[:290], "path long, text string"), path, secret_scan.BASE).collect()
+    ledger = spark.read.schema(secret_scan.LEDGER).parquet(path)
+    every = spark.createDataFrame(rows, "path long, text string")
+    need = secret_scan.unseen(every, ledger, secret_scan.BASE, "text")
+    assert sorted(r.text for r in need.collect()) == sorted(t for _, t in rows[290:])
+    keys = need.select("blob")
+    held = marks.with_marks(every.select(secret_scan.blob("text").alias("blob"), "text"), "blob", marks.marks_of(keys, "blob"), "held")
+    assert 10 <= held.where("held").count() <= 12  # what is grouped, and so shuffled, before the exact join
+
+
+def test_marks_hold_every_key(spark, monkeypatch):
+    monkeypatch.setattr(marks, "SLOTS", 4)
+    rows = spark.range(400).selectExpr("IF(id % 50 = 0, NULL, id) AS k", "'t' AS text")
+    held = marks.with_marks(rows, "k", marks.marks_of(rows.where("k < 60 AND k IS NOT NULL"), "k"), "held").collect()
+    assert len(held) == 400 and all(r.held for r in held if r.k is not None and r.k < 60)
+    assert not any(r.held for r in held if r.k is None) and sum(r.held for r in held) < 200
+    none = marks.with_marks(rows, "k", marks.marks_of(rows.limit(0), "k"), "held")
+    assert none.where("held").count() == 0 and none.count() == 400
+
+
+def test_batches_are_bounded_but_never_made_larger(spark):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(rows), spark.conf.get(size)
+    try:
+        for given, want in (("10000", "2000"), ("0", "2000"), ("50", "50")):
+            spark.conf.set(rows, given)
+            frames.small_batches(spark)
+            assert spark.conf.get(rows) == want
+        for given, want in (("67108864b", f"{16 << 20}b"), ("1024b", "1024b"), ("1g", f"{16 << 20}b")):
+            spark.conf.set(size, given)
+            frames.small_batches(spark)
+            assert spark.conf.get(size) == want
+    finally:
+        spark.conf.set(rows, before[0])
+        spark.conf.set(size, before[1])
+
+
 def test_op3(spark):
     want = {d: plain_spans(t) for d, t in documents(spark)}
     got = queries.op3_secret_scan(spark, SF_DIR).collect()

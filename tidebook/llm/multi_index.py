@@ -1,7 +1,7 @@
 """Embedding near-dedup over an inverted multi-index.
 
-Vectors, scaled to length 1, are cut into halves; each half has a codebook of its own (k-means on a sample of at most
-about ``SAMPLE`` vectors, fitted by the driver), and the pairs of codewords form a grid of cells. Each vector is filed
+Vectors, scaled to length 1, are cut into halves; each half has a codebook of its own (k-means on a sample of about
+``SAMPLE`` vectors, ten for each codeword if that is more, fitted by the driver), and the pairs of codewords form a grid of cells. Each vector is filed
 in its nearest cell and visits the nearest cells in the order of a multi-sequence traversal. How many cells it visits
 is measured twice, and the larger number counts. ``QUERIES`` vectors are compared with all rows, and by visiting meet at
 least ``RECALL`` of their links: the mean over queries, then over home cells, so that no hot vector or cell outweighs the
@@ -15,15 +15,16 @@ counted once: in its common cell, in the one cell where it meets, or in the lowe
 emitted: a unit gives a count for each vector and edges that span the components it sees.
 
 Rows: vectors that are null, empty, zero or hold null or non-finite numbers, and rows with a null label or id, link
-with nothing; neither do vectors whose length isn't the usual one of the table. Rows that share an id are one vector
-(any of them; its label and numbers are the least ones). Equal vectors of a label are links like others, but one vertex
-before the index, which knows how many they are. An empty table gives an empty result; other columns don't matter.
+with nothing. Vectors of different lengths don't link; each length has an index of its own. Every row is a vector, also
+if others share its id. Equal vectors of a label are links like others, but one vertex before the index, which knows how
+many they are; vertices have numbers of their own. An empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,11 @@ QUERIES = 400
 PAIRS = 1_000
 RECALL = 0.98
 BLOCK = 2_000
-#: Vectors that a cell holds on average, and the most codewords of a codebook.
+#: Vectors that a cell holds on average, up to about 800 million of them; the most codewords of a codebook, and vectors
+#: of the sample for each at least.
 PER_CELL = 48
-CODEWORDS = 512
+CODEWORDS = 4096
+PER_WORD = 10
 ROUNDS = 12
 #: Numbers of visits to choose from, each at most a twentieth or one more than the one before.
 STEPS = np.unique(np.ceil(1.05 ** np.arange(260))).astype(np.int64)
@@ -72,11 +75,15 @@ def codebook(points: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray
     return words
 
 
+def codewords(n_vectors: int) -> int:
+    return int(np.clip(math.sqrt(n_vectors / PER_CELL), 2, CODEWORDS))
+
+
 class Grid:
     def __init__(self, sample: np.ndarray, n_vectors: int):
         rng = np.random.default_rng(7)
         self.half = sample.shape[1] // 2
-        n = int(np.clip(math.sqrt(n_vectors / PER_CELL), 2, CODEWORDS))
+        n = codewords(n_vectors)
         self.left, self.right = codebook(sample[:, : self.half], n, rng), codebook(sample[:, self.half :], n, rng)
         self.visits = 1
 
@@ -123,25 +130,23 @@ class Grid:
         return cells[:, :n], limit
 
 
-def usable(embeddings: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[DataFrame, int]:
-    """(vec_id, label, vec) of the vectors that can link, and how many numbers each has."""
+def usable(embeddings: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
+    """(vec_id, label, vec, ok) of all rows; only those that are ``ok`` can link."""
     fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) < float("inf")))
-    rows = embeddings.select(
+    fine = fine & F.exists(embedding, lambda x: x != 0) & F.col(vec_id).isNotNull() & F.col(label).isNotNull()
+    return embeddings.select(
         F.col(vec_id).cast("long").alias("vec_id"),
         F.col(label).cast("string").alias("label"),
         F.col(embedding).alias("vec"),
-        (fine & F.exists(embedding, lambda x: x != 0)).alias("ok"),
+        F.coalesce(fine, F.lit(False)).alias("ok"),
     )
-    rows = rows.where(F.col("ok") & F.col("vec_id").isNotNull() & F.col("label").isNotNull())
-    sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = sizes.n if sizes else 0
-    one = rows.where(F.size("vec") == dim).groupBy("vec_id").agg(F.min(F.struct("label", "vec")).alias("v"))
-    return one.select("vec_id", "v.label", "v.vec"), dim
 
 
 def distinct(vectors: DataFrame) -> DataFrame:
-    """Equal vectors of a label as one: (vec_id, label, vec, copies), the id being their least."""
-    return vectors.groupBy("label", "vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).select("vec_id", "label", "vec", "copies")
+    """Equal vectors of a label as one: (vec_id, label, vec, copies, first), ``first`` being their least id and ``vec_id``
+    the vertex's own number. Numbers are given when this is written, so read it from where it was written."""
+    one = vectors.groupBy("label", "vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    return one.select(F.monotonically_increasing_id().alias("vec_id"), "label", "vec", "copies", "first")
 
 
 def enough(needed: np.ndarray, share: np.ndarray, recall: float) -> int:
@@ -184,13 +189,13 @@ def fit(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> G
 
     def drawn(n: int, name: str) -> DataFrame:
         rate = max(1, math.ceil((1 << 40) * min(1.0, n / total)))
-        return vectors.where(F.pmod(F.xxhash64(F.lit(name), "vec_id"), F.lit(1 << 40)) < rate)
+        return vectors.where(F.pmod(F.xxhash64(F.lit(name), "first", "label"), F.lit(1 << 40)) < rate)
 
     def some(n: int, name: str):
         rows = drawn(n, name).toPandas()
         return vectors.limit(1).toPandas() if rows.empty else rows
 
-    sample = unit(np.stack(some(SAMPLE, "sample")["vec"].to_numpy()))
+    sample = unit(np.stack(some(max(SAMPLE, PER_WORD * codewords(total)), "sample")["vec"].to_numpy()))
     grid = Grid(sample, total)
     asked = some(QUERIES, "queries")
     queries = unit(np.stack(asked["vec"].to_numpy()))
@@ -364,29 +369,34 @@ def near_duplicates(
     recall: float = RECALL,
 ) -> DataFrame:
     """For each row: vec_id, n_links, component_id and kept."""
-    ids = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"))
-    vectors, _ = usable(embeddings, vec_id, embedding, label)
-    vectors = kept(vectors, "vectors")
+    rows = usable(embeddings, vec_id, embedding, label)
+    vectors = kept(rows.where("ok").drop("ok"), "vectors")
     apart = kept(distinct(vectors), "distinct")
-    grid = fit(apart, cosine, recall)
-    if grid is None:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    met = kept(meet(apart, grid, cosine), "links")
+    linked = []
+    for row in apart.groupBy(F.size("vec").alias("dim")).count().orderBy("dim").collect():  # a row for each length
+        own = apart.where(F.size("vec") == row.dim)
+        linked.append(kept(meet(own, fit(own, cosine, recall), cosine), "links"))
+    if not linked:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    met = reduce(DataFrame.unionByName, linked)
     counts = met.groupBy("vec_id").agg(F.sum("n").alias("n"))
     classes = components(met, "vec_id", "other").withColumnRenamed("vertex", "vec_id")
-    own = apart.join(counts, "vec_id", "left").join(classes, "vec_id", "left").select(
+    placed = apart.join(counts, "vec_id", "left").join(classes, "vec_id", "left").select(
         "label",
         "vec",
+        "first",
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component"),
+        F.coalesce("component", "vec_id").alias("class"),
     )
-    # Both sides are read from files, so that Spark can split the rows of a vector with very many copies.
-    each = vectors.join(kept(own, "own"), ["label", "vec"]).select("vec_id", "n_links", "component")
-    out = ids.join(kept(each, "each"), "vec_id", "left")
-    least = F.coalesce("component", "vec_id")
-    return out.select(
+    placed = kept(placed, "placed")
+    least = kept(placed.groupBy("class").agg(F.min("first").alias("component")), "components")
+    # What is joined is read from files, so that Spark can split the rows of a vector with very many copies.
+    own = kept(placed.join(least, "class").select("label", "vec", "n_links", "component"), "own")
+    each = vectors.join(own, ["label", "vec"]).select("vec_id", "n_links", "component")
+    rest = rows.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"))
+    return each.unionByName(rest).select(
         "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        least.alias("component_id"),
-        F.coalesce(F.col("vec_id") == least, F.lit(False)).alias("kept"),
+        F.col("n_links").cast("long").alias("n_links"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"),
     )

@@ -21,6 +21,7 @@ from tidebook.llm import (
     warc,
     whitening,
 )
+from tidebook.llm.components import kept
 from tidebook.session import scratch
 
 
@@ -119,7 +120,9 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     fields = F.col("metadata.fields")
-    return warc.assemble(warc.read(manifest)).select(
+    # The archives are read once: without payloads, what they hold is small.
+    records = kept(warc.read(manifest).drop("payload"), "records")
+    return warc.assemble(records).select(
         F.expr("try_cast(metadata.fields['pageId'] AS bigint)").alias("page_id"),
         F.coalesce("payload_bytes", fields["payloadBytes"].cast("long")).alias("payload_bytes"),
         "payload_digest",

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm.components import kept
+from tidebook.llm.marks import marks_of, with_marks
 
 LEDGER = "blob string, rule string, version int, spans array<struct<start:long,end:long>>"
 
@@ -97,24 +98,28 @@ def find(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-def unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...], text: str) -> DataFrame:
-    """(blob, text, rules): each blob once, with the names of the rules whose version the ledger lacks for it."""
-    wanted = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
+def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], text: str) -> DataFrame:
+    """(blob, text, rules): each blob once, with the names of the rules whose version the ledger lacks for it. The ledger is
+    asked for hashes alone; only then are texts fetched, those of blobs that it may lack something for."""
     blobs = versions.select(blob(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
+    once = F.first("text").alias("text")
+    if ledger is None:
+        return blobs.groupBy("blob").agg(once).withColumn("rules", F.array(*(F.lit(r.name) for r in rules)))
+    wanted = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
     done = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("done"))
-    left = blobs.join(done, "blob", "left")
+    left = versions.select(blob(text).alias("blob")).distinct().join(done, "blob", "left")
     todo = F.when(F.col("done").isNull(), wanted).otherwise(F.array_except(wanted, F.coalesce("done", F.array())))
-    return left.select("blob", "text", F.transform(todo, lambda x: x["rule"]).alias("rules")).where(F.size("rules") > 0)
+    need = left.select("blob", F.transform(todo, lambda x: x["rule"]).alias("rules")).where(F.size("rules") > 0)
+    need = kept(need, "unseen")
+    texts = with_marks(blobs, "blob", marks_of(need, "blob"), "_held").where("_held").groupBy("blob").agg(once)
+    return texts.join(need, "blob")
 
 
 def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Brings the ledger up to date and returns ``versions`` with ``spans``: (start, end, kind) of all findings, sorted
     by start, then in the order of the rules."""
     spark = versions.sparkSession
-    empty = spark.createDataFrame([], LEDGER)
-    fresh = not _exists(spark, ledger_path)
-    ledger = empty if fresh else spark.read.schema(LEDGER).parquet(ledger_path)
+    ledger = spark.read.schema(LEDGER).parquet(ledger_path) if _exists(spark, ledger_path) else None
     find(unseen(versions, ledger, rules, text), rules).write.mode("append").parquet(ledger_path)
 
     order = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.name, k)))

@@ -11,7 +11,7 @@ Parquet table that Spark commits, says which archives count, so tasks may run tw
 Of captures with equal payloads, of at least ``revisit_from`` bytes, the one with the largest page id is the response
 and the others revisit it. That is an aggregation of digests; only digests that occur more than once are joined back.
 
-Rows: null html counts as the empty payload; a null url leaves out the target URI; a null page id orders before all
+Rows: null html counts as the empty payload; a null url leaves out the target URI, a malformed one is kept as it is (percent-encoded); a null page id orders before all
 others; rows that agree in page id, url and payload are captures with one identifier and equal records, each of which
 gives a row; an empty table gives no archives and no captures; other columns are not stored.
 """
@@ -25,7 +25,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -61,13 +61,22 @@ def record(headers: list[tuple[str, str | None]], block: bytes, level: int) -> b
     return packer.compress(body) + packer.flush()
 
 
+def host_and_target(uri: str) -> tuple[str, str]:
+    """Host and request target of a URI, cut by its first marks; whatever a crawl has for a URI gives some."""
+    after = uri.partition("#")[0]
+    after = after.partition("://")[2] if "://" in after else after.removeprefix("//")
+    cut = min((k for k in (after.find("/"), after.find("?")) if k >= 0), default=len(after))
+    target = after[cut:]
+    return after[:cut], target if target.startswith("/") else f"/{target}"
+
+
 def transaction(page_id, url, payload: bytes, sha1: str, of_page, of_url, revisit: bool, date: str, level: int) -> bytes:
     """The three records of one capture."""
     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
     own = identifier(page_id, url, digest)
     uri = None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~")
-    parts = urlsplit(uri or "")
-    asked = f"GET {parts.path or '/'}{'?' + parts.query if parts.query else ''} HTTP/1.1\r\nHost: {parts.netloc}\r\n\r\n"
+    host, target = host_and_target(uri or "")
+    asked = f"GET {target} HTTP/1.1\r\nHost: {host}\r\n\r\n"
     common = [("WARC-Date", date), ("WARC-Target-URI", uri)]
     linked = [("WARC-Concurrent-To", own), *common]
     answer = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
