@@ -14,6 +14,7 @@ QUICK = (
     "binance_spot_trades", "gateio_perp_trades", "records_outcome", "futures_daily", "csv_rejects", "gateio_spot_depth_levels", "futures_trades", "classify_counts",
     "channel_ids", "channel_collisions", "registry_config", "enrich_left_defaults", "valid_timestamps", "book_long",
     "book_asof", "book_snapshots", "topics_sent", "batch_commits", "partition_bounds", "degraded_replay", "latency_last", "sequence_gaps",
+    "book_at_times", "deep_book_levels", "csv_orderbook", "bucketed_join",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the given tables are not here")
