@@ -141,6 +141,27 @@ def test_unregistered_defaults(spark, raw, channels):
     assert (row.exchange, row.market_type, row.symbol, row.depth_level) == ("", "", "NEW", 0)
 
 
+def test_channels_that_share_an_id(spark):
+    from tidebook.operators import parse
+    from tidebook.sources.registry import with_identity
+
+    flags = "exchange STRING, market_type STRING, symbol STRING, depth_level INT, enabled BOOLEAN, record_tick BOOLEAN, persist_to_disk BOOLEAN"
+    rows = [("binance", "spot", "U7591", 3, True, True, True), ("binance", "spot", "U48764", 7, True, False, True)]
+    plain = spark.createDataFrame(rows, flags)
+    channels = with_identity(plain.withColumns({"exchange": F.lit("binance"), "market_type": F.lit("spot")}))  # never NULL
+    shared = {r.channel_id for r in channels.collect()}
+    assert len(shared) == 1  # two keys, one hash of 32 bits
+    names = [("U7591", 1), ("U48764", 2), ("OTHER", 3)]
+    raw = spark.createDataFrame([(*shared, "binance", "spot", s, k, TS, 0, 0, TRADE % (TS, k)) for s, k in names], schemas.RAW_FEED)
+    ticks = parse.tick_records(parse.parse_messages(raw))
+    found = {(r.seq, r.symbol, r.depth_level) for r in enrich.registered(ticks, channels).collect()}
+    assert found == {(1, "U7591", 3), (2, "U48764", 7)}
+    assert sorted((r.seq, r.exchange, r.depth_level) for r in enrich.with_defaults(ticks, channels).collect()) == [(1, "binance", 3), (2, "binance", 7), (3, "", 0)]
+    assert [r.symbol for r in enrich.unregistered(ticks, channels).collect()] == ["OTHER"]
+    counts = {r.outcome: r.messages for r in outcomes(judged(parse.parse_messages(raw), channels, 2024)).collect()}
+    assert counts == {"stored": 1, "unrecorded": 1, "unregistered": 1}
+
+
 def test_futures(spark, channels):
     rows = [("COMEX ", "GC   ", 5, 7, 4500.5, 3, "S", 1), ("COMEX", "SI", 5, 7, 30.0, 1, "B", 1)]
     prints = spark.createDataFrame(rows, schemas.FUTURES_TRADES)

@@ -49,7 +49,6 @@ def judged(
 ) -> DataFrame:
     """Every parsed message with its ``channel`` (registry entry) and, in ``reject_reason``, why it is not stored.
     ``kinds`` are those that were read: of them, what isn't refused by the parser has a record."""
-    known = channels.select("channel_id", F.struct(*enrich.REGISTRY_COLUMNS).alias("channel"))
     times = [F.when(F.col("kind") == k, F.col(f"{parse.RECORD_COLUMNS[k]}.exchange_timestamp")) for k in kinds]
     valid = timeparts.is_valid_us(F.coalesce(*times), as_of_year)
     missed = (
@@ -58,7 +57,7 @@ def judged(
         .when(~valid, parse.INVALID_TIME)
     )
     reason = F.coalesce("reject_reason", F.when(F.col("kind").isin(*kinds), missed))
-    return parsed.join(known, "channel_id", "left").withColumn("reject_reason", reason)
+    return enrich.with_channel(parsed, channels, "left").withColumn("reject_reason", reason)
 
 
 def records_of(messages: DataFrame) -> Records:
@@ -91,7 +90,7 @@ def futures_records(trades: DataFrame, bbo: DataFrame, channels: DataFrame, as_o
 
     def message(rows: DataFrame, column: str, kind: str) -> DataFrame:
         fields = [F.col(name).cast(type_).alias(name) for name, type_ in FIELDS[kind].items()]
-        return rows.select("channel_id", "seq", "recv_us", F.lit(kind).alias("kind"), F.struct(*fields).alias(column))
+        return rows.select("channel_id", *enrich.NAMES, "seq", "recv_us", F.lit(kind).alias("kind"), F.struct(*fields).alias(column))
 
     both = message(futures.normalise_trades(trades, channels), "tick", TICK).unionByName(
         message(futures.normalise_bbo(bbo, channels), "ticker", TICKER), allowMissingColumns=True
