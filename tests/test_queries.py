@@ -45,5 +45,10 @@ def test_query(spark, db, name):
     assert compare.rows(frame.columns, frame.collect()) == compare.rows(names, result.fetchall())
 
 
+def test_topics_gather_no_table_at_the_driver(spark):
+    frame = contract.queries()["topics_sent"](spark, SF_DIR)
+    assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0

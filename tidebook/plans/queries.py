@@ -599,7 +599,8 @@ def topics_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, (feed, payload, records) in made.items():
         raw = adapter.raw_feed(events, feed.exchange, feed.market_type, payload)
         rows = records(parse.parse_messages(raw, [feed], kinds=(kind,)))
-        named = rows.join(types, "seq").withColumn("topic_prefix", prefix).drop("event_type")
+        # both sides grow alike: neither may be gathered at the driver, however small its columns are thought to be
+        named = rows.join(types.hint("merge"), "seq").withColumn("topic_prefix", prefix).drop("event_type")
         one = topics.messages(named, kind).groupBy("topic", "msg_type").agg(F.count(F.lit(1)).alias("messages"))
         out = one if out is None else out.unionByName(one)
     return out
