@@ -141,6 +141,19 @@ def test_unregistered_defaults(spark, raw, channels):
     assert (row.exchange, row.market_type, row.symbol, row.depth_level) == ("", "", "NEW", 0)
 
 
+def test_lines_of_order_books_are_not_dealt_by_file(spark, tmp_path):
+    path = tmp_path / "ex" / "spot" / "A" / "orderbook_2024-06-01.csv"
+    path.parent.mkdir(parents=True)
+    path.write_text("exchange_timestamp,local_diff,ask_price1,ask_size1,bid_price1,bid_size1\n1717200000000002,5,11,1,10,2\n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = csv_tree.read_orderbook(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
+
+
 def test_channels_that_share_an_id(spark):
     from tidebook.operators import parse
     from tidebook.sources.registry import with_identity

@@ -169,7 +169,8 @@ def read_orderbook(
         lines = text.where((first != _STAMP) & ~empty).withColumnRenamed("cells", "line")
         heads = text.where(first == _STAMP).groupBy("file_path").agg(F.min("cells").alias("head"))
         heads = heads.select("file_path", F.lit(True).alias("_named"), *[_places(name).alias(name) for name in _LEVEL_PARTS], _place("local_diff"))
-        joined = lines.join(heads, "file_path", "left")
+        # One row a file goes to all tasks: a join by file would bring all lines of a file, or of several, to one.
+        joined = lines.join(F.broadcast(heads), "file_path", "left")
         depth = F.ceil((F.size("line") - 2) / 4).cast("int")
 
         def cells(k: int, name: str) -> Column:
