@@ -141,6 +141,20 @@ def test_unregistered_defaults(spark, raw, channels):
     assert (row.exchange, row.market_type, row.symbol, row.depth_level) == ("", "", "NEW", 0)
 
 
+def test_channels_of_one_group_keep_their_own_gaps(spark, tmp_path, monkeypatch):
+    from tidebook.streaming import gaps
+
+    monkeypatch.setattr(gaps, "GROUPS", 1)
+    source, out = str(tmp_path / "ids"), str(tmp_path / "log")
+    for ids in ([(1, 1), (1, 9), (2, 5)], [(1, 5), (3, 7), (2, 9), (3, 8)], [(2, 6), (2, 7), (2, 8)]):
+        spark.createDataFrame(ids, "channel_id BIGINT, trade_id BIGINT").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("channel_id BIGINT, trade_id BIGINT").option("maxFilesPerTrigger", 1).parquet(source)
+    run = gaps.stream_gaps(stream).writeStream.format("parquet").option("path", out)
+    run.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    left = gaps.open_gaps(spark.read.schema(gaps.OUTPUT).parquet(out)).collect()
+    assert sorted((r.channel_id, r.previous_id, r.trade_id, r.gap) for r in left) == [(1, 1, 5, 3), (1, 5, 9, 3)]
+
+
 def test_lines_of_order_books_are_not_dealt_by_file(spark, tmp_path):
     path = tmp_path / "ex" / "spot" / "A" / "orderbook_2024-06-01.csv"
     path.parent.mkdir(parents=True)

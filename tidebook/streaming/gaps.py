@@ -2,7 +2,8 @@
 
 State holds, for each channel, the ranges of ids seen so far. Ids that come late fill gaps or split them; a gap that is
 no longer as it was is closed, and what is left of it is opened anew. So the gaps opened and not closed are at any time
-those of all ids seen, whatever order they came in. A channel's state is as large as it has gaps.
+those of all ids seen, whatever order they came in. A channel's state is as large as it has gaps. Channels that share a
+group are one key, whose state is read and put back whole, in one call, when ids of any of them come.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from tidebook.streaming.book import ROCKSDB
 OUTPUT = "channel_id BIGINT, previous_id BIGINT, trade_id BIGINT, gap BIGINT, opened BOOLEAN"
 NAMES = [f.split()[0] for f in OUTPUT.split(", ")]
 FRAME_ROWS = 50_000
+#: A key of the state costs some milliseconds a micro-batch, whatever it holds; so there are at most that many.
+GROUPS = 1 << 12
 
 
 def ranges_of(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,29 +36,27 @@ def ranges_of(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np
 
 class GapProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "first BIGINT", "last BIGINT")
+        self.seen = handle.getListState("seen", "channel_id BIGINT, first BIGINT, last BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {int(k[0]): int(v[0]) for k, v in self.seen.iterator()} if self.seen.exists() else {}
-        begins = np.array(sorted(held), np.int64)
-        ends = np.array([held[b] for b in begins.tolist()], np.int64)
-        ids = np.unique(np.concatenate([f["trade_id"].dropna().to_numpy(np.int64) for f in rows]))
-        if not len(ids):
-            return
-        b, e = ranges_of(ids, begins, ends)
-        after = dict(zip(b.tolist(), e.tolist()))
-        for first in held.keys() - after.keys():
-            self.seen.removeKey((first,))
-        for first, last in after.items():
-            if held.get(first) != last:
-                self.seen.updateValue((first,), (last,))
-        old = set(zip(ends[:-1].tolist(), begins[1:].tolist()))
-        now = set(zip(e[:-1].tolist(), b[1:].tolist()))
-        changes = [(g, False) for g in sorted(old - now)] + [(g, True) for g in sorted(now - old)]
-        channel = int(key[0])
+        held: dict[int, list[tuple[int, int]]] = {}
+        for channel, first, last in self.seen.get():
+            held.setdefault(channel, []).append((first, last))
+        found = pd.concat([f for f in rows]).dropna(subset=["trade_id"])
+        changes = []
+        for channel, own in found.groupby("channel_id", dropna=False)["trade_id"]:
+            channel = int(channel)
+            begins, ends = np.array(held.get(channel, []), np.int64).reshape(-1, 2).T
+            b, e = ranges_of(np.unique(own.to_numpy(np.int64)), begins, ends)
+            held[channel] = list(zip(b.tolist(), e.tolist()))
+            old = set(zip(ends[:-1].tolist(), begins[1:].tolist()))
+            now = set(zip(e[:-1].tolist(), b[1:].tolist()))
+            changes += [(channel, p, t, t - p - 1, False) for p, t in sorted(old - now)]
+            changes += [(channel, p, t, t - p - 1, True) for p, t in sorted(now - old)]
+        if len(found):
+            self.seen.put([(channel, *r) for channel, own in held.items() for r in own])
         for k in range(0, len(changes), FRAME_ROWS):
-            part = [(channel, p, t, t - p - 1, o) for (p, t), o in changes[k : k + FRAME_ROWS]]
-            yield pd.DataFrame(part, columns=NAMES)
+            yield pd.DataFrame(changes[k : k + FRAME_ROWS], columns=NAMES)
 
     def close(self) -> None:
         pass
@@ -68,8 +69,8 @@ def stream_gaps(ids: DataFrame) -> DataFrame:
     if not spark.conf.get(provider, "").endswith("RocksDBStateStoreProvider"):
         spark.conf.set(provider, ROCKSDB)
     return (
-        ids.select("channel_id", "trade_id")
-        .groupBy("channel_id")
+        ids.select(F.pmod(F.hash("channel_id"), F.lit(GROUPS)).alias("group"), "channel_id", "trade_id")
+        .groupBy("group")
         .transformWithStateInPandas(
             statefulProcessor=GapProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
         )
