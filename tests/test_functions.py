@@ -135,3 +135,44 @@ def test_side_order(spark):
     side = F.array(*[F.struct(F.lit(p).alias("price"), F.lit(1.0).alias("quantity")) for p in (99.0, 101.0, 100.0)])
     assert [x.price for x in one(spark, levels.sort_side(side, descending=True))] == [101.0, 100.0, 99.0]
     assert [x.price for x in one(spark, levels.sort_side(side, descending=False))] == [99.0, 100.0, 101.0]
+
+
+PLAIN = (
+    '[["1","2"]]', '[["1.5","2"],["-0.25","0"],["0.0","10.125"]]', '[["x","1"],["2","3"]]', '[["2","3"],["","x"]]', '[["1","2",[]],["3","4",[]]]',
+    '[["NaN","2"]]', '[[" 1","2"]]',
+)
+OTHER = (
+    '[]', '[[1,"2"]]', '[["1",2]]', '[["1"]]', '[["01","2"]]', '[["1e5","2"]]', '[["1.5xyz","2"]]', '[["-0","2"]]', '[["1,2","3"]]',
+    '["[1","2]"]', '[["x[",["1","2"],"y"]]', '[["1","x["],["],[","2"]]', '[["\\u0031","2"]]', '[[null,"1"]]', '["[\\"1\\",\\"2\\"]"]', '"[[1,2]]"',
+    '[[["1","2"]]]', '[["12345678901234567890","2"]]', '[{"1":"2"}]', '[["1", "2"]]',
+)
+
+
+def test_plain_levels_read_as_variants_do(spark):
+    """From the text come the same levels, or none; those in the forms that nearly all have come from it."""
+    df = spark.createDataFrame([(t,) for t in (*PLAIN, *OTHER)], "t STRING")
+    found = df.select("t", levels.plain_levels(F.col("t")).alias("quick"), levels.positional_levels(F.parse_json("t")).alias("slow")).collect()
+    assert {x.t for x in found if x.quick is None} >= set(OTHER) - {"[]"}
+    assert all(x.quick == x.slow for x in found if x.quick is not None) and all(x.quick is not None for x in found if x.t in PLAIN)
+
+
+def test_plain_levels_of_any_number(spark):
+    text = "[" + ",".join(f'["{k}.25","{k}"]' for k in range(100_000)) + "]"
+    found = spark.createDataFrame([(text,), (text[:-1] + ',["y","1"]]',)], "t STRING").select(levels.plain_levels(F.col("t")).alias("l"))
+    assert [r[0] for r in found.select(F.size("l")).collect()] == [100_000] * 2
+
+
+@pytest.mark.parametrize("side, count", [('[["1","2"]]', 1), ('"[[\\"1\\",\\"2\\"]]"', None), ("null", None), ('[["x","2"],[3,"4"]]', None)])
+def test_a_text_in_place_of_a_list_is_none(spark, side, count):
+    from tidebook.feeds import binance, gateio
+    from tidebook.operators import parse
+
+    texts = {
+        binance.PERPETUAL: f'{{"e":"depthUpdate","E":1,"u":2,"b":{side},"a":[["3","4"]]}}',
+        binance.SPOT: f'{{"lastUpdateId":2,"bids":{side},"asks":[["3","4"]]}}',
+        gateio.SPOT: f'{{"channel":"spot.order_book","event":"update","result":{{"t":1,"lastUpdateId":2,"bids":{side},"asks":[["3","4"]]}}}}',
+    }
+    rows = [(1, f.exchange, f.market_type, "s", 1, 1, 1, 1, text) for f, text in texts.items()]
+    columns = "channel_id BIGINT, exchange STRING, market_type STRING, symbol STRING, seq BIGINT, recv_us BIGINT, recv_ns BIGINT, dispatch_ns BIGINT, payload STRING"
+    found = parse.depth_records(parse.parse_messages(spark.createDataFrame(rows, columns))).collect()
+    assert [len(r.bids) for r in found] == ([] if count is None else [count] * 3)

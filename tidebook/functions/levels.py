@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidebook.functions.jsonfields import bound, kind_at, list_at
-from tidebook.functions.numbers import PLAIN_DECIMAL, price_at, quantity_at
+from tidebook.functions.jsonfields import bound, kind_at, list_at, value_at
+from tidebook.functions.numbers import JSON_NUMBER, PLAIN_DECIMAL, price_at, quantity_at
+
+# Levels in the text of a list: two plain decimals, or a text that no number leads and any other one. A text that is
+# JSON is a list of such levels if "[]" is left without them: each begins where an element does, and has no escapes.
+_PLAIN_LEVEL = rf'\["{JSON_NUMBER}","{JSON_NUMBER}"(?:,\[\])?\]'
+_SKIPPED_LEVEL = r'\["(?:[^-.0-9"\\][^"\\]*)?","[^"\\]*"(?:,\[\])?\]'
 
 
 def _readable(marked: Column) -> Column:
@@ -65,6 +70,42 @@ def positional_levels(found: Column) -> Column:
     return F.when(simple, plain).otherwise(_readable(F.transform(list_at(found, "$"), mark)))
 
 
+def plain_levels(text: Column) -> Column:
+    """What :func:`positional_levels` gives, straight from the JSON text of the list; NULL where levels have other forms
+    than nearly all have.
+
+    The text is tested as a whole and read as numbers, so that no expression is evaluated for each cell."""
+
+    def only(level: str) -> Column:
+        return F.regexp_replace(text, f"(?:(?:{level}),?+){{1,16}}+", "") == "[]"  # some at once, and no more than a stack bears
+
+    def numbers(list_text: Column) -> Column:
+        bare = F.replace(F.replace(list_text, F.lit(",[]"), F.lit("")), F.lit('"'), F.lit(""))
+        return F.from_json(bare, "array<array<double>>")
+
+    def levels(cells: Column) -> Column:
+        return F.transform(cells, lambda x: F.struct(F.get(x, F.lit(0)).alias("price"), F.get(x, F.lit(1)).alias("quantity")))
+
+    some = F.filter(numbers(F.regexp_replace(text, _SKIPPED_LEVEL, "[null]")), lambda x: F.get(x, F.lit(0)).isNotNull())
+    return F.when(only(_PLAIN_LEVEL), levels(numbers(text))).when(only(f"{_PLAIN_LEVEL}|{_SKIPPED_LEVEL}"), levels(some))
+
+
+def plain_sides(payload: Column, doc: Column, bids: str, asks: str) -> Column:
+    """Both sides by :func:`plain_levels`, at paths of one or two fields of a message and its variant. A text in place of a
+    list is none, whatever it holds."""
+    paths = [bids.split("."), asks.split(".")]
+    fields = ", ".join(f"{p[-1]} STRING" for p in paths)
+    nested = len(paths[0]) > 1
+    texts = F.from_json(payload, f"{paths[0][0]} STRUCT<{fields}>" if nested else fields)
+    texts = texts[paths[0][0]] if nested else texts
+
+    def side(found: Column, path: list[str]) -> Column:
+        is_list = value_at(doc, f"$.{'.'.join(path)}[0]").isNotNull()
+        return F.when(is_list, plain_levels(found[path[-1]]))
+
+    return bound(texts, lambda t: F.struct(side(t, paths[0]).alias("bids"), side(t, paths[1]).alias("asks")))
+
+
 def keyed_levels(found: Column) -> Column:
     """``[{"p":"price","s":size},...]`` (a variant). A non-numeric price is skipped; a missing or odd field
     breaks the list. Lists of one shape are read as typed cells, as above."""

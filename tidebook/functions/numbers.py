@@ -12,6 +12,8 @@ DECIMAL_PREFIX = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 # A text that is such a number as a whole, far from the limits of a double.
 PLAIN_NUMBER = r"-?[0-9]{1,15}(?:\.[0-9]{0,20})?"
 PLAIN_DECIMAL = f"^{PLAIN_NUMBER}$"
+# One that JSON reads as a number too, and as the same.
+JSON_NUMBER = r"(?:-?+[1-9][0-9]{0,14}+|0|-0(?=\.))(?:\.[0-9]{1,20}+)?+"
 
 
 def decimal_prefix(text: Column) -> Column:

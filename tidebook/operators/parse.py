@@ -27,6 +27,7 @@ REASONS = (EMPTY, MALFORMED, NO_FEED, UNKNOWN_EVENT, PARSE, UNREGISTERED, UNRECO
 ENVELOPE = ("channel_id", "exchange", "market_type", "symbol", "seq", "recv_us", "recv_ns", "dispatch_ns")
 RECORD_COLUMNS = {TICK: "tick", DEPTH: "depth", TICKER: "ticker"}
 LEVELS = "array<struct<price:double,quantity:double>>"
+SIDES = f"struct<bids:{LEVELS},asks:{LEVELS}>"
 
 
 def evaluated_once(column: Column) -> Column:
@@ -37,6 +38,7 @@ def evaluated_once(column: Column) -> Column:
 class _Stages:
     doc: Column
     kind: Column
+    quick: Column | None
     trades: Column | None
     scalars: Column
     sides: Column | None
@@ -71,6 +73,14 @@ def _stages(app_id: str, feeds: tuple[Feed, ...], kinds: tuple[str, ...]) -> _St
         TICKER: lambda f: f.ticker(doc, recv_us),
     }
     made = {k: [makers[k](f) for f in feeds] for k in wanted}
+    # Sides that read from the text; only others are taken out of the variant.
+    quick, texts = None, [f.plain_sides(F.col("payload"), doc) for f in feeds]
+    if DEPTH in wanted and any(t is not None for t in texts):
+        texts = [F.lit(None).cast(SIDES) if t is None else t for t in texts]
+        quick = F.when(kind == DEPTH, by_feed(texts, SIDES))
+        for fields in made[DEPTH]:
+            for name in ("bids", "asks"):
+                fields[name] = F.when(F.col(f"quick.{name}").isNull(), fields[name])
     # The higher-order field keeps this projection out of whole-stage code. There it would be one method, too
     # large to be compiled by the JVM (and, with many feeds, to be generated at all); as a plain projection it
     # is split into small compiled methods. Measured: 1.4 times the throughput.
@@ -84,7 +94,8 @@ def _stages(app_id: str, feeds: tuple[Feed, ...], kinds: tuple[str, ...]) -> _St
     )
 
     def side(name: str) -> Column:
-        return by_feed([f.levels(F.col(f"r.{DEPTH}_{name}")) for f in feeds], LEVELS)
+        read = by_feed([f.levels(F.col(f"r.{DEPTH}_{name}")) for f in feeds], LEVELS)
+        return read if quick is None else F.coalesce(F.col(f"quick.{name}"), read)
 
     sides = None
     if DEPTH in wanted:
@@ -117,6 +128,7 @@ def _stages(app_id: str, feeds: tuple[Feed, ...], kinds: tuple[str, ...]) -> _St
     return _Stages(
         doc=F.when(text != "", F.try_parse_json(text)),
         kind=F.when(doc.isNotNull(), by_feed([f.classify(doc) for f in feeds], "string")),
+        quick=quick,
         trades=lists,
         scalars=scalars,
         sides=sides,
@@ -139,13 +151,18 @@ def parse_messages(
     keep = (*ENVELOPE, "payload", "kind", "is_json")
     documents = raw.select(*ENVELOPE, "payload", evaluated_once(stages.doc).alias("doc"))
     classified = documents.withColumn("kind", evaluated_once(stages.kind))
+    quick = []
+    if stages.quick is not None:
+        quick = ["quick"]
+        found = classified.withColumn("quick", stages.quick)  # a projection of its own, as below
+        classified = found.withColumn("quick", evaluated_once(F.col("quick")))
     if stages.trades is not None:
         classified = classified.withColumn("item", F.explode_outer(stages.trades))
     # computed in a projection of its own; the barrier then stands on the finished column
     computed = classified.select(
-        *keep[:-1], F.col("doc").isNotNull().alias("is_json"), stages.scalars.alias("r")
+        *keep[:-1], *quick, F.col("doc").isNotNull().alias("is_json"), stages.scalars.alias("r")
     )
-    read = computed.select(*keep, evaluated_once(F.col("r")).alias("r"))
+    read = computed.select(*keep, *quick, evaluated_once(F.col("r")).alias("r"))
     if stages.sides is not None:
         shaped = read.withColumn("sides", stages.sides)
         read = shaped.select(*keep, "r", evaluated_once(F.col("sides")).alias("sides"))
