@@ -258,3 +258,31 @@ def test_a_price_that_flickers_is_cut_too(spark):
     found = book.book_intervals(frame(spark, events), rows=64)
     assert found.count() == sum(k % 3 > 0 for k in range(2000))
     assert found.where("valid_until IS NULL").collect()[0].valid_from == 1999
+
+
+def test_keys_of_one_block_are_not_cut(spark):
+    """Cuts, and joins that put them to rows, are for tables that have a large key."""
+    df = spark.range(200).selectExpr("id % 4 AS k", "id AS s", "IF(id % 3 = 0, id, NULL) AS v")
+    found = neighbours(df, "k", "s", {"b": F.col("v")}, {"a": F.col("v")}, rows=50)
+    summed = running_total(df, "k", "s", F.col("s"), "t", rows=50)
+    for plan in (found, summed):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in text and "percentile" not in text
+    cut = neighbours(df, "k", "s", {"b": F.col("v")}, {"a": F.col("v")}, rows=49)
+    assert "Join" in cut._jdf.queryExecution().optimizedPlan().toString()
+    names = ["k", "s", "v", "b", "a"]
+    assert sorted(map(str, found.select(names).collect())) == sorted(map(str, cut.select(names).collect()))
+    assert {(r.k, r.s): r.t for r in summed.collect()} == {(s % 4, s): sum(range(s % 4, s + 1, 4)) for s in range(200)}
+
+
+@pytest.mark.parametrize("books", [book.book_intervals])
+def test_events_are_made_once(spark, books):
+    made = spark.sparkContext.accumulator(0)
+
+    def same(seq):
+        made.add(1)
+        return seq
+
+    events = frame(spark, random_events(3, 60, (1, 2), 10, 0.02, 0.01))
+    books(events.withColumn("seq", F.udf(same, "bigint")("seq"))).collect()
+    assert made.value == 120

@@ -206,6 +206,7 @@ def book_intervals(events: DataFrame, rows: int = ROWS) -> DataFrame:
     """Every level ever shown: (channel_id, side, price, qty, valid_from, valid_until), the ``seq`` of the change with
     which it shows, and of the one with which it no longer does; NULL if it shows in the end. Rows are as many as
     operations, however long levels last."""
+    events = _stored(events, "events")
     markers = _markers(events, rows)
     due = _stored(changes(events, rows, markers), "changes")
     spans = _spans(events, due, markers, rows)

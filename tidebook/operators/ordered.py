@@ -4,6 +4,7 @@ A plain window over a key sends all its rows to one task, and a single key may h
 Here a key with more than ``rows`` rows is cut into blocks of its order column, at quantiles of that key's own orders
 (approximate ones, off by a ten-thousandth of the key's rows), so blocks are alike in size however the orders lie.
 Windows run inside blocks; what must cross a block border is carried by a second window over one summary row per block.
+Keys are counted first, by a job of its own; if none is that large, plain windows over keys are all there is.
 A key has at most ``MOST`` blocks; beyond ``MOST * rows`` rows its blocks grow, which a sort can spill.
 
 Orders are unique within a key, or an order is several columns: the first, a number, is what blocks are cut by.
@@ -28,6 +29,11 @@ def _names(columns: str | Sequence[str]) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 
 
+def _large(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Keys with more than ``rows`` rows, and how many."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+
+
 def _block(order: str) -> Column:
     """How many cuts are below the order."""
     below = lambda c: c < F.col(order)
@@ -40,7 +46,7 @@ def _block(order: str) -> Column:
 
 def _blocked(df: DataFrame, key: str | Sequence[str], order: str, rows: int) -> DataFrame:
     keys = _names(key)
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    large = _large(df, keys, rows)
     shares = [k / MOST for k in range(1, MOST)]
     found = df.select(*keys, order).join(large, keys).groupBy(*keys).agg(
         F.percentile_approx(order, shares, ACCURACY).alias("_all"), F.first("_n").alias("_n")
@@ -63,7 +69,10 @@ def neighbours(
     for each name of ``after`` the first one strictly after."""
     keys, orders = _names(key), _names(order)
     marks = {**(before or {}), **(after or {})}
-    blocks = _blocked(df.withColumns({f"_mark_{n}": c for n, c in marks.items()}), keys, orders[0], rows)
+    marked = df.withColumns({f"_mark_{n}": c for n, c in marks.items()})
+    plain = _large(df, keys, rows).isEmpty()
+    blocks = marked if plain else _blocked(marked, keys, orders[0], rows)
+    within = keys if plain else [*keys, "_block"]
     whole = F.struct(*orders)
     sides = [(n, F.max_by, [F.col(o).asc() for o in orders], F.col("_block").asc()) for n in before or {}]
     sides += [(n, F.min_by, [F.col(o).desc() for o in orders], F.col("_block").desc()) for n in after or {}]
@@ -73,8 +82,10 @@ def neighbours(
         ends.append(end(mark, F.when(mark.isNotNull(), whole)).alias(f"_end_{name}"))
         upto = Window.partitionBy(*keys).orderBy(across).rowsBetween(Window.unboundedPreceding, -1)
         carried.append(F.last(f"_end_{name}", True).over(upto).alias(f"_carry_{name}"))
-        own = Window.partitionBy(*keys, "_block").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        own = Window.partitionBy(*within).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
         inside[f"_own_{name}"] = F.last(mark, True).over(own)
+    if plain:
+        return blocks.withColumns(inside).withColumnsRenamed({f"_own_{n}": n for n in marks}).drop(*[f"_mark_{n}" for n in marks])
     carry = blocks.groupBy(*keys, "_block").agg(*ends).select(*keys, "_block", *carried)
     carry = carry.where(reduce(Column.__or__, [F.col(f"_carry_{n}").isNotNull() for n in marks]))  # none for keys of one block
     joined = blocks.withColumns(inside).join(carry, [*keys, "_block"], "left")
@@ -94,6 +105,9 @@ def running_total(
     df: DataFrame, key: str, order: str, amount: Column, name: str, rows: int = ROWS
 ) -> DataFrame:
     """Sum of ``amount`` over this and all earlier rows of the key."""
+    if _large(df, [key], rows).isEmpty():
+        whole = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("_amount", amount).withColumn(name, F.sum("_amount").over(whole)).drop("_amount")
     blocks = _blocked(df.withColumn("_amount", amount), key, order, rows)
     inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
