@@ -275,7 +275,7 @@ def test_keys_of_one_block_are_not_cut(spark):
     assert {(r.k, r.s): r.t for r in summed.collect()} == {(s % 4, s): sum(range(s % 4, s + 1, 4)) for s in range(200)}
 
 
-@pytest.mark.parametrize("books", [book.book_intervals])
+@pytest.mark.parametrize("books", [book.book_intervals, book.snapshots])
 def test_events_are_made_once(spark, books):
     made = spark.sparkContext.accumulator(0)
 
