@@ -582,3 +582,40 @@ def test_snapshots_reach_the_table(spark, channels):
     assert ddl(rows) == expected(spark, "orderbook")
     assert rows.count() == snapshots.count() > 0
     assert {len(r.bid_prices) for r in rows.collect()} == {20}
+
+
+@pytest.mark.parametrize("part", [4, stream_book.PART_LEVELS])
+def test_channels_of_a_group_share_calls_and_write_what_they_changed(monkeypatch, part):
+    """One key holds many channels; a channel costs two reads and two writes a micro-batch if its book is small."""
+    monkeypatch.setattr(stream_book, "PART_LEVELS", part)
+    calls = []
+
+    class Kept(dict):
+        def getValue(self, k):
+            calls.append(("read", k))
+            return self.get(k)
+
+        def updateValue(self, k, v):
+            calls.append(("write", k))
+            self[k] = v
+
+    books = stream_book.GroupProcessor(None)
+    books.heads, books.parts, shown = Kept(), Kept(), {}
+    events = random_events(4, 60, (1, 2, 3), 40, 0.02, 0.01)
+    columns = stream_book.EVENT_COLUMNS
+    for k in range(4):
+        own = [e for e in events if k * 30 <= e["seq"] < k * 30 + 30 + (k == 3) * 100]
+        random.Random(k).shuffle(own)
+        calls.clear()
+        found = pd.DataFrame([tuple(e[c] for c in columns) for e in own], columns=columns)
+        for out in books.handleInputRows((0,), iter([found[:20], found[20:]]), None):
+            assert not out["late"].any()
+            for r in out.itertuples():
+                shown[(r.channel_id, r.seq)] = (r.exchange_timestamp, list(zip(r.bid_prices, r.bid_sizes)), list(zip(r.ask_prices, r.ask_sizes)))
+        assert part == 4 or len(calls) <= 12
+    assert shown == modelled(events)
+    assert (len(books.parts) > 3) == (part == 4)
+    one = pd.DataFrame([tuple({**events[0], "channel_id": 2, "seq": 10**6, "kind": "QUOTE", "update_type": "SOLO", "price": 7.0, "price_flag": True, "size": 99, "size_flag": True}[c] for c in columns)], columns=columns)
+    calls.clear()
+    list(books.handleInputRows((0,), iter([one]), None))
+    assert len([k for kind, k in calls if kind == "write"]) == 2 and all(k[0] == 2 for _, k in calls)
