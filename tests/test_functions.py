@@ -176,3 +176,40 @@ def test_a_text_in_place_of_a_list_is_none(spark, side, count):
     columns = "channel_id BIGINT, exchange STRING, market_type STRING, symbol STRING, seq BIGINT, recv_us BIGINT, recv_ns BIGINT, dispatch_ns BIGINT, payload STRING"
     found = parse.depth_records(parse.parse_messages(spark.createDataFrame(rows, columns))).collect()
     assert [len(r.bids) for r in found] == ([] if count is None else [count] * 3)
+
+
+FORMS = (*PLAIN, *OTHER, '[["x[",["1","2"]]', '[["x[","1"],["2","3"]]', '[["x","1"]["2","3"]]', '[["1","2"],]', '[["1","2"]', '[["-.5","1."],["007","-0"]]', '[["é","1"],["2","3"]]',
+    '[["x","\n"],["2","3"]]', '[["1","2",[]],["x","y"]]', '[["x","1"]]', '[["1","x"]]', '["@0"]', '[["-","2"]]', '[["1-2","2"]]', '[["@0","1"],["2","3"]]', '[["1","2"],["3"]]')
+
+
+def test_messages_read_the_same_with_their_lists_taken_out(spark):
+    """Whatever a list holds and wherever it stands, the message reads as from its whole text; plain lists are taken."""
+    import pyarrow as pa
+
+    from tidebook.functions.taken import lists_taken, take_lists, taken_at
+
+    texts = [f'{{"e":"x","b":{form},"a":[["3","4"],["5","6.5"]]}}' for form in FORMS]
+    texts += [f'{{"m":"@0","b":{PLAIN[0]}}}', f'{{"r":{{"b":{PLAIN[1]},"x":1}},"a":{PLAIN[2]}}}', f'{{"b":{PLAIN[0]},"b":{PLAIN[0]}}}', f'{{"x":"","b":{PLAIN[0]}}},']
+    texts += ['{"c":"\\u0040","b":[["1","2"]]}', '{"x":":"b":[["1","2"]]"}', '{"b":[["1","2"]],"x":"\\""}', "", None, f'["b",{PLAIN[0]}]', '{"a":1,"b":[["1","2"]]', '"b":[["1","2"]]']
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", lists_taken(F.col("t"), ["a", "b"]).alias("x"))
+    docs = df.select("t", "x", F.try_parse_json("t").alias("whole"), F.try_parse_json(F.coalesce("x.rest", "t")).alias("doc"))
+    sides = [f"$.{path}" for path in ("a", "b", "r.b")]
+    side = lambda path: levels.positional_levels(F.try_variant_get("whole", path, "variant"))
+    from_rest = lambda path: F.coalesce(taken_at(F.col("x.lists"), F.col("doc"), path), levels.positional_levels(F.try_variant_get("doc", path, "variant")))
+    found = docs.select("t", "x", F.array(*map(side, sides)).alias("want"), F.array(*map(from_rest, sides)).alias("got"), F.col("whole").isNull().alias("bad"), F.col("doc").isNull().alias("bad_rest")).collect()
+    for row in found:
+        assert (row.got, row.bad_rest) == (row.want, row.bad), row.t
+    held = {r.t: r.x.lists and len(r.x.lists) for r in found}
+    assert [held[t] for t in texts[: len(PLAIN)]] == [2] * len(PLAIN)
+    assert all("[[" not in r.x.rest for r in found if r.t in texts[: len(PLAIN)])  # what is parsed stays small
+    part = take_lists(pa.array(texts, pa.string())[2:40], ["a", "b"]).to_pylist()
+    assert [x["rest"] for x in part] == [r.x.rest for r in found][2:40]
+
+
+def test_level_sums(spark):
+    from tidebook.functions.taken import level_sums
+
+    sides = [[(1.5, 2.0), (-0.25, 3.0)], [], None, [(7.0, 1.0)]]
+    df = spark.createDataFrame(list(enumerate(sides)), "i INT, side ARRAY<STRUCT<price:DOUBLE,quantity:DOUBLE>>").coalesce(1)
+    found = {r.i: r.s and tuple(r.s) for r in df.select("i", level_sums(F.col("side")).alias("s")).collect()}
+    assert found == {0: (2, 1.25, 5.0), 1: (0, 0.0, 0.0), 2: None, 3: (1, 7.0, 1.0)}

@@ -38,10 +38,6 @@ def _whole_message(doc: Column) -> Column | None:
     return None
 
 
-def _as_variants(payload: Column, doc: Column) -> Column | None:
-    return None
-
-
 @dataclass(frozen=True)
 class Feed:
     """Column makers of one (exchange, market type).
@@ -50,8 +46,8 @@ class Feed:
     give the fields of ``FIELDS``; a field that does not read is NULL, and then the message is a failed parse.
     ``trades(doc)`` gives the array of trade documents where a message may carry several; ``item`` is then one
     of them. ``recv_us`` is the captured receive time; it stands in where the exchange sends none, so reruns
-    agree. ``levels`` turns a depth side from a variant into levels; ``plain_sides(payload, doc)`` may give them, as a struct
-    of bids and asks, straight from the text, NULL for a side that must be read as a variant.
+    agree. ``levels`` turns a depth side from a variant into levels; ``side_paths`` are the paths of bids and asks where they are
+    positional lists, which are read straight from the text; in ``doc``, short lists that start with a text stand for them.
     """
 
     exchange: str
@@ -62,7 +58,7 @@ class Feed:
     ticker: Callable[[Column, Column], Fields]
     levels: Callable[[Column], Column]
     trades: Callable[[Column], Column | None] = _whole_message
-    plain_sides: Callable[[Column, Column], Column | None] = _as_variants
+    side_paths: tuple[str, str] | None = None
 
     def owns(self, exchange: Column, market_type: Column) -> Column:
         return (exchange == self.exchange) & (market_type == self.market_type)

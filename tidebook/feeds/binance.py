@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.feeds.base import DEPTH, TICK, TICKER, Feed, Fields, by_name, depth, tick, ticker
 from tidebook.functions.jsonfields import flag_at, integer_at, kind_at, text_at, unsigned_at, value_at
-from tidebook.functions.levels import plain_sides, positional_levels
+from tidebook.functions.levels import positional_levels
 from tidebook.functions.numbers import price_at
 from tidebook.functions.timeparts import ms_to_us
 
@@ -47,14 +47,6 @@ def perpetual_depth(doc: Column, recv_us: Column) -> Fields:
     return depth(ts, integer_at(doc, "$.u"), value_at(doc, "$.b"), value_at(doc, "$.a"))
 
 
-def spot_sides(payload: Column, doc: Column) -> Column:
-    return plain_sides(payload, doc, "bids", "asks")
-
-
-def perpetual_sides(payload: Column, doc: Column) -> Column:
-    return plain_sides(payload, doc, "b", "a")
-
-
 def _ticker(doc: Column, ts: Column) -> Fields:
     return ticker(ts, price_at(doc, "$.b"), price_at(doc, "$.B"), price_at(doc, "$.a"), price_at(doc, "$.A"))
 
@@ -68,9 +60,9 @@ def perpetual_ticker(doc: Column, recv_us: Column) -> Fields:
 
 
 SPOT = Feed(
-    "binance", "spot", classify, spot_tick, spot_depth, spot_ticker, positional_levels, plain_sides=spot_sides
+    "binance", "spot", classify, spot_tick, spot_depth, spot_ticker, positional_levels, side_paths=("bids", "asks")
 )
 PERPETUAL = Feed(
     "binance", "perpetual", classify, perpetual_tick, perpetual_depth, perpetual_ticker, positional_levels,
-    plain_sides=perpetual_sides,
+    side_paths=("b", "a"),
 )

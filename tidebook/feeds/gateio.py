@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidebook.feeds.base import DEPTH, TICK, TICKER, UNKNOWN, Feed, Fields, by_name, depth, tick, ticker
 from tidebook.functions.jsonfields import list_at, text_at, unsigned_at, value_at
-from tidebook.functions.levels import keyed_levels, plain_sides, positional_levels
+from tidebook.functions.levels import keyed_levels, positional_levels
 from tidebook.functions.numbers import decimal_prefix, price_at, quantity_at
 from tidebook.functions.timeparts import ms_to_us
 
@@ -68,10 +68,6 @@ def spot_depth(doc: Column, recv_us: Column) -> Fields:
     return depth(ts, update_id, value_at(doc, "$.result.bids"), value_at(doc, "$.result.asks"))
 
 
-def spot_sides(payload: Column, doc: Column) -> Column:
-    return plain_sides(payload, doc, "result.bids", "result.asks")
-
-
 def perpetual_depth(doc: Column, recv_us: Column) -> Fields:
     ts = F.when(_carries_book(doc), ms_to_us(unsigned_at(doc, "$.result.t")))
     update_id = unsigned_at(doc, "$.result.id")
@@ -90,7 +86,14 @@ def book_ticker(doc: Column, recv_us: Column) -> Fields:
 
 
 SPOT = Feed(
-    "gateio", "spot", _classify("spot"), spot_tick, spot_depth, book_ticker, positional_levels, plain_sides=spot_sides
+    "gateio",
+    "spot",
+    _classify("spot"),
+    spot_tick,
+    spot_depth,
+    book_ticker,
+    positional_levels,
+    side_paths=("result.bids", "result.asks"),
 )
 PERPETUAL = Feed(
     "gateio",

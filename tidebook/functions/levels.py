@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.jsonfields import bound, kind_at, list_at, value_at
 from tidebook.functions.numbers import JSON_NUMBER, PLAIN_DECIMAL, price_at, quantity_at
+from tidebook.functions.taken import taken_at
 
 # Levels in the text of a list: two plain decimals, or a text that no number leads and any other one. A text that is
 # JSON is a list of such levels if "[]" is left without them: each begins where an element does, and has no escapes.
@@ -106,6 +107,19 @@ def plain_sides(payload: Column, doc: Column, bids: str, asks: str) -> Column:
     return bound(texts, lambda t: F.struct(side(t, paths[0]).alias("bids"), side(t, paths[1]).alias("asks")))
 
 
+def sides_at(lists: Column, payload: Column, doc: Column, bids: str, asks: str) -> Column:
+    """Both sides of a message out of the lists that were taken from its text; other sides by :func:`plain_sides`."""
+    taken = F.struct(*[taken_at(lists, doc, f"$.{path}").alias(name) for path, name in ((bids, "bids"), (asks, "asks"))])
+
+    def others(found: Column) -> Column:
+        return bound(
+            plain_sides(payload, doc, bids, asks),
+            lambda o: F.struct(*[F.coalesce(found[name], o[name]).alias(name) for name in ("bids", "asks")]),
+        )
+
+    return bound(taken, lambda t: F.when(t.bids.isNotNull() & t.asks.isNotNull(), t).otherwise(others(t)))
+
+
 def keyed_levels(found: Column) -> Column:
     """``[{"p":"price","s":size},...]`` (a variant). A non-numeric price is skipped; a missing or odd field
     breaks the list. Lists of one shape are read as typed cells, as above."""

@@ -1,8 +1,9 @@
 """Raw messages to parsed records in one pass.
 
-Every message is parsed to a variant once. ``explode_outer`` over a one-element array marks the places where
-Catalyst must not push an expression back below: without it a filter on a parsed field would be copied under
-the projection and each message parsed again for it. Scalar fields stay in generated code; depth sides have a
+Every message is parsed to a variant once, without its lists of levels where those read from the text.
+``explode_outer`` over a one-element array marks the places where Catalyst must not push an expression back
+below: without it a filter on a parsed field would be copied under the projection and each message parsed
+again for it. Scalar fields stay in generated code; depth sides have a
 stage of their own.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tidebook.feeds import FEEDS, Feed
 from tidebook.feeds.base import DEPTH, FIELDS, TICK, TICKER, UNKNOWN
+from tidebook.functions.levels import sides_at
+from tidebook.functions.taken import lists_taken
 
 # Reasons a message or record is not stored.
 EMPTY, MALFORMED, NO_FEED = "empty", "malformed", "no_feed"
@@ -36,6 +39,7 @@ def evaluated_once(column: Column) -> Column:
 
 @dataclass(frozen=True)
 class _Stages:
+    taken: Column | None
     doc: Column
     kind: Column
     quick: Column | None
@@ -74,10 +78,13 @@ def _stages(app_id: str, feeds: tuple[Feed, ...], kinds: tuple[str, ...]) -> _St
     }
     made = {k: [makers[k](f) for f in feeds] for k in wanted}
     # Sides that read from the text; only others are taken out of the variant.
-    quick, texts = None, [f.plain_sides(F.col("payload"), doc) for f in feeds]
-    if DEPTH in wanted and any(t is not None for t in texts):
-        texts = [F.lit(None).cast(SIDES) if t is None else t for t in texts]
-        quick = F.when(kind == DEPTH, by_feed(texts, SIDES))
+    quick, taken, paths = None, None, [f.side_paths for f in feeds]
+    if DEPTH in wanted and any(p is not None for p in paths):
+        names = sorted({path.split(".")[-1] for p in paths if p is not None for path in p})
+        taken = lists_taken(F.col("payload"), names)
+        text = F.coalesce(F.col("taken.rest"), text)
+        sides = [F.lit(None).cast(SIDES) if p is None else sides_at(F.col("taken.lists"), F.col("payload"), doc, *p) for p in paths]
+        quick = F.when(kind == DEPTH, by_feed(sides, SIDES))
         for fields in made[DEPTH]:
             for name in ("bids", "asks"):
                 fields[name] = F.when(F.col(f"quick.{name}").isNull(), fields[name])
@@ -119,13 +126,14 @@ def _stages(app_id: str, feeds: tuple[Feed, ...], kinds: tuple[str, ...]) -> _St
     for column in RECORD_COLUMNS.values():
         whole = whole | F.col(column).isNotNull()
     reason = (
-        F.when(text == "", EMPTY)
+        F.when(F.coalesce(F.col("payload"), F.lit("")) == "", EMPTY)
         .when(~F.col("known"), NO_FEED)
         .when(~F.col("is_json"), MALFORMED)
         .when(kind == UNKNOWN, UNKNOWN_EVENT)
         .when(kind.isin(*wanted) & ~whole, PARSE)
     )
     return _Stages(
+        taken=taken,
         doc=F.when(text != "", F.try_parse_json(text)),
         kind=F.when(doc.isNotNull(), by_feed([f.classify(doc) for f in feeds], "string")),
         quick=quick,
@@ -149,7 +157,12 @@ def parse_messages(
     app_id = raw.sparkSession.sparkContext.applicationId
     stages = _stages(app_id, tuple(feeds), tuple(kinds))
     keep = (*ENVELOPE, "payload", "kind", "is_json")
-    documents = raw.select(*ENVELOPE, "payload", evaluated_once(stages.doc).alias("doc"))
+    texts, lists = raw, []
+    if stages.taken is not None:
+        lists = ["taken"]
+        # no barrier here: the one on the document keeps the lists from being taken again
+        texts = raw.select(*ENVELOPE, "payload", stages.taken.alias("taken"))
+    documents = texts.select(*ENVELOPE, "payload", *lists, evaluated_once(stages.doc).alias("doc"))
     classified = documents.withColumn("kind", evaluated_once(stages.kind))
     quick = []
     if stages.quick is not None:

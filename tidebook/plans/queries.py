@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tidebook import schemas
 from tidebook.feeds import Feed, binance, futures, gateio
 from tidebook.functions import identity, numbers, timeparts
+from tidebook.functions.taken import level_sums
 from tidebook.operators import book, enrich, parse, tables, telemetry
 from tidebook.plans import adapter
 from tidebook.plans.records import futures_records, judged, outcomes, records_from_raw, union_records
-from tidebook.session import scratch
+from tidebook.session import scratch, small_batches
 from tidebook.sinks import deadletter, topics
 from tidebook.sinks import tables as table_sinks
 from tidebook.sources import csv_tree, registry
@@ -358,18 +359,16 @@ def valid_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def deep_book_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with more than a hundred levels a side, read whole."""
+    small_batches(spark)
     bids, asks = F.col("k") + 101, F.col("k") * 2 + 101
     raw = _of_feed(spark, sf_dir, binance.PERPETUAL, adapter.binance_perpetual_depth(bids, asks))
     depths = parse.depth_records(parse.parse_messages(raw, [binance.PERPETUAL], kinds=("DEPTH",)))
-
-    def total(side: str, name: str) -> Column:
-        return F.aggregate(side, F.lit(0.0), lambda a, x: a + x[name])
-
-    return depths.select(
+    sums = depths.select("seq", *[level_sums(F.col(side)).alias(side) for side in ("bids", "asks")])
+    return sums.select(
         "seq",
-        *[F.size(side).cast("bigint").alias(side) for side in ("bids", "asks")],
-        *[total(side, "quantity").alias(f"{side[:3]}_quantity") for side in ("bids", "asks")],
-        *[total(side, "price").alias(f"{side[:3]}_prices") for side in ("bids", "asks")],
+        *[F.col(f"{side}.levels").alias(side) for side in ("bids", "asks")],
+        *[F.col(f"{side}.quantity").alias(f"{side[:3]}_quantity") for side in ("bids", "asks")],
+        *[F.col(f"{side}.price").alias(f"{side[:3]}_prices") for side in ("bids", "asks")],
     )
 
 

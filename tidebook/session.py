@@ -33,6 +33,15 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds the session's Arrow batches, unless they are smaller already: of long messages, Spark's own would take some
+    hundred MB at a time in the executor and its workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name).lower().removesuffix("b")
+    if not (own.isdigit() and 0 < int(own) <= size):
+        spark.conf.set(name, f"{size}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see, as named by ``spark.checkpoint.dir``.
 
